@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import mixing, quality_rules, secret_scan
+from tablemill.llm import license_scan, mixing, quality_rules, secret_scan
 from tablemill.llm.common import documents
+from tablemill.llm.license_rules import RULES
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, s = license_scan.with_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "n_matches", "score")
+    return out.select("doc_id", *[F.col(s)[c].alias(c) for c in columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +37,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op8_quality_rules, op10_secret_scan)}
 
+_RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    "op1_license_scan": rf"""
+        WITH rules(rule_id, label, keyword, pattern, priority, is_base) AS (VALUES {_RULE_ROWS}),
+        n AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM documents),
+        d AS (SELECT doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || replace(w, ' ', '  ') || ' ' END AS w FROM n),
+        c AS (SELECT doc_id, rule_id, label, priority, is_base, string_split_regex(w, pattern) AS p, regexp_extract_all(w, pattern) AS h
+              FROM d JOIN rules ON contains(w, keyword) AND regexp_matches(w, pattern)),
+        u AS (SELECT doc_id, rule_id, label, priority, is_base, i, (length(p[i]) - length(replace(p[i], ' ', ''))) // 2 AS wp,
+                     (length(h[i]) - length(replace(h[i], ' ', ''))) // 2 AS wh
+              FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM c)),
+        m AS (SELECT *, sum(wp) OVER o + sum(wh) OVER o - wh AS s, sum(wp) OVER o + sum(wh) OVER o AS e
+              FROM u WINDOW o AS (PARTITION BY doc_id, rule_id ORDER BY i)),
+        k AS (SELECT *, coalesce(max(CASE WHEN priority = 1 THEN e END) OVER b, -1) AS far1,
+                     coalesce(max(CASE WHEN priority = 2 THEN e END) OVER b, -1) AS far2, coalesce(max(CASE WHEN priority = 3 THEN e END) OVER b, -1) AS far3
+              FROM m WINDOW b AS (PARTITION BY doc_id ORDER BY s, e DESC, priority, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g AS (SELECT *, NOT (far1 >= e OR (priority >= 2 AND far2 >= e) OR (priority >= 3 AND far3 >= e)) AS stays FROM k),
+        a AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(s) FILTER (is_base) AS first_word, max(s) FILTER (is_base) AS last_word,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (is_base OR stays)), ',') AS labels,
+                     count(*) FILTER (stays) AS n_matches, [1.0, 0.8, 0.5][min(priority) FILTER (stays)]::DOUBLE AS score
+              FROM g GROUP BY doc_id)
+        SELECT doc_id, CAST((length(w) - length(replace(w, ' ', ''))) // 2 AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+               CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(n_matches, 0) AS n_matches, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN a USING (doc_id)""",
     "op2_mixing": rf"""
         WITH d AS (
           SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '{WORD}', 'x', 'g'), '[^x]', '', 'g')) AS size,
