@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import license_scan, mixing, quality_rules, secret_scan
+from tablemill.llm import license_scan, mixing, quality_rules, resharding, secret_scan
 from tablemill.llm.common import documents
 from tablemill.llm.license_rules import RULES
 
@@ -21,6 +21,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(m)[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
+SHARDS = 24
+
+
+def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an uneven old layout (shard k holds 2k + 1 of 576 hash ranges of the text) to shards of equal bytes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    old = F.floor(F.sqrt(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(SHARDS * SHARDS))))
+    out, s = resharding.reshard(docs, old, SHARDS)
+    law = F.lit("bytes").alias("law")
+    columns = [F.col(s)[c].alias(c) for c in ("size", "text_crc32")], [F.col(s)[c].alias(c) for c in ("shard", "slot", "old_shard")]
+    return out.select("doc_id", *columns[0], law, *columns[1], F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ledger = quality_rules.with_ledger(documents(spark, sf_dir).select("doc_id", "text"))
     said = F.col(ledger)
@@ -37,7 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op6_resharding, op8_quality_rules, op10_secret_scan)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
