@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import license_scan, mixing, quality_rules, resharding, secret_scan
+from tablemill.llm import bpe, license_scan, mixing, quality_rules, resharding, secret_scan
 from tablemill.llm.common import documents
 from tablemill.llm.license_rules import RULES
 
@@ -34,6 +35,14 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *columns[0], law, *columns[1], F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The vocabulary: a path and the pattern that goes with it, never copied here.
+RANK_FILE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), RANK_FILE, PATTERN, with_ids=False).drop("ids")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, ledger = quality_rules.with_ledger(documents(spark, sf_dir).select("doc_id", "text"))
     said = F.col(ledger)
@@ -50,7 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op6_resharding, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op6_resharding, op7_bpe, op8_quality_rules, op10_secret_scan)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
