@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, embedding_dedup, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan
+from tablemill.llm import bpe, embedding_dedup, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan, suffix_dedup
 from tablemill.llm.common import documents
 from tablemill.llm.license_rules import RULES
 
@@ -65,12 +65,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage and document; documents that share no passage have none."""
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, s = secret_scan.with_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
