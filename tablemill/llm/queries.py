@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, embedding_dedup, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan, suffix_dedup
+from tablemill.llm import bpe, embedding_dedup, html_extraction, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan, suffix_dedup
 from tablemill.llm.common import documents
 from tablemill.llm.license_rules import RULES
 
@@ -22,6 +22,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(m)[c].alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    out, text = html_extraction.with_main_text(pages.select("page_id", "url", "html"), html_extraction.train(pages))
+    return out.select("page_id", "url", F.col(text).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -75,7 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
