@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import mixing, quality_rules, secret_scan
+from tablemill.llm import bpe, mixing, ngram_join, quality_rules, secret_scan
 from tablemill.llm.common import documents, stored
+from tablemill.llm.queries import PATTERN, RANK_FILE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +14,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share four fifths of their five-word n-grams, one stays."""
+    return ngram_join.keep_one(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark."""
     return secret_scan.redacted(docs)
@@ -23,7 +29,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("quality_rules", quality), ("secret_scan", secrets), ("mixing", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests; a document that the mix takes twice has two rows."""
+    return bpe.encode(docs, RANK_FILE, PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("ngram_join", near_duplicates), ("secret_scan", secrets), ("mixing", mix), ("bpe", tokens)]
 #: SQL cannot express near duplicates by signatures or byte-pair merges.
 ORACLE_SQL = None
 

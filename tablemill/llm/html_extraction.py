@@ -330,7 +330,7 @@ def _layouts() -> list[str]:
     figure = f"<figure><figcaption>{short}</figcaption></figure>"
     bodies = [
         header + nav + f"<main {mark}><article>{text}{figure}{share}</article></main>" + side + footer,
-        nav + ad + f"<article {mark}>{text}{ad}{notes}</article>" + footer,
+        nav + ad + f"<article {mark}>{text}{ad}{form}{side}{nav}{notes}</article>" + footer,
         header + menu + f'<div id="wrapper" {MARK}="0"><div class="content" {mark}>{text}{letter}</div>{rail}</div>' + foot + cookie,
         cookie + header + f'<div class="page" {MARK}="0"><div {MARK}="0"><div class="post" {mark}><div>{text}</div><section>{p}<div>{p}</div></section></div>{notes2}</div>{side}</div>' + footer,
         header + nav + f'<main {MARK}="0"><article {mark}><header><h1>A heading</h1><p>{short}</p></header>{text}<footer {MARK}="2">{short}</footer></article>{notes}{form}</main>' + footer,
