@@ -2,48 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A table of at most so many narrow rows may be broadcast (about 10 MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark runs locally."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path
-    if path := spark.sparkContext.getCheckpointDir():
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="tablemill-"))
-    return path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting df (cheap: df should be stored); else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from tablemill.scratch import BROADCAST_ROWS, broadcast_if_small, fresh, scratch_dir, stored
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have in any letter case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "documents", "fresh", "schema", "scratch_dir", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
