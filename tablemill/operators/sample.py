@@ -17,14 +17,16 @@ def first_rows(tables: Mapping[str, DataFrame], order: Mapping[str, Sequence[str
     return {name: df.orderBy(*order[name]).limit(n) for name, df in tables.items()}
 
 
-def hash_filter(key: Column, sixteenths_of_4096: int) -> Column:
-    """Whether a key falls into a share of n / 65536: by the first four hex digits of its MD5, the same every time."""
-    return F.substring(F.md5(key.cast("string").cast("binary")), 1, 4) < F.lit(f"{sixteenths_of_4096:04x}")
+def hash_filter(key: Column, share: float) -> Column:
+    """Whether a key falls into a share of all keys: by the first four hex digits of its MD5, the same every time."""
+    if (limit := round(share * 65536)) >= 65536:
+        return F.lit(True)
+    return F.substring(F.md5(key.cast("string").cast("binary")), 1, 4) < F.lit(f"{limit:04x}")
 
 
 def hash_sample(root: DataFrame, key: str, share: float) -> DataFrame:
     """About a share of the rows of root, chosen by the hash of the key."""
-    return root.where(hash_filter(F.col(key), round(share * 65536)))
+    return root.where(hash_filter(F.col(key), share))
 
 
 def follow_keys(root: DataFrame, tables: Mapping[str, tuple[DataFrame, str, str]]) -> dict[str, DataFrame]:

@@ -1,0 +1,211 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablemill.functions import scalars
+from tablemill.jobs import features, frames, model, sqltext
+from tablemill.operators import aggregates, compare, joins, sample, transform, windows
+from tablemill.sources import files
+from tablemill.sources import tables as store
+from tablemill.specs import WriteOptions, mangle_name, table_name
+
+TYPES = "i8 tinyint, i16 smallint, i32 int, i64 bigint, f32 float, f64 double, s string, b boolean, d date, t timestamp_ntz"
+
+
+@pytest.fixture
+def extremes(spark):
+    far = datetime.datetime(9999, 12, 31, 23, 59, 59), datetime.datetime(1, 1, 1)
+    rows = [
+        (-128, -(2**15), -(2**31), -(2**63), -3e38, -1e300, "", False, far[1].date(), far[1]),
+        (127, 2**15 - 1, 2**31 - 1, 2**63 - 1, 3e38, 1e300, "äöüßéç λ \t\\N", True, far[0].date(), far[0]),
+        (None,) * 10,
+    ]
+    return spark.createDataFrame(rows, TYPES)
+
+
+def test_round_trip(spark, tmp_path, extremes):
+    made = store.write_table(extremes, str(tmp_path), "Types/Table")
+    assert files.exists(spark, f"{tmp_path}/types_table.parquet")
+    assert made.dtypes == extremes.dtypes and compare.tables_equal(made, extremes)
+
+
+def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
+    df = spark.createDataFrame([("",), (None,), ("a,\"b\"",), ("ñ",)], "s string")
+    store.write_csv(df, f"{tmp_path}/t.csv.gz")
+    back = store.read_csv_dir(spark, str(tmp_path), {"t": df.schema})["t"]
+    assert sorted((r["s"] for r in back.collect()), key=str) == sorted(["", None, "a,\"b\"", "ñ"], key=str)
+
+
+def test_csv_infers(spark, tmp_path):
+    store.write_csv(spark.range(3), f"{tmp_path}/n.csv.gz")
+    assert dict(store.read_csv_dir(spark, str(tmp_path))["n"].dtypes) == {"id": "int"}
+
+
+def test_external_missing(spark):
+    with pytest.raises(LookupError):
+        store.external_table(spark, "no_such_table")
+    with pytest.raises(FileNotFoundError):
+        store.external_table(spark, "/no/such/table.parquet")
+
+
+def test_append_checks_schema(spark, tmp_path):
+    store.write_table(spark.range(2), str(tmp_path), "t")
+    with pytest.raises(ValueError):
+        store.append_table(spark.range(2).withColumn("x", F.lit(1)), str(tmp_path), "t")
+    store.append_table(spark.range(2), str(tmp_path), "t")
+    assert store.read_table(spark, str(tmp_path), "t", limit=3).count() == 3
+    store.drop_table(spark, str(tmp_path), "t")
+    assert not files.exists(spark, f"{tmp_path}/t.parquet")
+
+
+def test_typed_refuses_nulls(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.IntegerType(), False)])
+    with pytest.raises(Exception, match="null in a"):
+        store.write_typed(spark.createDataFrame([(1,), (None,)], "a bigint"), str(tmp_path), "t", schema)
+
+
+def test_jdbc_options():
+    said = store.jdbc_read_options("jdbc:x", "t", "id", (0, 100), 4)
+    assert said["numPartitions"] == "4" and said["lowerBound"] == "0"
+    with pytest.raises(ValueError):
+        store.jdbc_read_options("jdbc:x", "t", "id")
+
+
+def test_write_options():
+    options = WriteOptions({"__any__": {"compression": "zstd", "partitions": 4}, "small": {"partitions": 1}})
+    assert options.resolve("small") == {"compression": "zstd", "partitions": 1}
+    assert options.resolve()["partitions"] == 4
+    with pytest.raises(KeyError):
+        options.resolve("other")
+
+
+def test_names():
+    assert table_name(" A/B ") == "a_b"
+    assert mangle_name(None, "Task").startswith("task_") and mangle_name("X%%", "t").startswith("x_")
+    assert mangle_name("Plain", "t") == "plain"
+
+
+def test_join_fixture(spark):
+    lazy = spark.createDataFrame([(1, 2)], "x int, y int")
+    b = spark.createDataFrame([(2, 1), (1, 1), (0, 2), (1, 2)], "a int, x int")
+    left = joins.left_join_pk(lazy, b, "x").select((F.col("x") * 5).alias("x5"), "a")
+    assert sorted(map(tuple, left.collect())) == [(5, 1), (5, 2)]
+    assert sorted(map(tuple, joins.inner_join(lazy, b, "x").collect())) == [(1, 2, 1), (1, 2, 2)]
+    back = joins.enrich_with_aggregate(left, "a", x_sum=F.sum("x5"))
+    assert sorted(map(tuple, back.collect())) == [(1, 5, 5), (2, 5, 5)]
+
+
+def test_versions_fixture(spark):
+    now = spark.createDataFrame([(12, 24)], "a int, b int")
+    old = spark.createDataFrame([(-5, 1), (12, 2)], "a int, c int")
+    assert joins.join_versions(now, old, "a").first()["c_before"] == 2
+    assert joins.join_versions(now.withColumn("a", F.lit(-5)), old, "a").first()["c_before"] == 1
+
+
+def test_cross_join_is_bounded(spark):
+    with pytest.raises(ValueError):
+        joins.cross_join_small(spark.range(200), spark.range(200))
+
+
+def test_features_must_not_clash(spark):
+    with pytest.raises(ValueError):
+        joins.combine_features([spark.range(2).withColumn("x", F.lit(1))] * 2, "id")
+
+
+def test_column_diff_fixture(spark):
+    a = spark.createDataFrame([(0, 9)], "a int, b int")
+    rows = compare.diff_columns(spark, {"dfa": a}, {"dfa": a.withColumn("c", F.lit(1))}).collect()
+    assert [tuple(r) for r in rows] == [("dfa", "c", "missing")]
+
+
+def test_hash_sees_nulls_repeats_and_not_order(spark):
+    key = lambda rows: tuple(aggregates.table_hash(spark.createDataFrame(rows, "a string, b string")).first())
+    assert key([("a", None), ("b", "c")]) == key([("b", "c"), ("a", None)])
+    assert len({key([("a", None)]), key([("a", "")]), key([("", "a")]), key([(None, "a")]), key([("a", None)] * 2), key([])}) == 6
+
+
+def test_diff_rows_null_safe(spark):
+    a = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (2, None)], "k int, v string")
+    assert [tuple(r) for r in compare.diff_rows(a, b, ["k"]).collect()] == [(2, "changed", "v")]
+
+
+def test_row_number_matches_window_and_empty(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert {r["x"]: r["row_number"] for r in windows.global_row_number(df, ["x"]).collect()} == {k: k + 1 for k in range(1000)}
+    assert windows.global_row_number(df.limit(0), ["x"]).count() == 0
+
+
+def test_split_sizes(spark):
+    train, test = windows.split_by_row_number(spark.range(25), ["id"])
+    assert (train.count(), [r["id"] for r in test.orderBy("id").collect()]) == (23, [9, 19])
+    assert [r["id"] for r in windows.split_by_row_number(spark.range(25), ["id"], offset=9)[1].orderBy("id").collect()] == [0, 10, 20]
+
+
+def test_duplicate_null_keys(spark):
+    df = spark.createDataFrame([(1,), (None,), (None,)], "a int")
+    assert windows.mark_duplicates(df, ["a"]).where("is_duplicate").count() == 2
+
+
+def test_type_repair(spark):
+    df = spark.sql("SELECT CAST(1 AS DECIMAL(19,0)) a, CAST(1 AS DECIMAL(10,0)) b, CAST(1 AS DECIMAL(5,0)) c, CAST(1 AS DECIMAL(4,0)) d, CAST(1.5 AS DECIMAL(4,1)) e")
+    assert dict(transform.repair_types(df).dtypes) == {"a": "bigint", "b": "bigint", "c": "int", "d": "smallint", "e": "decimal(4,1)"}
+
+
+def test_type_map_errors(spark):
+    with pytest.raises(ValueError):
+        transform.apply_type_map(spark.range(1), {"x": "int"})
+    with pytest.raises(Exception, match="CAST"):
+        transform.apply_type_map(spark.createDataFrame([("x",)], "a string"), {"a": "int"}).collect()
+
+
+def test_trim_leaves_tabs_and_others(spark):
+    row = transform.trim_all_strings(spark.createDataFrame([(" a ", "\tb ", 1)], "x string, y string, z int")).first()
+    assert tuple(row) == ("a", "\tb", 1)
+
+
+def test_stable_filter_reaches_the_scan(spark, small, capsys):
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_orderdate")
+    transform.known_by(orders, datetime.datetime(1998, 1, 1), "o_orderdate").explain()
+    said = capsys.readouterr().out
+    assert "LessThanOrEqual(o_orderdate" in said and "o_totalprice" not in said
+
+
+def test_calendar_and_factor(spark):
+    assert scalars.calendar(spark, datetime.date(2022, 1, 1), datetime.date(2023, 1, 1)).count() == 366
+    names = spark.createDataFrame([("t_m100",), ("t",), ("t_mx",)], "n string")
+    assert [r[0] for r in names.select(scalars.sampling_factor(F.col("n"))).collect()] == [100, 1, 1]
+    assert [r["nr"] for r in scalars.numbers(spark, 3, 4, 2).orderBy("nr").collect()] == [2, 6, 10]
+
+
+def test_instances_fixture(spark):
+    a = spark.createDataFrame([(0, 9), (1, 8), (2, 7), (4, 6)], "a int, b int")
+    assert [r["a"] for r in sample.first_rows({"dfa": a}, {"dfa": ["a"]}, 2)["dfa"].collect()] == [0, 1]
+    assert sample.hash_sample(a, "a", 1.0).count() == 4 and sample.hash_sample(a, "a", 0.0).count() == 0
+
+
+def test_scripts(spark):
+    assert len(sqltext.statements("SELECT ';' AS x; -- a; comment\n ; SELECT 2")) == 2
+    spark.range(4).createOrReplaceTempView("numbers")
+    made = sqltext.run_script(spark, "CREATE OR REPLACE TEMPORARY VIEW v AS SELECT id FROM {{t}} WHERE id > 1", t="numbers")
+    assert made["v"].count() == 2
+    with pytest.raises(ValueError):
+        sqltext.run_script(spark, "SELECT * FROM {{other}}")
+
+
+def test_hooks(spark, tmp_path):
+    hooks = frames.Hooks(on_write=lambda df: df.withColumn("x", F.lit(1)))
+    hooks.write(spark.range(2), f"{tmp_path}/t")
+    assert hooks.read(spark, f"{tmp_path}/t").columns == ["id", "x"]
+
+
+def test_constant_target_is_refused(spark):
+    with pytest.raises(ValueError):
+        model.train_classifier(spark.range(5).withColumn("y", F.lit(1.0)), ["id"], "y")
+
+
+def test_feature_flow(spark, small):
+    train, test, complete = features.train_and_test(spark.read.parquet(f"{small}/customer.parquet"), spark.read.parquet(f"{small}/orders.parquet"))
+    assert train.count() == 9 * test.count() and not complete.first()["has_promotions"]

@@ -1,0 +1,114 @@
+"""The four fixture sets of rules and rows, and edge cases."""
+
+import pytest
+
+from tablemill.operators import validate
+from tablemill.specs import CollectionRules, ColumnRule, CrossRule, TableRules, TableSpec
+
+FIRST = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "smallint"), ColumnRule("c", "string")), ("a",))
+SECOND = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "bigint", min=1), ColumnRule("c", "string", nullable=False)), ("a",))
+CROSS = CrossRule("first_b_greater_second_b", "first", "second", "left.b > right.b")
+
+
+def table(spark, a, b, c):
+    return spark.createDataFrame(list(zip(a, b, c, strict=True)), "a bigint, b bigint, c string")
+
+
+def run(spark, first, second, filters):
+    rules = CollectionRules({"first": FIRST, "second": SECOND}, ("a",), equal_keys=filters, cross=(CROSS,) * filters)
+    good, bad, counts = validate.filter_collection({"first": table(spark, *first), "second": table(spark, *second)}, rules)
+    said = lambda df: {r["rule"]: r["n"] for r in df.collect()}
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    return {m: rows(g) for m, g in good.items()}, {m: said(c) for m, c in counts.items()}, bad
+
+
+def test_no_filter_no_violation(spark):
+    good, counts, _ = run(spark, ([1, 2, 3], [1, 2, 3], ["x", "y", None]), ([1, 2, 3], [1, 2, 3], ["x", "y", "x"]), False)
+    assert len(good["first"]) == len(good["second"]) == 3
+    assert counts == {"first": {}, "second": {}}
+
+
+def test_no_filter_violation(spark):
+    good, counts, bad = run(spark, ([1, 2, 1], [1, 2, 3], ["x", "y", None]), ([1, 2, 3], [0, 1, 2], [None, "y", "x"]), False)
+    assert len(good["first"]) == 1 and len(good["second"]) == 2
+    assert counts == {"first": {"_primary_key_": 2}, "second": {"b|min": 1, "c|nullability": 1}}
+    assert bad["first"].count() == 2 and bad["second"].count() == 1
+
+
+def test_filter_no_violation(spark):
+    good, counts, _ = run(spark, ([1, 2, 3], [1, 1, 3], ["x", "y", None]), ([2, 3, 4, 5], [1, 2, 3, 4], ["x", "y", "x", "x"]), True)
+    assert good == {"first": [(3, 3, None)], "second": [(3, 2, "y")]}
+    assert counts["first"] == {"equal_primary_keys": 1, "first_b_greater_second_b": 1}
+    assert counts["second"] == {"equal_primary_keys": 2, "first_b_greater_second_b": 1}
+
+
+def test_filter_violation(spark):
+    good, counts, _ = run(spark, ([1, 2, 3], [1, 2, 3], ["x", "y", None]), ([2, 3, 4, 5, 6], [0, 1, 2, 3, -1], [None, "y", "y", "x", "z"]), True)
+    assert good == {"first": [(3, 3, None)], "second": [(3, 1, "y")]}
+    assert counts["first"] == {"equal_primary_keys": 2}
+    assert counts["second"] == {"b|min": 2, "c|nullability": 1, "equal_primary_keys": 2}
+
+
+def test_good_rows_are_cast(spark):
+    good, _ = validate.filter_rows(table(spark, [1], [2], ["x"]), FIRST)
+    assert dict(good.dtypes)["b"] == "smallint"
+
+
+def test_enum(spark):
+    rules = SECOND + TableRules((ColumnRule("c", "string", values=("x", "y")),))
+    good, bad = validate.filter_rows(table(spark, [2, 3, 4, 5], [0, 1, 2, 3], ["z", "y", "y", "x"]), rules)
+    assert good.count() == 3
+    assert bad.first()["failed_rules"] == ["b|min", "c|enum"]
+
+
+def test_lost_cast_is_one_failure(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,), ("99999",)], "b string")
+    counts = validate.failure_counts(df, TableRules((ColumnRule("b", "smallint", min=2),)))
+    assert {r["rule"]: r["n"] for r in counts.collect()} == {"b|dtype": 2, "b|min": 1}
+
+
+def test_null_keys_fail(spark):
+    df = spark.createDataFrame([(1,), (None,), (None,)], "a bigint")
+    assert validate.filter_rows(df, TableRules((), ("a",)))[0].count() == 1
+
+
+def test_validate_modes(spark, capsys):
+    df = table(spark, [1, 1], [1, 2], ["x", "y"])
+    with pytest.raises(validate.ValidationError) as error:
+        validate.validate(df, FIRST)
+    assert error.value.counts == {"_primary_key_": 2}
+    assert validate.validate(df, FIRST, "log").count() == 0 and "_primary_key_" in capsys.readouterr().out
+    assert not validate.is_valid(df, FIRST)
+    assert validate.is_valid(df.limit(0), FIRST)
+
+
+def test_optional_and_missing_members(spark):
+    rules = CollectionRules({"first": FIRST, "second": SECOND}, ("a",), optional=frozenset({"second"}), equal_keys=True)
+    good, _, _ = validate.filter_collection({"first": table(spark, [1], [1], ["x"])}, rules)
+    assert good["first"].count() == 1
+    with pytest.raises(ValueError):
+        validate.filter_collection({"second": table(spark, [1], [1], ["x"])}, rules)
+
+
+COLUMNS = ["x", "y", "z"]
+
+
+@pytest.mark.parametrize(
+    ("nullable", "non_nullable", "flags"),
+    [
+        (["y"], None, "FTF"), (["x", "z"], None, "TFT"), (None, ["y"], "TFT"), (None, ["x", "z"], "FTF"), (["x", "y", "z"], [], "TTT"),
+        (["x", "z"], ["y"], "TFT"), (["y"], ["x", "z"], "FTF"), ([], ["x", "y", "z"], "FFF"),
+    ],
+)
+def test_null_flags(nullable, non_nullable, flags):
+    for key in ((), ("x",)):
+        found = TableSpec("t", key, nullable=nullable, non_nullable=non_nullable).null_flags(COLUMNS)
+        assert "".join("FT"[found[c]] for c in COLUMNS) == flags
+
+
+@pytest.mark.parametrize(("nullable", "non_nullable", "error"), [
+    (["q"], None, ValueError), (None, ["q"], ValueError), (["x"], ["x", "y", "z"], ValueError), (["x"], ["y"], ValueError), ("x", None, TypeError), (None, 5, TypeError),
+])
+def test_null_flag_errors(nullable, non_nullable, error):
+    with pytest.raises(error):
+        TableSpec("t", nullable=nullable, non_nullable=non_nullable).null_flags(COLUMNS)
