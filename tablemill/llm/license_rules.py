@@ -185,7 +185,7 @@ ms-rl | microsoft | microsoft reciprocal license( ms rl)?
 mulan-2.0 | mulan | mulan (psl|permissive software license) (v |version )?(2|v2)
 upl-1.0 | universal | universal permissive license( v| version)? 1 0
 w3c | w3c | w3c software( notice and)?( document)? license
-x11 | x11 | except as contained in this notice the names? of the x( consortium)?
+x11 | contained | except as contained in this notice the names? of the x( consortium)?
 postgresql | postgresql | postgresql licen[cs]e
 hpnd | historical | historical permission notice and disclaimer
 beerware | beer | the beer ware license( revision 42)?
