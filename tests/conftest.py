@@ -46,9 +46,13 @@ def duck(small):
 
 
 def _plain(v):
-    if v is None or v != v:
+    import pandas as pd
+
+    if pd.isna(v):
         return None
-    return round(float(v), 6) + 0.0 if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v == int(v) else str(round(v, 6))
+    return str(v)
 
 
 def same_rows(spark_df, duck_df) -> None:
