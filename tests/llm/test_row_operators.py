@@ -1,6 +1,8 @@
 """Operators that judge each document by itself: licences, quality, secrets, HTML."""
 
 import collections
+import itertools
+import math
 import re
 
 import pytest
@@ -126,11 +128,33 @@ def test_guess_cost_orders_values():
     assert secret_scan.is_guarded("x8#Kq0vLw2") and not secret_scan.is_guarded("changeme2020") and not secret_scan.is_guarded("thequickbrownfox")
 
 
-def test_guess_cost_is_the_least_over_segmentations():
-    """Brute force over all ways to cut: no cut of a value costs less than the whole search found."""
-    cost, step = secret_scan.guess_cost, 0.30103
-    value = "dragon2019zzz9"
-    assert all(cost(value) <= cost(value[:k]) + cost(value[k:]) + step + 1e-9 or len(set(map(secret_scan._class, value[:k]))) < 2 for k in range(1, len(value)))
+def segment_cost(value, a, b, each):
+    """The least cost of value[a:b] as one segment."""
+    part, low = value[a:b], value[a:b].lower()
+    costs = [each] if len(part) == 1 else []
+    step = math.log10(2)
+    if len(part) >= 3:
+        if len(set(part)) == 1:
+            costs.append(step + math.log10(secret_scan.CLASS_SIZE[secret_scan._class(part[0])] * len(part)))
+        if all(pair in secret_scan.NEXT for pair in zip(low, low[1:], strict=False)):
+            costs.append(step + math.log10(180 * len(part)))
+        for said, extra in ((low, 1), (low.translate(secret_scan.LEET), 4)):
+            if said in secret_scan.WORDS:
+                costs.append(step + math.log10(secret_scan.WORDS[said] * extra * (1 if part.islower() else 3)))
+    if secret_scan.DATE.fullmatch(part):
+        costs.append(step + math.log10(365 * 120 if len(part) > 4 else 120))
+    return min(costs, default=math.inf)
+
+
+@pytest.mark.parametrize("value", ["Dragon2019z", "aaa1qwerty", "p4ssw0rd!!!", "x9Kfoo2020", "zzzzabcd77", "20190507ab"])
+def test_guess_cost_is_the_least_over_all_segmentations(value):
+    n = len(value)
+    each = math.log10(sum(secret_scan.CLASS_SIZE[k] for k in {secret_scan._class(c) for c in value}))
+    least = math.inf
+    for cuts in itertools.product((False, True), repeat=n - 1):
+        at = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+        least = min(least, sum(segment_cost(value, a, b, each) for a, b in itertools.pairwise(at)))
+    assert secret_scan.guess_cost(value) == pytest.approx(least)
 
 
 def test_context_values_and_redaction(spark):
@@ -186,9 +210,6 @@ def test_broken_and_empty_pages(spark, model):
 
 def test_marginals_are_exact(model):
     """Messages against brute force over all states of a small page."""
-    import itertools
-    import math
-
     page = html_extraction.Page("<div><p>Some words, here.</p><div class=ad>Buy</div></div>")
     features, n = page.features(), len(page.tag)
     total, content = 0.0, [0.0] * n
