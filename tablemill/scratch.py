@@ -18,7 +18,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return path
     if path := spark.sparkContext.getCheckpointDir():
         return path
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(path := tempfile.mkdtemp(prefix="tablemill-"))
     return path
