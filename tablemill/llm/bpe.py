@@ -17,7 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import schema
 
 #: Characters of text in a chunk: bounds what one task holds at a time. A longer document is a chunk of its own.
-CHUNK_CHARS = 8_000_000
-#: Word partitions: each chunk sends one packed row to each.
-PARTS = 48
+CHUNK_CHARS = 6_000_000
+#: Word partitions, at least: each chunk sends one packed row to each. With more shuffle partitions there are as many.
+LEAST_PARTS = 48
 #: Distinct words that an encoding task remembers before it starts anew; a word seen again after that is encoded again.
 REMEMBER = 2_000_000
 
@@ -73,21 +74,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list
         yield mark.hexdigest(), ids, texts
 
 
-def _words_by_part(pieces: set[str]) -> dict[int, list[bytes]]:
-    parts: dict[int, list[bytes]] = {}
+def _words_by_part(pieces: Iterable[str], parts: int) -> dict[int, list[bytes]]:
+    """The sorted words of each part: by a hash of the word, so that a word has the same part in every chunk."""
+    out: dict[int, list[bytes]] = {}
     for word in pieces:
         raw = word.encode()
-        parts.setdefault(zlib.crc32(raw) % PARTS, []).append(raw)
-    for words in parts.values():
+        out.setdefault(zlib.crc32(raw) % parts, []).append(raw)
+    for words in out.values():
         words.sort()
-    return parts
+    return out
+
+
+def n_parts(df: DataFrame) -> int:
+    return max(LEAST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _join(words: list[bytes]) -> bytes:
     return np.array([len(w) for w in words], dtype=np.uint32).tobytes() + b"".join(words)
 
 
-def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+def distinct_words(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     """Rows (chunk, part, packed words): each distinct pre-token of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +102,24 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
             pieces: set[str] = set()
             for text in texts:
                 pieces.update(cut(text))
-            for part, words in _words_by_part(pieces).items():
+            for part, words in _words_by_part(pieces, parts).items():
                 raw = np.uint32(len(words)).tobytes() + _join(words)
                 yield pa.RecordBatch.from_pylist([{"chunk": chunk, "part": part, "packed": _pack(raw)}], schema=pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("packed", pa.binary())]))
 
     return docs.select("doc_id", "text").mapInArrow(run, WORDS)
 
 
+_encoders: dict[tuple[int, str], Callable[[str], list[int]]] = {}
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], list[int]]:
+    """The encoding of one word, made once for a worker."""
+    if (key := (id(ranks), pattern)) not in _encoders:
+        _encoders.clear()
+        _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _encoders[key]
+
+
 def _split(raw: bytes) -> list[bytes]:
     n = int(np.frombuffer(raw, np.uint32, 1)[0])
     ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
@@ -117,10 +134,14 @@ def encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
     """The packed ids of the packed words, in their order: lengths, then ids. ranks: a broadcast of the rank table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        encode = _encoder(ranks.value, pattern)
         known: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
             for row in batch.to_pylist():
+                if last == (row["chunk"], row["part"]):
+                    continue  # chunks of equal contents have equal words
+                last = row["chunk"], row["part"]
                 found = []
                 for word in _split(_unpack(row["packed"])):
                     ids = known.get(word)
@@ -135,7 +156,7 @@ def encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "part": row["part"], "packed": _pack(raw)}], schema=pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("packed", pa.binary())]))
 
     # Equal words have equal parts, so all their copies meet in one task. The rows are few and even.
-    return words.repartition("part").mapInArrow(run, WORDS)
+    return words.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(run, WORDS)
 
 
 def _split_ids(raw: bytes) -> list[list[int]]:
@@ -168,9 +189,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True)
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))  # one row per token of the vocabulary
-    ids = encode_words(distinct_words(docs, pattern), ranks, pattern)
-    # At most PARTS rows for a chunk; equal chunks have equal words, so one of their copies is enough.
-    by_chunk = ids.groupBy("chunk", "part").agg(F.first("packed").alias("packed")).groupBy("chunk").agg(F.collect_list(F.struct("part", "packed")).alias("found"))
+    parts = n_parts(docs)
+    ids = encode_words(distinct_words(docs, pattern, parts), ranks, pattern)
+    # At most one row for each part of a chunk.
+    by_chunk = ids.groupBy("chunk").agg(F.collect_list(F.struct("part", "packed")).alias("found"))
     both = _texts_by_chunk(docs).join(by_chunk, "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,29 +201,35 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True)
         for batch in batches:
             for row in batch.to_pylist():
                 table = pa.ipc.open_stream(_unpack(row["texts"])).read_all()
-                texts = [cut(t) for t in table["text"].to_pylist()]
-                found = {x["part"]: _split_ids(_unpack(x["packed"])) for x in row["found"] or ()}
-                known = {}
-                for part, words in _words_by_part({p for pieces in texts for p in pieces}).items():
-                    for word, own in zip(words, found[part], strict=True):
-                        known[word.decode()] = own, " ".join(map(str, own)), b"".join(token_bytes[i] for i in own)
+                # Documents as numbers of their words: a word is held once for the chunk, not once for each use.
+                number: dict[str, int] = {}
+                texts = [array("I", [number.setdefault(p, len(number)) for p in cut(t.as_py())]) for t in table["text"]]
+                found = {x["part"]: x["packed"] for x in row["found"] or ()}
+                own: list[list[int]] = [[]] * len(number)
+                for part, words in _words_by_part(number, parts).items():
+                    # Rows that came in another order when recomputed make another chunk, which nobody has encoded.
+                    ids_here = _split_ids(_unpack(found[part])) if part in found else [_encoder(ranks.value, pattern)(w.decode()) for w in words]
+                    for word, word_ids in zip(words, ids_here, strict=True):
+                        own[number[word.decode()]] = word_ids
+                said = [" ".join(map(str, x)) for x in own]
+                raw = [b"".join([token_bytes[i] for i in x]) for x in own]
+                sizes = [len(x) for x in own]
                 out = []
-                for doc_id, pieces in zip(table["doc_id"].to_pylist(), texts, strict=True):
-                    parts = [known[p] for p in pieces]
-                    said = " ".join([p[1] for p in parts])
+                for doc_id, numbers in zip(table["doc_id"].to_pylist(), texts, strict=True):
                     out.append(
                         {
                             "doc_id": doc_id,
-                            "n_tokens": sum([len(p[0]) for p in parts]),
-                            "ids": [i for p in parts for i in p[0]] if with_ids else None,
-                            "ids_sha256": hashlib.sha256(said.encode()).hexdigest(),
-                            "decoded_sha256": hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest(),
+                            "n_tokens": sum([sizes[k] for k in numbers]),
+                            "ids": [i for k in numbers for i in own[k]] if with_ids else None,
+                            "ids_sha256": hashlib.sha256(" ".join([said[k] for k in numbers]).encode()).hexdigest(),
+                            "decoded_sha256": hashlib.sha256(b"".join([raw[k] for k in numbers])).hexdigest(),
                         }
                     )
-                    if len(out) >= 1000:
+                    if len(out) >= 500:
                         yield _batch(out)
                         out = []
-                yield _batch(out)
+                if out:
+                    yield _batch(out)
 
     return both.select("texts", "found").mapInArrow(run, ENCODED)
 
