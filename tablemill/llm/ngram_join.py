@@ -97,8 +97,12 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
 def _signature(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = _WordHashes()
     for batch in words:
-        sets = [shingles(x, hashes) for x in batch]
-        yield pd.DataFrame({"n_shingles": [len(s) for s in sets], "bands": [band_keys(s).tolist() if len(s) else None for s in sets]})
+        sizes, bands = [], []
+        for x in batch:
+            s = shingles(x, hashes)
+            sizes.append(len(s))
+            bands.append(band_keys(s) if len(s) else None)
+        yield pd.DataFrame({"n_shingles": sizes, "bands": bands})
 
 
 @F.pandas_udf(schema("packed binary"))
