@@ -164,6 +164,15 @@ def test_bpe_against_tiktoken(spark, tokenizer, monkeypatch):
     assert bpe.encode(rows.limit(0), queries.RANK_FILE, queries.PATTERN).count() == 0
 
 
+def test_bpe_without_matching_chunks(spark, monkeypatch):
+    """Rows recomputed in another order make chunks that nobody encoded: the result is the same."""
+    rows = docs(spark, [(k, prose(k, 40)) for k in range(20)])
+    want = sorted(map(str, bpe.encode(rows, queries.RANK_FILE, queries.PATTERN).collect()))
+    plain = bpe.distinct_words
+    monkeypatch.setattr(bpe, "distinct_words", lambda d, pattern, parts: plain(d.limit(0), pattern, parts))
+    assert sorted(map(str, bpe.encode(rows, queries.RANK_FILE, queries.PATTERN).collect())) == want
+
+
 def test_chunks_cut_by_size(monkeypatch):
     import pyarrow as pa
 
@@ -370,3 +379,13 @@ def test_pipeline_awkward(spark):
             out = corpus_pipeline.stored(out)
         rows = corpus_pipeline.stored(stage(spark, rows, ""))
     assert rows.count() > 0 and SCHEMA
+
+
+def test_bounded_sample_is_the_least_hashes(spark):
+    from tablemill.llm.common import bounded_sample
+
+    rows = spark.range(20_000)
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 40))
+    want = [r["id"] for r in rows.orderBy(mark("id")).limit(50).collect()]
+    assert [r["id"] for r in bounded_sample(rows, F.xxhash64("id"), 50).collect()] == want
+    assert bounded_sample(rows.limit(7), F.xxhash64("id"), 50).count() == 7
