@@ -14,6 +14,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(mixed, 20)), F.bit_xor(mixed)).first())
 
 
+#: Edges that one task writes; graphs shrink from round to round, and tiny tasks cost more than they do.
+EDGES_PER_TASK = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node long, root long) for every node of edges (a long, b long): root is the least node reachable.
 
@@ -29,10 +33,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large)
+        parts = 1 + mark[0] // EDGES_PER_TASK
+        large = stored(large.coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        step = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct().coalesce(parts))
         before, mark = mark, _mark(step)
         if mark == before:
             break
