@@ -177,7 +177,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     flagged = seeds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, FLAGGED)
     by_doc = flagged.groupBy("rk").agg(F.collect_list(F.struct("pos", "sign")).alias("seeds"))
     windows = stored(keyed.join(by_doc, "rk").select("rk", "doc_id", "text", "seeds").mapInArrow(_windows, WINDOWS))
-    shared = windows.groupBy("h0", "h1").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("h0", "h1")
+    # Counts are pre-aggregated; stored, so that the join shuffles on its own and Spark can split a hot window's rows.
+    shared = stored(windows.groupBy("h0", "h1").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("h0", "h1"))
     hits = windows.join(shared, ["h0", "h1"], "left_semi")
     own = Window.partitionBy("rk").orderBy("start")
     fresh_span = F.col("start") > F.coalesce(F.lag("start").over(own), F.lit(-10 * MIN_WORDS)) + MIN_WORDS
