@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import fresh, schema
+from tablemill.llm.common import bounded_sample, fresh, schema
 
 FRAME, CONTENT, BOILER = range(3)
-#: Pages of the sample, those whose html hashes lowest.
+#: Pages of the sample, those whose rows hash lowest.
 SAMPLE = 2_000
 MARK = "data-state"
 #: Text measures of an element and of those within it say much the same, so each counts for a part.
@@ -352,7 +352,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
                 found.update(counts(source))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["potential", "state", "n"])
 
-    few = pages.select("html").where("html is not null").orderBy(F.xxhash64("html")).limit(sample)
+    few = bounded_sample(pages.where("html is not null"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in pages.dtypes if kind in ("bigint", "int", "string")]), sample).select("html")
     rows = few.mapInArrow(run, schema("potential string, state long, n long")).groupBy("potential", "state").agg(F.sum("n").alias("n")).collect()
     table = Counter({(r["potential"], r["state"]): r["n"] for r in rows})
     hand: Counter = Counter()
