@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.banding import bucket_lists, first_common
-from tablemill.llm.common import schema, stored
+from tablemill.llm.common import bounded_sample, schema, stored
 from tablemill.llm.ngram_join import with_links
 from tablemill.llm.tiles import link_tiles, tiles
 
 COSINE = 0.98
 BITS, TABLES, RADIUS = 64, 6, 24
-#: The rotation is fitted on at most so many vectors, those whose ids hash lowest.
+#: The rotation is fitted on at most so many vectors, those that hash lowest.
 SAMPLE, ROUNDS = 20_000, 30
 BLOCK_VECTORS = 1024
 
@@ -106,7 +106,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     key = ["label", "embedding"]
     classes = base.where("embedding is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
-    sample = classes.select("id", "embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).toPandas()
+    sample = bounded_sample(classes.select("id", "embedding"), F.xxhash64("embedding"), SAMPLE).toPandas()
     if len(sample):
         length = int(sample["embedding"].map(len).mode()[0])
         mean, projection = fit_rotation(np.array([v for v in sample["embedding"] if len(v) == length], dtype=np.float64))
