@@ -1,10 +1,14 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking with original vectors.
 
 A rotation learned on a bounded sample turns vectors into balanced 64-bit codes. Each code is cut into TABLES
-substrings; vectors that agree in a substring (and in label and dimension) share a bucket. Within a bucket the
-Hamming distance of whole codes filters first, then the cosine of the original vectors in double precision decides.
-Every vector is indexed. A pair is linked only if its cosine reaches the threshold; a pair above it is missed only if
-its codes differ in every table.
+substrings; vectors that agree in a substring (and in label and dimension) share a bucket. Within a bucket the cosine
+of the original vectors in double precision decides alone. Every vector is indexed. A pair is linked only if its
+cosine reaches the threshold; a pair above it is missed only if its codes differ in every table.
+
+How many tables that takes depends on the vectors: with a strong common direction little is left to tell them apart,
+and codes of near pairs differ more. So rotations (TABLES tables each) are added until made-up pairs right at the
+threshold, around the sampled vectors nearest to the mean, share a bucket as often as RECALL. If ROTATIONS do not
+reach that, all vectors of a label and dimension are compared, which misses nothing and takes quadratic time.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and null labels, link with
 nothing; equal vectors of one label form a class and are compared once; vectors of different lengths never meet; an
@@ -22,15 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.llm.banding import bucket_lists, first_common
-from tablemill.llm.common import bounded_sample, schema, stored
+from tablemill.llm.common import bounded_sample, stored
 from tablemill.llm.ngram_join import with_links
 from tablemill.llm.tiles import link_tiles, tiles
 
 COSINE = 0.98
-BITS, TABLES, RADIUS = 64, 6, 24
+BITS, TABLES = 64, 6
+#: The share of pairs at the threshold that must share a bucket, the most rotations for it, and the pairs tried.
+RECALL, ROTATIONS, TRIALS = 0.995, 12, 8_000
 #: The rotation is fitted on at most so many vectors, those that hash lowest.
 SAMPLE, ROUNDS = 20_000, 30
 BLOCK_VECTORS = 1024
+STRIP = 64
 
 
 def fit_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -67,21 +74,56 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> tuple[np.n
     return whole.view(np.int64), keys.view(np.int64)
 
 
+def threshold_pairs(x: np.ndarray, mean: np.ndarray, cosine: float, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of exactly this cosine, around the tenth of rows x nearest to the mean.
+
+    First they differ in directions of any kind, then in directions in which the rows of x themselves differ.
+    """
+    random = np.random.default_rng(seed)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[np.argsort(((x - mean) ** 2).sum(axis=1), kind="stable")[: max(1, len(x) // 10)]]
+    a = near[np.arange(max(TRIALS, len(near))) % len(near)]
+    other = x[random.integers(0, len(x), len(a))] - x[random.integers(0, len(x), len(a))]
+    for turn in (random.standard_normal(a.shape), other):
+        turn = turn - (turn * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(turn, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6
+        if some.any():
+            yield a[some], cosine * a[some] + np.sqrt(1 - cosine**2) * turn[some] / size[some]
+
+
+def fit_tables(x: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(mean, projections): as many rotations as RECALL takes; none if ROTATIONS are too few."""
+    mean, projection = fit_rotation(x)
+    pairs = list(threshold_pairs(x, mean, cosine))
+    met = [np.zeros(len(a), dtype=bool) for a, _ in pairs]
+    projections: list[np.ndarray] = []
+    while True:
+        projections.append(projection)
+        for (a, b), seen in zip(pairs, met, strict=True):
+            seen |= (codes(a, mean, projection)[1] == codes(b, mean, projection)[1]).any(axis=1)
+        if all(seen.mean() >= RECALL for seen in met):
+            return mean, projections
+        if len(projections) == ROTATIONS:
+            return mean, []
+        projection = fit_rotation(x, seed=7 + len(projections))[1]
+
+
 def usable(embedding: Column, label: Column) -> Column:
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(label.isNotNull() & embedding.isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _coder(mean: np.ndarray, projection: np.ndarray):
-    @F.pandas_udf(schema("code long, tables longs"))
-    def run(vectors: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _coder(mean: np.ndarray, projections: list[np.ndarray]):
+    @F.pandas_udf("array<long>")
+    def run(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in vectors:
             x = np.zeros((len(batch), len(mean)))
             for k, v in enumerate(batch):
                 x[k, : len(v)] = v[: len(mean)]  # other lengths are only coded alike, never compared with these
             x[~x.any(axis=1), 0] = 1
-            whole, keys = codes(x, mean, projection)
-            yield pd.DataFrame({"code": whole, "tables": keys.tolist()})
+            keys = [codes(x, mean, projection)[1] for projection in projections]
+            yield pd.Series(np.hstack(keys).tolist() if keys else [[0]] * len(batch))  # one bucket for all
 
     return run
 
@@ -90,12 +132,11 @@ def _near(cosine: float):
     def compare(cols: dict[str, pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
         x = np.array(cols["embedding"].to_pylist(), dtype=np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        code = cols["code"].to_numpy().view(np.uint64)
         band, bands = cols["band"][0].as_py(), np.array(cols["bands"].to_pylist(), dtype=np.int64)
-        for i in range(len(x) - 1):
-            js = np.flatnonzero(np.bitwise_count(code[i + 1 :] ^ code[i]) <= RADIUS) + i + 1
-            js = js[x[js] @ x[i] >= cosine]
-            yield i, first_common(bands, band, i, js)
+        for start in range(0, len(x) - 1, STRIP):
+            strip = x[start : start + STRIP] @ x[start:].T >= cosine
+            for k, row in enumerate(strip[: len(x) - 1 - start]):
+                yield start + k, first_common(bands, band, start + k, np.flatnonzero(row[k + 1 :]) + start + k + 1)
 
     return compare
 
@@ -109,14 +150,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = bounded_sample(classes.select("id", "embedding"), F.xxhash64("embedding"), SAMPLE).toPandas()
     if len(sample):
         length = int(sample["embedding"].map(len).mode()[0])
-        mean, projection = fit_rotation(np.array([v for v in sample["embedding"] if len(v) == length], dtype=np.float64))
+        mean, projections = fit_tables(np.array([v for v in sample["embedding"] if len(v) == length], dtype=np.float64), cosine)
     else:
-        mean, projection = np.zeros(1), np.zeros((1, BITS))
-    coded = classes.withColumn("c", _coder(mean, projection)("embedding")).select("*", "c.code", "c.tables")
+        mean, projections = np.zeros(1), []
+    coded = classes.withColumn("tables", _coder(mean, projections)("embedding"))
     alike = F.transform("tables", lambda t: F.xxhash64(F.col("label"), F.size("embedding"), t))
-    coded = stored(coded.select("id", "weight", "embedding", "code", alike.alias("bands"), F.lit(1).cast("long").alias("volume")))
+    coded = stored(coded.select("id", "weight", "embedding", alike.alias("bands"), F.lit(1).cast("long").alias("volume")))
     rows = coded.join(bucket_lists(coded, BLOCK_VECTORS), "id")
-    rows = rows.select("id", "weight", "embedding", "code", "bands", F.explode("buckets").alias("b")).select("id", "weight", "embedding", "code", "bands", "b.*")
+    rows = rows.select("id", "weight", "embedding", "bands", F.explode("buckets").alias("b")).select("id", "weight", "embedding", "bands", "b.*")
     tiled = tiles(rows, ["band", "h"], "blocks")
-    links = stored(link_tiles(tiled, ["band", "h"], ["embedding", "code", "bands", "band"], _near(cosine)))
+    links = stored(link_tiles(tiled, ["band", "h"], ["embedding", "bands", "band"], _near(cosine)))
     return with_links(base, key, classes, links, "vec_id").select("vec_id", "n_links", "component_id")

@@ -273,6 +273,24 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert all(near[r["vec_id"]].any() or r["component_id"] == r["vec_id"] for r in found)
 
 
+@pytest.mark.parametrize("common", [0.0, 0.9, 0.999])
+def test_embeddings_with_a_common_direction(spark, common):
+    """Pairs right above the threshold are found however much all vectors have in common."""
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((500, 64))
+    x = np.sqrt(1 - common**2) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += common
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rnd.standard_normal(x.shape)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.vstack([x, y]).astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = (unit @ unit.T >= 0.98).sum() - len(x)
+    found = collected(embedding_dedup.near_duplicates(vectors(spark, [(k, v, 0, None, None, None) for k, v in enumerate(x.tolist())])))
+    assert 0.98 * pairs <= sum(r["n_links"] for r in found) <= pairs and pairs >= 1000
+
+
 def test_embeddings_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
