@@ -42,7 +42,14 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template svg iframe select button math object canvas audio video".split())
+#: Elements without markup inside: skipped up to their end, or to the end of the page, as browsers do.
+RAW = set("script style title textarea xmp noembed noframes".split())
+#: Skipped only if they are closed.
+HIDDEN = set("template iframe".split())
+#: Elements that often aren't text, but may hold it: parsed and judged if they are closed, else as if they weren't there.
+EMBEDDED = set("noscript svg select button math object canvas audio video".split())
+#: A block ends these.
+BROKEN_BY_BLOCK = ("svg", "math", "select")
 BLOCK = set("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -69,7 +76,7 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at, low = 0, None
+        at, ends = 0, {}
         for m in iter(lambda: TOKEN.search(source, at), None):
             self._text(source[at : m.start()])
             at = m.end()
@@ -79,11 +86,16 @@ class Page:
             name = name.lower()
             if m[1]:
                 self._end(name)
-            elif name in RAW and not m[3].rstrip().endswith("/"):
-                low = low if low is not None else source.lower() if len(source.lower()) == len(source) else source
-                end = low.find(f"</{name}", at)
-                at = len(source) if end < 0 else end
-            else:
+                continue
+            alone = m[3].rstrip().endswith("/")
+            if (name in RAW or name in HIDDEN or name in EMBEDDED) and not alone and ends.get(name, -1) < at:
+                end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A).search(source, at)
+                ends[name] = end.start() if end else len(source)
+            if name in RAW and not alone:
+                at = ends[name]
+            elif name in HIDDEN and not alone:
+                at = ends[name] if ends[name] < len(source) else at
+            elif name not in EMBEDDED or not alone and ends[name] < len(source):
                 self._start(name, m[3])
         self._text(source[at:])
 
@@ -93,6 +105,9 @@ class Page:
             return
         if name in BLOCK:
             self._block += 1
+            for other in BROKEN_BY_BLOCK:
+                if other in self._names:
+                    self._pop_to(other)
             if "p" in self._names and name not in ("html", "head", "body"):
                 self._pop_to("p", stop=("td", "th", "table", "article", "section", "div", "li", "blockquote", "form"))
             if name in CLOSES:
@@ -100,6 +115,8 @@ class Page:
                     self._pop_to(other, stop=WITHIN[name])
         if name in VOID:
             return
+        if name == "button" and name in self._names:
+            self._pop_to(name)
         self.tag.append(name)
         self.parent.append(self._open[-1])
         self.hint.append(self._hint(attributes) if attributes else "none")
@@ -197,7 +214,7 @@ class Page:
         return "\n\n".join(x for x in said if x)
 
 
-KNOWN = BLOCK | set("a b i em strong span u small code q cite label abbr sub sup time #root".split())
+KNOWN = BLOCK | EMBEDDED | set("a b i em strong span u small code q cite label abbr sub sup time #root".split())
 
 
 def marked_states(page: Page) -> list[int] | None:
@@ -327,6 +344,10 @@ def _layouts() -> list[str]:
     share = f'<div class="share" {MARK}="2"><a href="/s">Share</a> <a href="/t">Send</a></div>'
     text = f"{h}{p * 3}<h2>Second part</h2><p>{short}</p><ul><li>{long}</li><li>{short}</li></ul><blockquote><p>{long}</p></blockquote><table><tr><td>{short}</td><td>12</td></tr></table><pre>{short}</pre><p><a href='/y'>{short}</a> {long}</p>"
     mark = f'{MARK}="1"'
+    parts = f'<button {MARK}="2">Share</button><noscript {MARK}="2">{short}</noscript><select {MARK}="2"><option>One</option></select><svg {MARK}="2"><text>x</text></svg>'
+    parts += "".join(f'<{x} {MARK}="2">{short}</{x}>' for x in ("object", "canvas", "audio", "video"))
+    formula = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>. " + long + "</p>"
+    held = "".join(f"<{x}>{p * 2}</{x}>" for x in ("button", "noscript", "object", "canvas", "audio", "video"))
     figure = f"<figure><figcaption>{short}</figcaption></figure>"
     bodies = [
         header + nav + f"<main {mark}><article>{text}{figure}{share}</article></main>" + side + footer,
@@ -337,6 +358,7 @@ def _layouts() -> list[str]:
         f'<div {MARK}="0">{menu}<div {mark}>{text}</div>{foot}</div>',
         nav + f'<h1 {mark}>A heading</h1>' + f"<p {mark}>{long}</p>" * 4 + footer,
         f'<table {MARK}="0"><tr {MARK}="0"><td class="nav" {MARK}="2">{link * 3}</td><td {mark}>{text}</td></tr></table>' + foot,
+        header + nav + parts + f"<article {mark}>{text}{parts}{formula}{held}</article>" + footer,
         header + f'<section {MARK}="0"><div id="main-content" {mark}><h2>A heading</h2>{p * 2}{ad}{p}</div></section>' + letter + footer,
     ]
     return [f'<html {MARK}="0"><head {MARK}="2"><title>x</title></head><body {MARK}="0">{b}</body></html>' for b in bodies]

@@ -208,6 +208,27 @@ def test_broken_and_empty_pages(spark, model):
     assert empty.extract(f"<html><body><p>{LONG}</p></body></html>") == " ".join(LONG.split())
 
 
+@pytest.mark.parametrize("name", ["button", "svg", "object", "math", "canvas", "video", "audio", "select", "noscript", "template", "iframe"])
+def test_unclosed_elements_drop_no_article_text(model, name):
+    want = model.extract(f"<html><body><article><h1>T</h1><p>{LONG}</p><p>Last, {LONG}</p></article></body></html>")
+    assert want.count("A longer sentence") == 10
+    for tag in (f"<{name}>", f"<{name} class=x/>"):
+        assert model.extract(f"<html><body><article><h1>T</h1>{tag}<p>{LONG}</p><p>Last, {LONG}</p></article></body></html>") == want
+    assert model.extract(f"<html><body><article><h1>T</h1><p>{LONG}</p><{name}>Sh</{name.upper()} ><p>Last, {LONG}</p></article></body></html>").count("A longer sentence") == 10
+
+
+def test_embedded_text_is_judged(model):
+    article = "<html><body><article><h1>T</h1><p>{0}</p>{1}<p>{0}</p></article></body></html>"
+    assert "x = 2" in model.extract(article.format(LONG, f"<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds. {LONG}</p>"))
+    assert model.extract(article.format(LONG, f"<object><p>{LONG}</p></object>")).count("A longer sentence") == 15
+    assert "Share" not in model.extract(article.format(LONG, "<button>Share</button>"))
+
+
+def test_raw_elements_end_in_any_case(model):
+    text = model.extract(f"<html><head><STYLE>p {{}}</STYLE></head><body><article><h1>İstanbul</h1><SCRIPT>var a</sCript><p>{LONG}</p></article></body></html>")
+    assert text == "İstanbul\n\n" + " ".join(LONG.split())
+
+
 def test_marginals_are_exact(model):
     """Messages against brute force over all states of a small page."""
     page = html_extraction.Page("<div><p>Some words, here.</p><div class=ad>Buy</div></div>")
