@@ -6,15 +6,19 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablemill.operators.aggregates import table_hash
 from tablemill.sources import files
 
 
+#: Files hashed at once.
+HASHERS = 8
+
+
 class Mode(Enum):
     NORMAL = "normal"
     IGNORE_FRESH_INPUT = "ignore fresh input"
@@ -24,9 +28,22 @@ class Mode(Enum):
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file_name, file_size, sha256) of the files in a folder, hashed where Spark reads them."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256"))
+    """(file_name, file_size, sha256) of the files in a folder. Each is hashed as a stream, so none is held whole."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length").collect()
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def digest(name: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(HASHERS) as pool:
+        digests = list(pool.map(digest, [r["path"] for r in found]))
+    rows = [(r["path"].rsplit("/", 1)[-1], r["length"], said) for r, said in zip(found, digests, strict=True)]
+    return spark.createDataFrame(rows, "file_name string, file_size long, sha256 string")
 
 
 def canonical(query_text: str) -> str:

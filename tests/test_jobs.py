@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,18 @@ def test_file_hashes(spark, tmp_path):
     assert (row["file_name"], row["file_size"], row["sha256"][:8]) == ("x.txt", 3, "ba7816bf")
 
 
+def test_file_hashes_hold_no_file_whole(spark, tmp_path):
+    """A file beyond what one row may hold is hashed all the same."""
+    (tmp_path / "x.bin").write_bytes(b"abc" * 100_000)
+    limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        row = file_hashes(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
+    assert (row["file_size"], row["sha256"]) == (300_000, hashlib.sha256(b"abc" * 100_000).hexdigest())
+
+
 def test_new_files_once(spark, tmp_path):
     source, target, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
     spark.range(3).coalesce(1).write.parquet(source)
