@@ -157,6 +157,17 @@ def test_guess_cost_is_the_least_over_all_segmentations(value):
     assert secret_scan.guess_cost(value) == pytest.approx(least)
 
 
+def test_every_context_value_is_judged_by_its_cost():
+    for text, value in (
+        ("pwd = qzxvkjwpmhtbnrlc.", "qzxvkjwpmhtbnrlc"), ("passcode: 840271593026", "840271593026"), ('pwd = "x8#K,q0vLw2Zt" x', "x8#K,q0vLw2Zt"),
+        ("auth='a;Q<9x>k2,Lp' y", "a;Q<9x>k2,Lp"), ('pwd="x8#K\'q0vLw2Zt', "q0vLw2Zt"), (r'pwd="x8\"Kq0vLw2" z', r"x8\"Kq0vLw2"),
+    ):
+        found = [text[a:b] for a, k, b in secret_scan.scan(text) if k == 3]
+        assert found == [value] if value != "q0vLw2Zt" else found == [], text
+    for text in ("The secret: authentication", "auth: configuration, then", "token: description of it", "key access key: international", "secret: 'everything'"):
+        assert not [s for s in secret_scan.scan(text) if s[1] == 3], text
+
+
 def test_context_values_and_redaction(spark):
     text = "pwd: x8#Kq0vLw2! and login; passphrase = plainprose token = Zx81kqPp02Vm"
     spans = secret_scan.scan(text)
