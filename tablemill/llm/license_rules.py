@@ -289,6 +289,14 @@ def words_pattern(pattern: str) -> str:
     return f" {''.join(out)} "
 
 
+def always_holds(pattern: str, stem: str) -> bool:
+    """Whether stem is in all that the expression matches, in whichever alternative; False where that can't be told."""
+    left = re.sub(r"\[[^]]*\][?*+]?|[^()|][?*]", "\0", re.sub(r"\)[?*]", ")~", pattern))
+    while (inner := re.sub(r"\(([^()]*)\)(~?)", lambda m: stem if not m[2] and all(stem in x for x in m[1].split("|")) else "\0", left)) != left:
+        left = inner
+    return all(stem in x for x in left.split("|"))
+
+
 #: (rule_id, label, keyword, pattern, priority, is_base)
 RULES = [
     (k, label, keyword, words_pattern(pattern), priority, base)
@@ -297,4 +305,4 @@ RULES = [
 KEYWORDS = sorted({r[2] for r in RULES})
 #: Most rules need this word stem; texts without it are searched only for the keywords of the other rules.
 STEM = "licen"
-OTHER_KEYWORDS = sorted({r[2] for r in RULES if STEM not in re.sub(r"\([^()]*(\([^()]*\))?[^()]*\)\?", "", r[3])})
+OTHER_KEYWORDS = sorted({r[2] for r in RULES if not always_holds(r[3], STEM)})
