@@ -9,7 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -164,13 +167,33 @@ def test_bpe_against_tiktoken(spark, tokenizer, monkeypatch):
     assert bpe.encode(rows.limit(0), queries.RANK_FILE, queries.PATTERN).count() == 0
 
 
-def test_bpe_without_matching_chunks(spark, monkeypatch):
-    """Rows recomputed in another order make chunks that nobody encoded: the result is the same."""
+def test_bpe_words_and_positions_of_different_runs_raise(spark, monkeypatch):
+    """Rows that came in another order for the words than for the positions: no result rather than a wrong one."""
     rows = docs(spark, [(k, prose(k, 40)) for k in range(20)])
-    want = sorted(map(str, bpe.encode(rows, queries.RANK_FILE, queries.PATTERN).collect()))
-    plain = bpe.distinct_words
-    monkeypatch.setattr(bpe, "distinct_words", lambda d, pattern, parts: plain(d.limit(0), pattern, parts))
-    assert sorted(map(str, bpe.encode(rows, queries.RANK_FILE, queries.PATTERN).collect())) == want
+    plain = bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda pieces, ranks, pattern: plain(bpe.cut_and_number(rows.orderBy(F.desc("doc_id")).coalesce(1), pattern, 48).repartition("dest"), ranks, pattern))
+    with pytest.raises(Exception, match="different runs"):
+        bpe.encode(rows.coalesce(1), queries.RANK_FILE, queries.PATTERN).collect()
+
+
+def test_bpe_words_cross_chunks_and_parts(spark, tokenizer, monkeypatch):
+    """Many chunks, more parts than words, chunks without words; the cut runs once for both uses of its shuffle."""
+    texts = ["", None, *[prose(k % 7, 30) for k in range(60)], "", "x"]
+    found = bpe.encode(docs(spark, list(enumerate(texts))).repartition(9), queries.RANK_FILE, queries.PATTERN)
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {k: tokenizer.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@given(st.text(alphabet=st.characters(max_codepoint=127)))
+def test_ascii_cut_is_the_same(text):
+    assert bpe.cutter(queries.PATTERN)(text) == regex.findall(queries.PATTERN, text)
+    assert bpe.cutter(r"[^\S\p{N}]+|\S")(text) == regex.findall(r"[^\S\p{N}]+|\S", text)
+
+
+@given(st.lists(st.integers(0, 2**32 - 1)), st.binary())
+def test_packed_numbers_come_back(numbers, rest):
+    found, left = bpe._unpack(bpe._pack(np.array(numbers, dtype=np.uint32), rest))
+    assert found.tolist() == numbers and left == rest
 
 
 def test_chunks_cut_by_size(monkeypatch):
@@ -179,8 +202,8 @@ def test_chunks_cut_by_size(monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 10)
     batch = pa.RecordBatch.from_pylist([{"d": k, "t": "x" * k} for k in range(8)])
     chunks = list(bpe._chunks(iter([batch, batch])))
-    assert [i for _, ids, _ in chunks for i in ids] == [*range(8)] * 2
-    assert all(len(t) == 1 or sum(map(len, t)) <= 10 for _, _, t in chunks) and len({c for c, _, _ in chunks}) > 5
+    assert [i for ids, _ in chunks for i in ids] == [*range(8)] * 2
+    assert all(len(t) == 1 or sum(map(len, t)) <= 10 for _, t in chunks) and len(chunks) > 5
 
 
 # N-gram join
