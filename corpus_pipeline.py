@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.llm import bpe, mixing, ngram_join, quality_rules, secret_scan
-from tablemill.llm.common import documents, stored
+from tablemill.llm.common import documents
 from tablemill.llm.queries import PATTERN, RANK_FILE
+from tablemill.scratch import stored_alone
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage is written and read again, so that none is computed twice and lineage stays short."""
+    """Each stage is written and read again, so that none is computed twice and lineage stays short. What a stage stores
+    on its way goes when it is written."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

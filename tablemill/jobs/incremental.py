@@ -10,12 +10,15 @@ from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablemill.operators.aggregates import table_hash
 from tablemill.sources import files
 
 
-#: Files hashed at once.
+#: Files of at most so many bytes are hashed by tasks; a larger one would be a row too large, and is hashed as a stream.
+WHOLE_FILE = 128 << 20
+#: Streams at once.
 HASHERS = 8
 
 
@@ -28,8 +31,17 @@ class Mode(Enum):
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file_name, file_size, sha256) of the files in a folder. Each is hashed as a stream, so none is held whole."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length").collect()
+    """(file_name, file_size, sha256) of the files in a folder.
+
+    Tasks hash files of up to WHOLE_FILE bytes, as partitioned tables have them. Larger ones are read by the driver as
+    streams, so that no file is held whole: their number is that of files, not of rows.
+    """
+    files_there = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    small = files_there.where(F.col("length") <= WHOLE_FILE).select(name, F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256"))
+    found = files_there.where(F.col("length") > WHOLE_FILE).select("path", "length").collect()
+    if not found:
+        return small
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
 
     def digest(name: str) -> str:
@@ -43,7 +55,7 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     with ThreadPoolExecutor(HASHERS) as pool:
         digests = list(pool.map(digest, [r["path"] for r in found]))
     rows = [(r["path"].rsplit("/", 1)[-1], r["length"], said) for r, said in zip(found, digests, strict=True)]
-    return spark.createDataFrame(rows, "file_name string, file_size long, sha256 string")
+    return small.unionByName(spark.createDataFrame(rows, small.schema))
 
 
 def canonical(query_text: str) -> str:

@@ -3,29 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.operators.aggregates import table_hash
+from tablemill.scratch import fresh
 
 Tables = Mapping[str, DataFrame]
 
 
+def _counted(said: list[tuple[tuple[str, ...], DataFrame, Column]], columns: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
+    """A row for each finding with one count over its table, taken by Spark."""
+    rows = [df.agg(count.alias(name)).select(*[F.lit(v).alias(c) for v, c in zip(values, columns, strict=True)], name) for values, df, count in said]
+    if not rows:
+        return spark.createDataFrame([], ", ".join([*(f"{c} string" for c in columns), f"{name} long"]))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def diff_tables(spark: SparkSession, new: Tables, old: Tables) -> DataFrame:
-    """(table_name, value): added or missing."""
-    rows = [(n, "added") for n in sorted(set(new) - set(old))] + [(n, "missing") for n in sorted(set(old) - set(new))]
-    return spark.createDataFrame(rows, "table_name string, value string")
+    """(table_name, value, n_rows): added or missing, and how many rows the table has or had."""
+    said = [((n, "added"), new[n], F.count("*")) for n in sorted(set(new) - set(old))] + [((n, "missing"), old[n], F.count("*")) for n in sorted(set(old) - set(new))]
+    return _counted(said, ("table_name", "value"), "n_rows", spark)
 
 
 def diff_columns(spark: SparkSession, new: Tables, old: Tables) -> DataFrame:
-    """(table_name, column_name, value) of columns that tables of both versions gained, lost, or have with another type."""
-    rows = []
+    """(table_name, column_name, value, n_values) of columns that tables of both versions gained, lost, or have with
+    another type, and how many values other than null they hold (lost ones: held)."""
+    said = []
     for n in sorted(set(new) & set(old)):
         a, b = dict(new[n].dtypes), dict(old[n].dtypes)
-        rows += [(n, c, "missing") for c in b if c not in a] + [(n, c, "added") for c in a if c not in b]
-        rows += [(n, c, f"{b[c]} to {a[c]}") for c in a if c in b and a[c] != b[c]]
-    return spark.createDataFrame(rows, "table_name string, column_name string, value string")
+        said += [((n, c, "missing"), old[n], F.count(f"`{c}`")) for c in b if c not in a] + [((n, c, "added"), new[n], F.count(f"`{c}`")) for c in a if c not in b]
+        said += [((n, c, f"{b[c]} to {a[c]}"), new[n], F.count(f"`{c}`")) for c in a if c in b and a[c] != b[c]]
+    return _counted(said, ("table_name", "column_name", "value"), "n_values", spark)
 
 
 def tables_equal(new: DataFrame, old: DataFrame) -> bool:
@@ -36,18 +47,42 @@ def tables_equal(new: DataFrame, old: DataFrame) -> bool:
 
 
 def diff_rows(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, change, columns): rows added, removed or changed, with the names of the changed columns, comma-joined.
+    """(keys, change, columns): a row for each key that was added, removed or changed, with the names of the columns
+    that changed, comma-joined.
 
-    One full join on the key; null equals null.
+    One aggregation by key over both sides, pre-aggregated in every task: neither a key that is repeated very often nor
+    null, which is a key like any other, is one task's load. Where a key is repeated, its rows and the values of each
+    column are compared as a whole, in any order (by sums of 64-bit hashes). A column that one side lacks is null there.
     """
-    rest = [c for c in new.columns if c not in keys and c in old.columns]
-    a = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in rest], F.lit(True).alias("in_new"))
-    b = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in rest], F.lit(True).alias("in_old"))
-    differ = F.array_compact(F.array(*[F.when(~F.col(f"new_{c}").eqNullSafe(F.col(f"old_{c}")), F.lit(c)) for c in rest]).cast("array<string>"))
-    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.size(differ) > 0, "changed")
-    both = F.col("in_new").isNotNull() & F.col("in_old").isNotNull()
-    out = a.join(b, list(keys), "full").select(*keys, change.alias("change"), F.when(both, F.array_join(differ, ",")).otherwise("").alias("columns"))
-    return out.where(F.col("change").isNotNull())
+    types = {1: dict(new.dtypes), -1: dict(old.dtypes)}
+    rest = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c not in keys]
+    cells, sign = [f"cell_{k}" for k in range(len(rest))], fresh(new.select(*keys), "side_sign")
+
+    def side(df: DataFrame, mark: int) -> DataFrame:
+        def cell(c: str) -> Column:
+            if c not in types[mark]:
+                return F.lit(None).cast("string")
+            same = types[-mark].get(c, types[mark][c]) == types[mark][c]
+            return F.col(f"`{c}`") if same else F.col(f"`{c}`").cast("string")  # another type: as text
+
+        hashes = [F.xxhash64(cell(c)).alias(n) for c, n in zip(rest, cells, strict=True)]
+        return df.select(*[F.col(f"`{k}`") for k in keys], *hashes, F.lit(mark).alias(sign))
+
+    both = side(new, 1).unionByName(side(old, -1))
+
+    def balance(h: Column) -> list[Column]:
+        """Two sums that are 0 if both sides hold the same values."""
+        return [F.sum(part * F.col(sign)) for part in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+
+    measured = [*cells, fresh(new.select(*keys), "whole_row")]
+    sums = {f"{n}_{i}": s for n, h in zip(measured, [*map(F.col, cells), F.xxhash64(*cells) if cells else F.lit(0).cast("long")], strict=True) for i, s in enumerate(balance(h))}
+    count = lambda mark: F.count(F.when(F.col(sign) == mark, 1))
+    per = both.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(count(1).alias("n_new"), count(-1).alias("n_old"), *[s.alias(n) for n, s in sums.items()])
+    differs = lambda n: (F.col(f"{n}_0") != 0) | (F.col(f"{n}_1") != 0)
+    changed = F.array_compact(F.array(*[F.when(differs(n), F.lit(c)) for c, n in zip(rest, cells, strict=True)]).cast("array<string>"))
+    change = F.when(F.col("n_old") == 0, "added").when(F.col("n_new") == 0, "removed").when(differs(measured[-1]) | (F.col("n_new") != F.col("n_old")), "changed")
+    columns = F.when(change == "changed", F.array_join(changed, ",")).otherwise("")
+    return per.where(change.isNotNull()).select(*[F.col(f"`{k}`") for k in keys], change.alias("change"), columns.alias("columns"))
 
 
 def compare_versions(new: Tables, old: Tables, check: Callable[[str, DataFrame, DataFrame], DataFrame]) -> dict[str, DataFrame | str]:

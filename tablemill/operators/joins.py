@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.scratch import fresh
+
 Keys = str | Sequence[str]
 
 
@@ -45,18 +47,22 @@ def full_join(left: DataFrame, right: DataFrame, keys: Keys, extra: Column | Non
 
 
 def conflicting_pairs(df: DataFrame, keys: Keys, column: str, condition: Column | None = None) -> DataFrame:
-    """Pairs (l, r) of rows with equal keys that differ in column. The equality drives the shuffle; (key, column) is
-    made distinct first, so repeated values don't multiply."""
+    """Pairs (l, r) of rows with equal keys that differ in column, and that meet the condition. The equality drives the
+    shuffle. Rows that agree in all columns count once; null keys and null values conflict with nothing."""
     names = _keys(keys)
-    rows = df.dropDuplicates([*names, column])
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in names] + [F.col(f"l.{column}") != F.col(f"r.{column}")]
+    rows = df.distinct()
+    on = [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in names] + [F.col(f"l.`{column}`") != F.col(f"r.`{column}`")]
     return rows.alias("l").join(rows.alias("r"), [*on, *([condition] if condition is not None else [])])
 
 
 def enrich_with_aggregate(df: DataFrame, keys: Keys, **aggregates: Column) -> DataFrame:
-    """Each row with aggregates over its key. The aggregate is a small table, so this joins rather than windows: a
-    window would sort all rows and hold a hot key in one task."""
-    return df.join(df.groupBy(*_keys(keys)).agg(*[a.alias(n) for n, a in aggregates.items()]), _keys(keys))
+    """Each row with aggregates over its key; null is a key like any other. The aggregate is a small table, so this
+    joins rather than windows: a window would sort all rows and hold a hot key in one task."""
+    names = _keys(keys)
+    own = {k: fresh(df, f"of_{k}") for k in names}
+    per = df.groupBy(*[F.col(f"`{k}`").alias(own[k]) for k in names]).agg(*[a.alias(n) for n, a in aggregates.items()])
+    match = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{own[k]}`")) for k in names]
+    return df.alias("l").join(per.alias("r"), match, "left").select("l.*", *[F.col(f"r.`{n}`") for n in aggregates])
 
 
 def enrich_with_window(df: DataFrame, keys: Keys, **aggregates: Column) -> DataFrame:

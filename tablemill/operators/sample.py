@@ -18,10 +18,11 @@ def first_rows(tables: Mapping[str, DataFrame], order: Mapping[str, Sequence[str
 
 
 def hash_filter(key: Column, share: float) -> Column:
-    """Whether a key falls into a share of all keys: by the first four hex digits of its MD5, the same every time."""
-    if (limit := round(share * 65536)) >= 65536:
+    """Whether a key falls into a share of all keys: by the first 15 hex digits of its MD5, the same every time. A null
+    key is in no share below 1."""
+    if (limit := round(share * 16**15)) >= 16**15:
         return F.lit(True)
-    return F.substring(F.md5(key.cast("string").cast("binary")), 1, 4) < F.lit(f"{limit:04x}")
+    return F.substring(F.md5(key.cast("string").cast("binary")), 1, 15) < F.lit(f"{limit:015x}")
 
 
 def hash_sample(root: DataFrame, key: str, share: float) -> DataFrame:

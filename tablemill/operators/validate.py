@@ -7,6 +7,7 @@ it; null passes bounds and enums.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from functools import reduce
 
@@ -18,6 +19,7 @@ from tablemill.scratch import fresh, stored
 from tablemill.specs import CollectionRules, ColumnRule, TableRules, TableSpec
 
 KEY_RULE = "_primary_key_"
+log = logging.getLogger(__name__)
 
 
 class ValidationError(ValueError):
@@ -93,11 +95,10 @@ def validate(df: DataFrame, rules: TableRules, mode: str = "raise") -> DataFrame
     if mode != "off":
         counts = {r["rule"]: r["n"] for r in failure_counts(df, rules).collect()}  # at most one row per rule
         if counts:
-            checked, failed = check(df, rules)
-            error = ValidationError(counts, checked.where(F.size(failed) > 0).limit(5).collect())
+            error = ValidationError(counts, filter_rows(df, rules)[1].limit(5).collect())
             if mode == "raise":
                 raise error
-            print(error)
+            log.warning("%s", error)
     return filter_rows(df, rules)[0]
 
 
@@ -139,9 +140,12 @@ def filter_collection(tables: Mapping[str, DataFrame | None], rules: CollectionR
     good = {}
     for m in there:
         marked = passed[m]
+        marks = {name: fresh(marked, f"mark_{k}") for k, (name, _) in enumerate(failing[m])}
         for name, keys in failing[m]:
-            marked = marked.join(keys.withColumn(name, F.lit(name)), key, "left")
-        failed = F.array_compact(F.array(*[F.col(f"`{name}`") for name, _ in failing[m]])) if failing[m] else F.array().cast("array<string>")
+            on = reduce(Column.__and__, [F.col(f"marked.`{k}`").eqNullSafe(F.col(f"keys.`{k}`")) for k in key])  # null is a key here
+            mark = F.col("keys.failed_rule").alias(marks[name])
+            marked = marked.alias("marked").join(keys.withColumn("failed_rule", F.lit(name)).alias("keys"), on, "left").select("marked.*", mark)
+        failed = F.array_compact(F.array(*[F.col(f"`{marks[name]}`") for name, _ in failing[m]])) if failing[m] else F.array().cast("array<string>")
         marked = stored(marked.select(*[F.col(f"`{c}`") for c in tables[m].columns], failed.alias("failed_rules")))
         good[m] = marked.where(F.size("failed_rules") == 0).drop("failed_rules")
         more = marked.where(F.size("failed_rules") > 0)

@@ -6,23 +6,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.scratch import fresh, stored
 
 
 def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number") -> DataFrame:
-    """Rows numbered from 1 in the given order, which should be total.
+    """Rows numbered from 1 in the given order, which should be total; rows that tie in it come in order of a hash.
 
-    Rows are dealt into ranges of the order and stored; the counts of earlier ranges (one row per range) are added to
-    numbers within the range. A window without partitions would sort everything in one task.
+    Rows are dealt into ranges of the order, sorted there, and stored with their number within the range; the counts of
+    earlier ranges (one row per range) are added. A window without partitions would sort everything in one task.
     """
-    part, at = fresh(df, "range_no"), fresh(df, "range_offset")
-    ranged = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    part, own, at = fresh(df, "range_no"), fresh(df, "range_row"), fresh(df, "range_offset")
+    ties = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])  # many ties are many ranges
+    sorted_ranges = df.repartitionByRange(*order, ties).sortWithinPartitions(*order, ties)
+    # The lower 33 bits of the id count the rows of a task in their order.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = stored(sorted_ranges.select("*", F.spark_partition_id().alias(part), row.alias(own)))
     sizes = ranged.groupBy(part).count()
     offsets = sizes.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(at))
-    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
     # One row per range: bounded by the number of shuffle partitions.
-    return ranged.join(F.broadcast(offsets), part).withColumn(name, (own + F.col(at)).cast("long")).drop(part, at)
+    return ranged.join(F.broadcast(offsets), part).withColumn(name, (F.col(own) + F.col(at) + 1).cast("long")).drop(part, own, at)
 
 
 def split_by_row_number(df: DataFrame, order: Sequence[str | Column], every: int = 10, offset: int = 0) -> tuple[DataFrame, DataFrame]:

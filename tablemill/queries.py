@@ -6,6 +6,7 @@ Sums of doubles are rounded to two digits, and null order is written out, so tha
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,19 @@ def sink_copy(spark, d):
     return spark.read.parquet(target).groupBy("l_returnflag").agg(F.count("*").alias("n"), r2(F.sum("l_quantity")).alias("quantity"))
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def src_jdbc(spark, d):
+    """Through the embedded database that comes with Spark. It lives in one JVM, so this runs on a local master."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    supplier = read(spark, d, "supplier").select(F.col("s_suppkey").cast("long"), "s_name", "s_acctbal")
+    store.write_jdbc(supplier, url, "supplier", partitions=4, driver=DERBY)
+    low, high = supplier.agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    return store.read_jdbc(spark, url, "supplier", '"s_suppkey"', (low, high), 4, DERBY)
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES))
 def sink_dump(spark, d):
     root = new_path(spark)
@@ -270,27 +284,39 @@ def join_full_cond(spark, d):
     return joins.full_join(a, b, "nation", F.length(F.col("l.nation").cast("string")) == 2)
 
 
-@query("""SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key, a.s_nationkey AS nation FROM supplier a JOIN supplier b
-    ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 100""")
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 11 <> 0 THEN s_nationkey END AS nation, s_acctbal FROM supplier),
+    t AS (SELECT * FROM s UNION SELECT s_suppkey, nation, s_acctbal + 5 FROM s WHERE s_suppkey % 3 = 0)
+    SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key, round(a.s_acctbal - b.s_acctbal, 2) AS gap, a.nation AS nation FROM t a JOIN t b
+    ON a.nation = b.nation AND a.s_suppkey <> b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 100""")
 def join_theta_self(spark, d):
+    """Some nations are missing, some suppliers have two balances, and some rows are there twice."""
+    nation = F.when(F.col("s_suppkey") % 11 != 0, F.col("s_nationkey")).alias("nation")
+    once = read(spark, d, "supplier").select("s_suppkey", nation, "s_acctbal")
+    more = once.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 5)
     close = F.abs(F.col("l.s_acctbal") - F.col("r.s_acctbal")) < 100
-    pairs = joins.conflicting_pairs(read(spark, d, "supplier"), "s_nationkey", "s_suppkey", close)
-    return pairs.select(F.col("l.s_suppkey").alias("left_key"), F.col("r.s_suppkey").alias("right_key"), F.col("l.s_nationkey").alias("nation"))
+    pairs = joins.conflicting_pairs(views.union_all([once, more, once.where("s_suppkey % 5 = 0")]), "nation", "s_suppkey", close)
+    gap = r2(F.col("l.s_acctbal") - F.col("r.s_acctbal")).alias("gap")
+    return pairs.select(F.col("l.s_suppkey").alias("left_key"), F.col("r.s_suppkey").alias("right_key"), gap, F.col("l.nation").alias("nation"))
 
 
-AGG_BACK = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS order_quantity FROM lineitem"
+AGG_BACK = """SELECT order_key, l_linenumber, l_partkey, l_quantity, sum(l_quantity) OVER (PARTITION BY order_key) AS order_quantity
+    FROM (SELECT CASE WHEN l_partkey % 50 <> 0 THEN l_orderkey END AS order_key, l_linenumber, l_partkey, l_quantity FROM lineitem)"""
+
+
+def _items(spark, d) -> DataFrame:
+    """Items of which some have lost their order."""
+    key = F.when(F.col("l_partkey") % 50 != 0, F.col("l_orderkey")).alias("order_key")
+    return read(spark, d, "lineitem").select(key, "l_linenumber", "l_partkey", "l_quantity")
 
 
 @query(AGG_BACK)
 def join_agg_back(spark, d):
-    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return joins.enrich_with_aggregate(items, "l_orderkey", order_quantity=F.sum("l_quantity"))
+    return joins.enrich_with_aggregate(_items(spark, d), "order_key", order_quantity=F.sum("l_quantity"))
 
 
 @query(AGG_BACK)
 def join_agg_window(spark, d):
-    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return joins.enrich_with_window(items, "l_orderkey", order_quantity=F.sum("l_quantity"))
+    return joins.enrich_with_window(_items(spark, d), "order_key", order_quantity=F.sum("l_quantity"))
 
 
 @query("SELECT r_name, n_name FROM region, nation")
@@ -402,10 +428,14 @@ def union_all(spark, d):
     return views.union_all([customer, supplier])
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")
+STATUS_FACTORS = {"F": 1, "O": 2, "P": 3}
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_custkey * CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS weighed FROM orders")
 def split_union(spark, d):
-    path = views.split_by_value(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
-    return views.union_all([spark.read.parquet(path).where(F.col("o_orderstatus") == s) for s in ("F", "O")])
+    path = views.split_by_value(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderstatus")
+    parts = [spark.read.parquet(path).where(F.col("o_orderstatus") == s) for s in STATUS_FACTORS]
+    return views.union_all([p.select("o_orderkey", "o_orderstatus", (F.col("o_custkey") * k).alias("weighed")) for p, k in zip(parts, STATUS_FACTORS.values(), strict=True)])
 
 
 @query("SELECT l_partkey, l_suppkey FROM lineitem EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 10")
@@ -576,34 +606,39 @@ def val_is_valid(spark, d):
 
 
 def _collection(spark, d):
-    first = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("b"))
-    second = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
-    rule = TableRules((ColumnRule("b", "double", min=0),), ("k",))
+    """Some keys of both members are null, and some of the first are there twice, with another balance."""
+    key = lambda c, m: F.when(F.col(c) % m != 0, F.col(c)).alias("k")
+    first = read(spark, d, "customer").select(key("c_custkey", 9), F.col("c_acctbal").alias("b"))
+    first = views.union_all([first, first.where("k % 5 = 0").withColumn("b", F.col("b") - 3000)])
+    second = read(spark, d, "supplier").select(key("s_suppkey", 7), F.col("s_acctbal").alias("b"))
+    rule = TableRules((ColumnRule("b", "double", min=0),))
     rules = CollectionRules({"first": rule, "second": rule}, ("k",), equal_keys=True, cross=(CrossRule("greater", "first", "second", "left.b > right.b"),))
     return validate.filter_collection({"first": first, "second": second}, rules)
 
 
-_A, _B = "(SELECT c_custkey AS k, c_acctbal AS b FROM customer)", "(SELECT s_suppkey AS k, s_acctbal AS b FROM supplier)"
-PASSED = f"a AS (SELECT * FROM {_A} WHERE b >= 0), s AS (SELECT * FROM {_B} WHERE b >= 0)"
+PASSED = """f AS (SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS k, c_acctbal AS b FROM customer),
+    r AS (SELECT * FROM f UNION ALL SELECT k, b - 3000 FROM f WHERE k % 5 = 0), a AS (SELECT * FROM r WHERE b >= 0),
+    s AS (SELECT * FROM (SELECT CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey END AS k, s_acctbal AS b FROM supplier) WHERE b >= 0),
+    x AS (SELECT DISTINCT k FROM a JOIN s USING (k) WHERE NOT a.b > s.b)"""
 
 
-@query(f"WITH {PASSED} SELECT k, a.b AS b FROM a JOIN s USING (k) WHERE a.b > s.b")
+@query(f"WITH {PASSED} SELECT k, b FROM a WHERE k IN (SELECT k FROM s) AND k NOT IN (SELECT k FROM x)")
 def val_collection_good(spark, d):
     return _collection(spark, d)[0]["first"]
 
 
-@query(f"""WITH {PASSED} SELECT 'b|min' AS rule, count(*) AS n FROM {_A} WHERE b < 0 UNION ALL SELECT 'equal_primary_keys', count(*) FROM a WHERE k NOT IN (SELECT k FROM s)
-    UNION ALL SELECT 'greater', count(*) FROM a JOIN s USING (k) WHERE NOT a.b > s.b""")
+@query(f"""WITH {PASSED} SELECT 'b|min' AS rule, count(*) AS n FROM r WHERE b < 0 UNION ALL
+    SELECT 'equal_primary_keys', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = a.k) UNION ALL SELECT 'greater', count(*) FROM a WHERE k IN (SELECT k FROM x)""")
 def val_collection_counts(spark, d):
     return _collection(spark, d)[2]["first"]
 
 
-@query(f"WITH {PASSED} SELECT k FROM s WHERE k NOT IN (SELECT k FROM a)")
+@query(f"WITH {PASSED} SELECT k FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = s.k)")
 def val_equal_keys(spark, d):
     return _collection(spark, d)[1]["second"].where(F.array_contains("failed_rules", "equal_primary_keys")).select("k")
 
 
-@query(f"WITH {PASSED} SELECT k FROM a JOIN s USING (k) WHERE NOT a.b > s.b")
+@query(f"WITH {PASSED} SELECT k FROM s WHERE k IN (SELECT k FROM x)")
 def val_cross_pred(spark, d):
     return _collection(spark, d)[1]["second"].where(F.array_contains("failed_rules", "greater")).select("k")
 
@@ -621,17 +656,17 @@ def val_non_nullable(spark, d):
 def _versions(spark, d) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = orders.where("o_orderkey % 13 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
-    old = orders.where("o_orderkey % 17 <> 0").withColumn("o_clerk", F.lit(""))
+    old = orders.where("o_orderkey % 17 <> 0").withColumn("o_clerk", F.when(F.col("o_orderkey") % 23 == 0, F.lit("")))
     nation = read(spark, d, "nation")
     return {"orders": new, "nation": nation, "region": read(spark, d, "region")}, {"orders": old, "nation": nation, "part": read(spark, d, "part")}
 
 
-@query("SELECT 'region' AS table_name, 'added' AS value UNION ALL SELECT 'part', 'missing'")
+@query("SELECT 'region' AS table_name, 'added' AS value, count(*) AS n_rows FROM region UNION ALL SELECT 'part', 'missing', count(*) FROM part")
 def cmp_tables(spark, d):
     return compare.diff_tables(spark, *_versions(spark, d))
 
 
-@query("SELECT 'orders' AS table_name, 'o_clerk' AS column_name, 'missing' AS value")
+@query("SELECT 'orders' AS table_name, 'o_clerk' AS column_name, 'missing' AS value, count(*) AS n_values FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 23 = 0")
 def cmp_columns(spark, d):
     return compare.diff_columns(spark, *_versions(spark, d))
 
@@ -643,12 +678,18 @@ def cmp_equal(spark, d):
     return views.union_all([one_row(spark, table_name="orders", equal=compare.tables_equal(new["orders"], old["orders"].drop("o_clerk"))), one_row(spark, table_name="orders in another order", equal=same)])
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'added' WHEN o_orderkey % 13 = 0 THEN 'removed' ELSE 'changed' END AS change,
-    CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 THEN 'o_orderstatus' ELSE '' END AS columns FROM orders
-    WHERE (o_orderkey % 17 = 0) <> (o_orderkey % 13 = 0) OR (o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 = 0)""")
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 29 <> 0 THEN o_orderkey END AS k, * FROM orders),
+    n AS (SELECT k, count(*) AS c, list_sort(list(CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END)) AS s, list_sort(list(o_totalprice)) AS p FROM o WHERE o_orderkey % 13 <> 0 GROUP BY k),
+    b AS (SELECT k, count(*) AS c, list_sort(list(o_orderstatus)) AS s, list_sort(list(o_totalprice)) AS p, count(*) FILTER (o_orderkey % 23 = 0) AS clerks FROM o WHERE o_orderkey % 17 <> 0 GROUP BY k)
+    SELECT coalesce(n.k, b.k) AS k, CASE WHEN b.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' ELSE 'changed' END AS change,
+        CASE WHEN b.c IS NULL OR n.c IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN n.s IS DISTINCT FROM b.s THEN 'o_orderstatus' END,
+            CASE WHEN n.p IS DISTINCT FROM b.p THEN 'o_totalprice' END, CASE WHEN clerks > 0 OR n.c <> b.c THEN 'o_clerk' END], lambda x: x IS NOT NULL), ',') END AS columns
+    FROM n FULL JOIN b ON n.k IS NOT DISTINCT FROM b.k WHERE n.c IS NULL OR b.c IS NULL OR n.s IS DISTINCT FROM b.s OR n.p IS DISTINCT FROM b.p OR clerks > 0""")
 def cmp_rows(spark, d):
-    new, old = _versions(spark, d)
-    return compare.diff_rows(new["orders"], old["orders"], ["o_orderkey"])
+    """Some keys are null, and so repeated."""
+    key = F.when(F.col("o_orderkey") % 29 != 0, F.col("o_orderkey"))
+    new, old = (side["orders"].withColumn("k", key).drop("o_orderkey") for side in _versions(spark, d))
+    return compare.diff_rows(new, old, ["k"])
 
 
 @query("""SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE o_orderkey % 13 <> 0) - (SELECT count(*) FROM orders WHERE o_orderkey % 17 <> 0) AS more_rows
@@ -671,17 +712,18 @@ def smp_limit(spark, d):
     return views.union_all([few[t].select(F.lit(t).alias("table_name"), F.col(k).alias("k")) for t, k in keys.items()])
 
 
-HASHED = "substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 4) < '1000'"
+SHARE = 0.0371
+HASHED = f"substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) < '{round(SHARE * 16**15):015x}'"
 
 
 @query(f"SELECT o_orderkey, o_custkey FROM orders WHERE {HASHED}")
 def smp_hash_orders(spark, d):
-    return sample.hash_sample(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1 / 16)
+    return sample.hash_sample(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", SHARE)
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {HASHED})")
 def smp_hash_lineitem(spark, d):
-    orders = sample.hash_sample(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1 / 16)
+    orders = sample.hash_sample(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", SHARE)
     items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return sample.follow_keys(orders, {"lineitem": (items, "l_orderkey", "o_orderkey")})["lineitem"]
 
@@ -705,22 +747,62 @@ def smp_stable_date(spark, d):
 
 @query(f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {HASHED}")
 def smp_copy(spark, d):
-    few = sample.hash_sample(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 1 / 16)
+    few = sample.hash_sample(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", SHARE)
     return sample.copy_set({"orders": few}, new_path(spark))["orders"]
 
 
 # Incremental rebuild and publication
 
 
-@query("""SELECT count(*) AS row_count, CAST(sum(('0x' || substr(md5(concat_ws(chr(31), coalesce(CAST(l_orderkey AS VARCHAR), chr(0)), coalesce(CAST(l_linenumber AS VARCHAR), chr(0)), coalesce(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), chr(0)), coalesce(l_returnflag, chr(0)))), 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS content_hash FROM lineitem""")
+def hash_text(*columns: str) -> str:
+    """SQL for null_marked()."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+
+
+def hash_sum(*columns: str) -> str:
+    return f"sum(('0x' || substr(md5({hash_text(*columns)}), 1, 15))::BIGINT::HUGEINT)"
+
+
+@query(f"SELECT count(*) AS row_count, CAST({hash_sum('l_orderkey', 'l_linenumber', 'CAST(round(l_extendedprice * 100) AS BIGINT)', 'l_returnflag')} AS VARCHAR) AS content_hash FROM lineitem")
 def inc_table_hash(spark, d):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return aggregates.table_hash(read(spark, d, "lineitem"), [F.col("l_orderkey"), F.col("l_linenumber"), cents, F.col("l_returnflag")])
 
 
-@query()
+HASHED_FILES = {"customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(sum(strlen({k} || '|' || {v}) + 1) AS BIGINT) AS file_size, sha256(string_agg({k} || '|' || {v} || chr(10), '' ORDER BY {k})) AS sha256 FROM {t}" for t, (k, v) in HASHED_FILES.items()))
 def inc_file_hash(spark, d):
-    return incremental.file_hashes(spark, d, "*.parquet")
+    """A text file for each of some tables, its lines in order of the key."""
+    root = new_path(spark)
+    for t, (k, v) in HASHED_FILES.items():
+        lines = read(spark, d, t).orderBy(k).select(F.concat_ws("|", F.col(k).cast("string"), F.col(v)).alias("value"))
+        lines.coalesce(1).write.text(f"{root}/{t}")
+    hashes = [incremental.file_hashes(spark, f"{root}/{t}", "part-*").select(F.lit(t).alias("table_name"), "file_size", "sha256") for t in HASHED_FILES]
+    return views.union_all(hashes)
+
+
+MODE_STEPS = [
+    ("first", incremental.Mode.NORMAL, "F"), ("again", incremental.Mode.NORMAL, "F"), ("fresh, ignored", incremental.Mode.IGNORE_FRESH_INPUT, "O"),
+    ("fresh, refused", incremental.Mode.ASSERT_NO_FRESH_INPUT, "O"), ("fresh", incremental.Mode.NORMAL, "O"), ("not fresh, asserted", incremental.Mode.ASSERT_NO_FRESH_INPUT, "O"),
+    ("said to be fresh", incremental.Mode.FORCE_FRESH_INPUT, "O"), ("all", incremental.Mode.FORCE_ALL, "O"),
+]
+MODE_RESULTS = [(True, "F"), (False, "F"), (False, "F"), (False, None), (True, "O"), (False, "O"), (True, "O"), (True, "O")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{step}' AS step, {computed} AS computed, {f'(SELECT count(*) FROM orders WHERE o_orderstatus = {status!r})' if status else 'CAST(NULL AS BIGINT)'} AS n" for (step, _, _), (computed, status) in zip(MODE_STEPS, MODE_RESULTS, strict=True)))
+def inc_modes(spark, d):
+    """What each mode does with inputs that are fresh or not; null where it refuses."""
+    root, orders, rows = new_path(spark), read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), []
+    for step, mode, status in MODE_STEPS:
+        build = incremental.Rebuilder(spark, root, mode)
+        try:
+            n = build.build("counted", lambda orders: orders.agg(F.count("*").alias("n")), {"orders": orders.where(F.col("o_orderstatus") == status)}).first()["n"]
+        except RuntimeError:
+            n = None
+        rows.append((step, bool(build.computed), n))
+    return spark.createDataFrame(rows, "step string, computed boolean, n long")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, 'computed once' AS note FROM orders GROUP BY o_orderstatus")
@@ -765,8 +847,8 @@ def pub_partial(spark, d):
     return views.union_all([r.withColumn("n", F.col("n").cast("long")) for r in rows])
 
 
-@query("""SELECT md5(string_agg(t || '=' || h, chr(10) ORDER BY t)) AS version FROM (SELECT 'customer' AS t, count(*) || ':' || sum(('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || chr(31) || c_name), 1, 15))::BIGINT::HUGEINT) AS h FROM customer
-    UNION ALL SELECT 'nation', count(*) || ':' || sum(('0x' || substr(md5(CAST(n_nationkey AS VARCHAR) || chr(31) || n_name), 1, 15))::BIGINT::HUGEINT) FROM nation)""")
+@query(f"""SELECT md5(string_agg(t || '=' || h, chr(10) ORDER BY t)) AS version FROM (SELECT 'customer' AS t, count(*) || ':' || {hash_sum("c_custkey", "c_name")} AS h FROM customer
+    UNION ALL SELECT 'nation', count(*) || ':' || {hash_sum("n_nationkey", "n_name")} FROM nation)""")
 def pub_group_hash(spark, d):
     group = publish.Group(spark, new_path(spark))
     group.publish({"customer": read(spark, d, "customer").select("c_custkey", "c_name"), "nation": read(spark, d, "nation").select("n_nationkey", "n_name")})
@@ -828,10 +910,16 @@ def udf_transform(spark, d):
     return hooks.read(spark, path)
 
 
-@query()
+@query("""SELECT part, target, count(*) AS n, true AS fits FROM (SELECT CASE WHEN row_number() OVER (ORDER BY c_custkey) % 10 = 0 THEN 'test' ELSE 'train' END AS part,
+    CASE WHEN c_acctbal > 5000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM customer) GROUP BY ALL""")
 def ml_train_eval(spark, d):
+    """Rows scored of each part and target. fits: on the training rows the model errs no more often than the better constant."""
     train, test, _ = features.train_and_test(read(spark, d, "customer"), read(spark, d, "orders"))
-    return model.evaluate(test, model.train_classifier(train, ["n_orders", "spent", "n_urgent"], "target"), "target")
+    fitted = model.train_classifier(train, ["n_orders", "spent", "n_urgent"], "target")
+    scored = views.union_all([model.evaluate(df, fitted, "target").withColumn("part", F.lit(n)) for n, df in (("train", train), ("test", test))])
+    per = stored(scored.groupBy("part", "target").agg(F.count("*").alias("n"), F.sum("abs_error").alias("wrong")))
+    fit = per.where("part = 'train'").agg((F.sum("wrong") <= F.min("n")).alias("fits"))
+    return per.select("part", "target", "n").crossJoin(F.broadcast(fit))  # one row
 
 
 @query("SELECT c_acctbal AS target, round(0.5 * c_nationkey + 100, 2) AS prediction, round(abs(c_acctbal - round(0.5 * c_nationkey + 100, 2)), 2) AS abs_error FROM customer")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.sources import files
+
+#: Paths that this process has given out and not removed.
+_made: list[str] = []
 #: A table of at most so many narrow rows may be broadcast (about 10 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -25,7 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -35,6 +41,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Store what make() returns, and remove the intermediate tables that it stored on the way: the result no longer
+    needs them. For steps of a job that would otherwise leave several times their input behind."""
+    before = len(_made)
+    out = stored(make())
+    for path in _made[before:-1]:
+        files.delete(spark, path)
+    del _made[before:-1]
+    return out
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Remove all intermediate tables that this process has stored, once results are written; returns their number."""
+    n = len(_made)
+    while _made:
+        files.delete(spark, _made.pop())
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting df (cheap: df should be stored); else leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

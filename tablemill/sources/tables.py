@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tablemill.sources import files
 from tablemill.specs import TableSpec, WriteOptions, table_name
 
+#: What readers take for null; an unquoted empty field is read as this. No text holds it.
+NULL = "~\x01~"
 #: Rows that go to a database in one statement.
 JDBC_BATCH = 100_000
 
@@ -18,25 +20,28 @@ JDBC_BATCH = 100_000
 def read_csv_dir(spark: SparkSession, path: str, schemas: Mapping[str, str | T.StructType] | None = None, suffix: str = ".csv.gz") -> dict[str, DataFrame]:
     """One table for each file (or folder of files) with the suffix, named after it. Without a schema, types are inferred.
 
-    A gzipped file can't be split, so its rows are dealt anew before further work. Empty text and null stay apart: null
-    is an unquoted empty field, empty text a quoted one.
+    A gzipped file can't be split, so where there are fewer files than tasks, rows are dealt anew before further work.
+    Null is an unquoted empty field, empty text a quoted one, and a backslash with N a text like any other.
     """
     out = {}
     for name in files.names(spark, path):
         if not name.endswith(suffix):
             continue
         table = table_name(name[: -len(suffix)])
-        reader = spark.read.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"')
+        reader = spark.read.option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"')
         schema = (schemas or {}).get(table)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+        df, tasks = reader.csv(f"{path}/{name}"), spark.sparkContext.defaultParallelism
         # Round-robin dealing is the only way to more than one task per gzipped file.
-        out[table] = reader.csv(f"{path}/{name}").repartition(spark.sparkContext.defaultParallelism)
+        out[table] = df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
     return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Gzipped CSV with a header that read_csv_dir() reads back as it was, \\N for null."""
-    df.write.option("header", True).option("compression", "gzip").option("nullValue", "\\N").option("emptyValue", '""').option("escape", '"').mode("errorifexists").csv(path)
+    """Gzipped CSV with a header that read_csv_dir() reads back as it was."""
+    alone = len(df.columns) == 1  # readers skip a line with nothing or white space on it
+    said = {"header": "true", "compression": "gzip", "nullValue": NULL if alone else "", "emptyValue": "" if alone else '""', "quoteAll": str(alone), "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.options(**said).mode("errorifexists").csv(path)
 
 
 def read_table(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -71,13 +76,20 @@ def jdbc_read_options(url: str, table: str, column: str | None = None, bounds: t
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1) -> DataFrame:
-    """A database table, read in ranges of a numeric column by several tasks if one is given."""
-    return spark.read.format("jdbc").options(**jdbc_read_options(url, table, column, bounds, partitions)).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, driver: str | None = None) -> DataFrame:
+    """A database table, read in ranges of a numeric column by several tasks if one is given. Bounds only cut ranges:
+    rows beyond them and null are read too."""
+    return spark.read.format("jdbc").options(**jdbc_read_options(url, table, column, bounds, partitions), **_driver(driver)).load()
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists") -> None:
-    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(JDBC_BATCH)).mode(mode).save()
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", partitions: int | None = None, driver: str | None = None) -> None:
+    """Store df as a database table, over at most so many connections at a time."""
+    limit = {"numPartitions": str(partitions)} if partitions else {}
+    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(JDBC_BATCH), **limit, **_driver(driver)).mode(mode).save()
+
+
+def _driver(driver: str | None) -> dict[str, str]:
+    return {"driver": driver} if driver else {}
 
 
 def write_table(df: DataFrame, root: str, spec: TableSpec | str, options: WriteOptions | None = None, label: str | None = None) -> DataFrame:

@@ -3,8 +3,11 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tablemill import scratch
+from tablemill.jobs import incremental
 from tablemill.jobs.incremental import Mode, Rebuilder, canonical, file_hashes
 from tablemill.jobs.publish import Group, Rejected, group_hash
+from tablemill.sources import files
 from tablemill.streaming.ingest import append_new_files
 
 
@@ -34,6 +37,19 @@ def test_own_fingerprint_decides(spark, tmp_path):
     assert build(spark, root, spark.range(3), fingerprint="tuesday") == ([0, 2, 4], ["t"])
 
 
+def test_intermediate_tables_go(spark):
+    kept = scratch.stored(spark.range(2))
+
+    def make():
+        inner = scratch.stored(spark.range(5))
+        return inner.crossJoin(scratch.stored(inner.limit(1).withColumnRenamed("id", "one")))
+
+    before = set(files.names(spark, scratch.scratch_dir(spark)))
+    out = scratch.stored_alone(spark, make)
+    assert len(set(files.names(spark, scratch.scratch_dir(spark))) - before) == 1
+    assert out.count() == 5 and kept.count() == 2
+
+
 def test_canonical_text():
     assert canonical("SELECT  a -- why\nFROM t /* b\nc */ ;") == "SELECT a FROM t"
 
@@ -77,16 +93,18 @@ def test_file_hashes(spark, tmp_path):
     assert (row["file_name"], row["file_size"], row["sha256"][:8]) == ("x.txt", 3, "ba7816bf")
 
 
-def test_file_hashes_hold_no_file_whole(spark, tmp_path):
+def test_file_hashes_hold_no_large_file_whole(spark, tmp_path, monkeypatch):
     """A file beyond what one row may hold is hashed all the same."""
     (tmp_path / "x.bin").write_bytes(b"abc" * 100_000)
+    (tmp_path / "y.bin").write_bytes(b"abc")
+    monkeypatch.setattr(incremental, "WHOLE_FILE", 1000)
     limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
     spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
     try:
-        row = file_hashes(spark, str(tmp_path)).first()
+        rows = file_hashes(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
-    assert (row["file_size"], row["sha256"]) == (300_000, hashlib.sha256(b"abc" * 100_000).hexdigest())
+    assert {(r["file_name"], r["file_size"], r["sha256"]) for r in rows} == {(n, len(b), hashlib.sha256(b).hexdigest()) for n, b in (("x.bin", b"abc" * 100_000), ("y.bin", b"abc"))}
 
 
 def test_new_files_once(spark, tmp_path):

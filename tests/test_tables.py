@@ -11,6 +11,7 @@ from tablemill.sources import files
 from tablemill.sources import tables as store
 from tablemill.specs import WriteOptions, mangle_name, table_name
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 TYPES = "i8 tinyint, i16 smallint, i32 int, i64 bigint, f32 float, f64 double, s string, b boolean, d date, t timestamp_ntz"
 
 
@@ -32,10 +33,21 @@ def test_round_trip(spark, tmp_path, extremes):
 
 
 def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
-    df = spark.createDataFrame([("",), (None,), ("a,\"b\"",), ("ñ",)], "s string")
-    store.write_csv(df, f"{tmp_path}/t.csv.gz")
-    back = store.read_csv_dir(spark, str(tmp_path), {"t": df.schema})["t"]
-    assert sorted((r["s"] for r in back.collect()), key=str) == sorted(["", None, "a,\"b\"", "ñ"], key=str)
+    values = ["", None, "\\N", "null", "a,\"b\"", "ñ", " a\t", " "]
+    one = spark.createDataFrame([(v,) for v in values], "s string")
+    two = spark.createDataFrame([(v, w) for v in values for w in (None, "", "\\N")], "s string, t string")
+    store.write_csv(one, f"{tmp_path}/one.csv.gz")
+    store.write_csv(two, f"{tmp_path}/two.csv.gz")
+    back = store.read_csv_dir(spark, str(tmp_path), {"one": one.schema, "two": two.schema})
+    for name, df in (("one", one), ("two", two)):
+        assert sorted(map(tuple, back[name].collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_csv_folder_of_many_files_is_not_dealt_anew(spark, tmp_path):
+    store.write_csv(spark.range(100).repartition(spark.sparkContext.defaultParallelism), f"{tmp_path}/many.csv.gz")
+    store.write_csv(spark.range(100).coalesce(1), f"{tmp_path}/one.csv.gz")
+    said = {n: df._jdf.queryExecution().optimizedPlan().toString() for n, df in store.read_csv_dir(spark, str(tmp_path)).items()}
+    assert "Repartition" not in said["many"] and "Repartition" in said["one"]
 
 
 def test_csv_infers(spark, tmp_path):
@@ -73,6 +85,17 @@ def test_jdbc_options():
         store.jdbc_read_options("jdbc:x", "t", "id")
 
 
+def test_jdbc_round_trip(spark):
+    url = "jdbc:derby:memory:round_trip;create=true"
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "c"), (900, "d")], "id bigint, s string")
+    store.write_jdbc(rows, url, "t", driver=DERBY)
+    back = store.read_jdbc(spark, url, "t", '"id"', (1, 3), 3, DERBY)  # rows beyond the bounds are read too
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert back.rdd.getNumPartitions() == 2
+    store.write_jdbc(rows.limit(1), url, "t", "append", 1, DERBY)
+    assert store.read_jdbc(spark, url, "t", driver=DERBY).count() == 5
+
+
 def test_write_options():
     options = WriteOptions({"__any__": {"compression": "zstd", "partitions": 4}, "small": {"partitions": 1}})
     assert options.resolve("small") == {"compression": "zstd", "partitions": 1}
@@ -94,7 +117,7 @@ def test_join_fixture(spark):
     assert sorted(map(tuple, left.collect())) == [(5, 1), (5, 2)]
     assert sorted(map(tuple, joins.inner_join(lazy, b, "x").collect())) == [(1, 2, 1), (1, 2, 2)]
     back = joins.enrich_with_aggregate(left, "a", x_sum=F.sum("x5"))
-    assert sorted(map(tuple, back.collect())) == [(1, 5, 5), (2, 5, 5)]
+    assert sorted(map(tuple, back.collect())) == [(5, 1, 5), (5, 2, 5)]
 
 
 def test_versions_fixture(spark):
@@ -117,13 +140,48 @@ def test_features_must_not_clash(spark):
 def test_column_diff_fixture(spark):
     a = spark.createDataFrame([(0, 9)], "a int, b int")
     rows = compare.diff_columns(spark, {"dfa": a}, {"dfa": a.withColumn("c", F.lit(1))}).collect()
-    assert [tuple(r) for r in rows] == [("dfa", "c", "missing")]
+    assert [tuple(r) for r in rows] == [("dfa", "c", "missing", 1)]
+
+
+def test_table_and_column_diff_count(spark):
+    a, b = spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), spark.range(3)
+    found = compare.diff_tables(spark, {"a": a, "c": b}, {"a": a, "b": b.limit(0)})
+    assert sorted(map(tuple, found.collect())) == [("b", "missing", 0), ("c", "added", 3)]
+    found = compare.diff_columns(spark, {"t": a}, {"t": a.drop("b").withColumn("a", F.col("a").cast("long"))})
+    assert sorted(map(tuple, found.collect())) == [("t", "a", "bigint to int", 2), ("t", "b", "added", 1)]
+    assert compare.diff_tables(spark, {}, {}).count() == compare.diff_columns(spark, {"t": a}, {"t": a}).count() == 0
 
 
 def test_hash_sees_nulls_repeats_and_not_order(spark):
     key = lambda rows: tuple(aggregates.table_hash(spark.createDataFrame(rows, "a string, b string")).first())
     assert key([("a", None), ("b", "c")]) == key([("b", "c"), ("a", None)])
     assert len({key([("a", None)]), key([("a", "")]), key([("", "a")]), key([(None, "a")]), key([("a", None)] * 2), key([])}) == 6
+    alike = [("a\x1fb", "c"), ("a", "b\x1fc"), ("\x00", "c"), (None, "c"), ("n", "c"), ("1:n", "c"), ("", "1:c"), ("1:", "c"), ("ab", "c"), ("a", "bc")]
+    assert len({key([r]) for r in alike}) == len(alike)
+    assert not compare.tables_equal(spark.createDataFrame(alike[:1], "a string, b string"), spark.createDataFrame(alike[1:2], "a string, b string"))
+
+
+def test_conflicting_pairs_take_all_rows(spark):
+    """Rows that share key and value but not the rest count, in whatever order they come."""
+    rows = [(1, "x", 10), (1, "x", 500), (1, "y", 490), (1, "y", 490), (None, "x", 10), (None, "y", 10), (1, None, 10)]
+    near = F.abs(F.col("l.v") - F.col("r.v")) < 50
+    for order in (rows, rows[::-1]):
+        pairs = joins.conflicting_pairs(spark.createDataFrame(order, "k int, c string, v int").coalesce(1), "k", "c", near)
+        assert sorted(map(tuple, pairs.select("l.v", "r.v").collect())) == [(490, 500), (500, 490)]
+
+
+def test_aggregates_of_null_keys_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, None, 5), (1, None, 6), (None, None, 7), (1, 2, 8)], "`a` int, `of_a` int, v int")
+    back = joins.enrich_with_aggregate(rows, ["a", "of_a"], total=F.sum("v"))
+    window = joins.enrich_with_window(rows, ["a", "of_a"], total=F.sum("v"))
+    assert back.columns == window.columns
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, window.collect()), key=str) == sorted([(1, None, 5, 11), (1, None, 6, 11), (None, None, 7, 7), (1, 2, 8, 8)], key=str)
+
+
+def test_tiny_shares_are_not_empty(spark):
+    ids = spark.range(2_000_000)
+    n = sample.hash_sample(ids, "id", 5e-6).count()
+    assert 1 <= n <= 30 and sample.hash_sample(ids, "id", 5e-5).count() > n
 
 
 def test_diff_rows_null_safe(spark):
@@ -132,10 +190,29 @@ def test_diff_rows_null_safe(spark):
     assert [tuple(r) for r in compare.diff_rows(a, b, ["k"]).collect()] == [(2, "changed", "v")]
 
 
+def test_diff_rows_of_null_and_repeated_keys_and_other_columns(spark):
+    same = [(None, "x", 1), (1, "x", 1), (1, "x", 1), (2, "y", 2)]
+    made = lambda rows: spark.createDataFrame(rows, "k int, new_v string, in_new int")
+    said = lambda a, b: sorted(map(tuple, compare.diff_rows(a, b, ["k"]).collect()), key=str)
+    assert said(made(same), made(same[::-1])) == []
+    assert said(made(same), made(same[1:])) == [(None, "added", "")] and said(made(same[1:]), made(same)) == [(None, "removed", "")]
+    assert said(made(same), made(same[:2] + same[3:])) == [(1, "changed", "new_v,in_new")]  # one row less
+    assert said(made(same), made([*same[:3], (2, "z", 2)])) == [(2, "changed", "new_v")]
+    swapped = [(1, "a", 1), (1, "b", 2)], [(1, "a", 2), (1, "b", 1)]
+    assert said(*map(made, swapped)) == [(1, "changed", "")]  # each column holds the same values, the rows do not
+    assert said(made(same), made(same).withColumn("more", F.when(F.col("k") == 2, 5))) == [(2, "changed", "more")]
+    assert said(made(same).drop("in_new"), made(same).drop("new_v", "in_new")) == [(1, "changed", "new_v"), (2, "changed", "new_v"), (None, "changed", "new_v")]
+    assert said(made(same), made(same).withColumn("in_new", F.col("in_new").cast("string"))) == []
+
+
 def test_row_number_matches_window_and_empty(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert {r["x"]: r["row_number"] for r in windows.global_row_number(df, ["x"]).collect()} == {k: k + 1 for k in range(1000)}
     assert windows.global_row_number(df.limit(0), ["x"]).count() == 0
+    ties = spark.range(5000).select(F.lit(None).cast("int").alias("x"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    numbered = windows.global_row_number(ties.repartition(7), ["x"]).collect()
+    assert sorted(r["row_number"] for r in numbered) == list(range(1, 5001))
+    assert {r["id"]: r["row_number"] for r in windows.global_row_number(ties, ["x"]).collect()} == {r["id"]: r["row_number"] for r in numbered}
 
 
 def test_split_sizes(spark):

@@ -1,63 +1,82 @@
-"""The four fixture sets of rules and rows, and edge cases."""
+"""Rules of one table, of collections, and null flags."""
 
 import pytest
 
 from tablemill.operators import validate
 from tablemill.specs import CollectionRules, ColumnRule, CrossRule, TableRules, TableSpec
 
-FIRST = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "smallint"), ColumnRule("c", "string")), ("a",))
-SECOND = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "bigint", min=1), ColumnRule("c", "string", nullable=False)), ("a",))
-CROSS = CrossRule("first_b_greater_second_b", "first", "second", "left.b > right.b")
+LEDGER = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "smallint"), ColumnRule("c", "string")), ("a",))
+BUDGET = TableRules((ColumnRule("a", "bigint", nullable=False), ColumnRule("b", "bigint", min=1), ColumnRule("c", "string", nullable=False)), ("a",))
+CROSS = CrossRule("within_budget", "ledger", "budget", "left.b <= right.b")
 
 
 def table(spark, a, b, c):
     return spark.createDataFrame(list(zip(a, b, c, strict=True)), "a bigint, b bigint, c string")
 
 
-def run(spark, first, second, filters):
-    rules = CollectionRules({"first": FIRST, "second": SECOND}, ("a",), equal_keys=filters, cross=(CROSS,) * filters)
-    good, bad, counts = validate.filter_collection({"first": table(spark, *first), "second": table(spark, *second)}, rules)
-    said = lambda df: {r["rule"]: r["n"] for r in df.collect()}
+def run(spark, ledger, budget, filters, members=(LEDGER, BUDGET)):
+    """(good rows, counts, bad rows) by member; rows are (a, b, c)."""
+    rules = CollectionRules(dict(zip(("ledger", "budget"), members, strict=True)), ("a",), equal_keys=filters, cross=(CROSS,) * filters)
+    tables = {m: spark.createDataFrame(rows, "a bigint, b bigint, c string") for m, rows in (("ledger", ledger), ("budget", budget))}
+    good, bad, counts = validate.filter_collection(tables, rules)
     rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
-    return {m: rows(g) for m, g in good.items()}, {m: said(c) for m, c in counts.items()}, bad
+    said = lambda df: {r["rule"]: r["n"] for r in df.collect()}
+    return {m: rows(g) for m, g in good.items()}, {m: said(c) for m, c in counts.items()}, {m: rows(x) for m, x in bad.items()}
+
+
+def test_collection_of_good_rows(spark):
+    ledger, budget = [(10, 7, "rent"), (20, 9, None)], [(10, 8, "fixed"), (20, 9, "free"), (30, 1, "free")]
+    good, counts, bad = run(spark, ledger, budget, False)
+    assert good == {"ledger": ledger, "budget": budget}
+    assert counts == {"ledger": {}, "budget": {}} and bad == {"ledger": [], "budget": []}
 
 
-def test_no_filter_no_violation(spark):
-    good, counts, _ = run(spark, ([1, 2, 3], [1, 2, 3], ["x", "y", None]), ([1, 2, 3], [1, 2, 3], ["x", "y", "x"]), False)
-    assert len(good["first"]) == len(good["second"]) == 3
-    assert counts == {"first": {}, "second": {}}
+def test_member_rules_alone(spark):
+    ledger = [(10, 7, "rent"), (10, 8, "rent"), (20, 40_000, "food"), (None, 1, "gift"), (30, 5, "food")]
+    budget = [(10, 0, None), (20, 5, "free"), (30, 6, None), (40, -3, "free")]
+    good, counts, bad = run(spark, ledger, budget, False)
+    assert good == {"ledger": [(30, 5, "food")], "budget": [(20, 5, "free")]}
+    assert counts["ledger"] == {"_primary_key_": 3, "b|dtype": 1, "a|nullability": 1}
+    assert counts["budget"] == {"b|min": 2, "c|nullability": 2}
+    assert len(bad["ledger"]) == 4 and len(bad["budget"]) == 3
 
 
-def test_no_filter_violation(spark):
-    good, counts, bad = run(spark, ([1, 2, 1], [1, 2, 3], ["x", "y", None]), ([1, 2, 3], [0, 1, 2], [None, "y", "x"]), False)
-    assert len(good["first"]) == 1 and len(good["second"]) == 2
-    assert counts == {"first": {"_primary_key_": 2}, "second": {"b|min": 1, "c|nullability": 1}}
-    assert bad["first"].count() == 2 and bad["second"].count() == 1
+def test_filters_over_pairs(spark):
+    ledger, budget = [(k, k // 10, "x") for k in (10, 20, 30, 40)], [(20, 2, "y"), (30, 2, "y"), (40, 9, "y"), (50, 9, "y")]
+    good, counts, _ = run(spark, ledger, budget, True)
+    assert good == {"ledger": [(20, 2, "x"), (40, 4, "x")], "budget": [(20, 2, "y"), (40, 9, "y")]}
+    assert counts == {m: {"equal_primary_keys": 1, "within_budget": 1} for m in ("ledger", "budget")}
 
 
-def test_filter_no_violation(spark):
-    good, counts, _ = run(spark, ([1, 2, 3], [1, 1, 3], ["x", "y", None]), ([2, 3, 4, 5], [1, 2, 3, 4], ["x", "y", "x", "x"]), True)
-    assert good == {"first": [(3, 3, None)], "second": [(3, 2, "y")]}
-    assert counts["first"] == {"equal_primary_keys": 1, "first_b_greater_second_b": 1}
-    assert counts["second"] == {"equal_primary_keys": 2, "first_b_greater_second_b": 1}
+def test_filters_see_only_rows_that_pass_their_rules(spark):
+    """30 and 40 have no good budget, so they have no partner rather than one that they exceed."""
+    ledger, budget = [(k, 5, "x") for k in (20, 30, 40)], [(20, 5, "y"), (30, 0, "y"), (40, 2, None), (60, 8, "y")]
+    good, counts, bad = run(spark, ledger, budget, True)
+    assert good == {"ledger": [(20, 5, "x")], "budget": [(20, 5, "y")]}
+    assert counts == {"ledger": {"equal_primary_keys": 2}, "budget": {"b|min": 1, "c|nullability": 1, "equal_primary_keys": 1}}
+    assert {r[0]: r[-1] for r in bad["ledger"]} == {30: ["equal_primary_keys"], 40: ["equal_primary_keys"]}
 
 
-def test_filter_violation(spark):
-    good, counts, _ = run(spark, ([1, 2, 3], [1, 2, 3], ["x", "y", None]), ([2, 3, 4, 5, 6], [0, 1, 2, 3, -1], [None, "y", "y", "x", "z"]), True)
-    assert good == {"first": [(3, 3, None)], "second": [(3, 1, "y")]}
-    assert counts["first"] == {"equal_primary_keys": 2}
-    assert counts["second"] == {"b|min": 2, "c|nullability": 1, "equal_primary_keys": 2}
+def test_null_and_repeated_common_keys(spark):
+    """A null key has no partner: its rows go, and are counted. Of a repeated key all rows go if one pair fails."""
+    open_key = TableRules((ColumnRule("b", "bigint"),))
+    ledger = [(None, 1, "x"), (None, 2, "x"), (10, 1, "x"), (10, 9, "x"), (20, 1, "x"), (20, 2, "x")]
+    budget = [(None, 5, "y"), (10, 5, "y"), (20, 5, "y")]
+    good, counts, bad = run(spark, ledger, budget, True, (open_key, open_key))
+    assert good == {"ledger": [(20, 1, "x"), (20, 2, "x")], "budget": [(20, 5, "y")]}
+    assert counts == {"ledger": {"equal_primary_keys": 2, "within_budget": 2}, "budget": {"equal_primary_keys": 1, "within_budget": 1}}
+    assert len(bad["ledger"]) == 4 and len(bad["budget"]) == 2
 
 
 def test_good_rows_are_cast(spark):
-    good, _ = validate.filter_rows(table(spark, [1], [2], ["x"]), FIRST)
+    good, _ = validate.filter_rows(table(spark, [1], [2], ["x"]), LEDGER)
     assert dict(good.dtypes)["b"] == "smallint"
 
 
 def test_enum(spark):
-    rules = SECOND + TableRules((ColumnRule("c", "string", values=("x", "y")),))
-    good, bad = validate.filter_rows(table(spark, [2, 3, 4, 5], [0, 1, 2, 3], ["z", "y", "y", "x"]), rules)
-    assert good.count() == 3
+    rules = BUDGET + TableRules((ColumnRule("c", "string", values=("x", "y")),))
+    good, bad = validate.filter_rows(table(spark, [7, 8, 9], [4, -1, 6], ["x", "w", "y"]), rules)
+    assert good.count() == 2
     assert bad.first()["failed_rules"] == ["b|min", "c|enum"]
 
 
@@ -72,43 +91,50 @@ def test_null_keys_fail(spark):
     assert validate.filter_rows(df, TableRules((), ("a",)))[0].count() == 1
 
 
-def test_validate_modes(spark, capsys):
+def test_validate_modes(spark, caplog):
     df = table(spark, [1, 1], [1, 2], ["x", "y"])
     with pytest.raises(validate.ValidationError) as error:
-        validate.validate(df, FIRST)
+        validate.validate(df, LEDGER)
     assert error.value.counts == {"_primary_key_": 2}
-    assert validate.validate(df, FIRST, "log").count() == 0 and "_primary_key_" in capsys.readouterr().out
-    assert not validate.is_valid(df, FIRST)
-    assert validate.is_valid(df.limit(0), FIRST)
+    assert validate.validate(df, LEDGER, "log").count() == 0 and "_primary_key_" in caplog.text
+    assert not validate.is_valid(df, LEDGER)
+    assert validate.is_valid(df.limit(0), LEDGER)
 
 
 def test_optional_and_missing_members(spark):
-    rules = CollectionRules({"first": FIRST, "second": SECOND}, ("a",), optional=frozenset({"second"}), equal_keys=True)
-    good, _, _ = validate.filter_collection({"first": table(spark, [1], [1], ["x"])}, rules)
-    assert good["first"].count() == 1
+    rules = CollectionRules({"ledger": LEDGER, "budget": BUDGET}, ("a",), optional=frozenset({"budget"}), equal_keys=True)
+    good, _, _ = validate.filter_collection({"ledger": table(spark, [1], [1], ["x"])}, rules)
+    assert good["ledger"].count() == 1
     with pytest.raises(ValueError):
-        validate.filter_collection({"second": table(spark, [1], [1], ["x"])}, rules)
+        validate.filter_collection({"budget": table(spark, [1], [1], ["x"])}, rules)
 
 
-COLUMNS = ["x", "y", "z"]
+COLUMNS = ("pear", "plum", "fig", "date")
+SUBSETS = [[c for k, c in enumerate(COLUMNS) if n >> k & 1] for n in range(1 << len(COLUMNS))]
 
 
-@pytest.mark.parametrize(
-    ("nullable", "non_nullable", "flags"),
-    [
-        (["y"], None, "FTF"), (["x", "z"], None, "TFT"), (None, ["y"], "TFT"), (None, ["x", "z"], "FTF"), (["x", "y", "z"], [], "TTT"),
-        (["x", "z"], ["y"], "TFT"), (["y"], ["x", "z"], "FTF"), ([], ["x", "y", "z"], "FFF"),
-    ],
-)
-def test_null_flags(nullable, non_nullable, flags):
-    for key in ((), ("x",)):
-        found = TableSpec("t", key, nullable=nullable, non_nullable=non_nullable).null_flags(COLUMNS)
-        assert "".join("FT"[found[c]] for c in COLUMNS) == flags
+@pytest.mark.parametrize("chosen", SUBSETS)
+def test_null_flags_of_every_subset(chosen):
+    """Either list alone says it for all columns; both together must share them out."""
+    rest = [c for c in COLUMNS if c not in chosen]
+    want = {c: c in chosen for c in COLUMNS}
+    for key in ((), COLUMNS[:1]):
+        flags = lambda **lists: TableSpec("fruit", key, **lists).null_flags(list(COLUMNS))  # noqa: E731, B023
+        assert flags(nullable=chosen, non_nullable=rest) == want
+        if chosen:
+            assert flags(nullable=chosen) == want
+        if rest:
+            assert flags(non_nullable=rest) == want
+
+
+@pytest.mark.parametrize("lists", [{"nullable": ["kiwi"]}, {"non_nullable": ["fig", "kiwi"]}, *({"nullable": a, "non_nullable": b} for a in SUBSETS for b in SUBSETS if a and b and (set(a) & set(b) or len(a) + len(b) != len(COLUMNS)))])
+def test_null_flags_of_wrong_lists(lists):
+    with pytest.raises(ValueError):
+        TableSpec("fruit", **lists).null_flags(list(COLUMNS))
 
 
-@pytest.mark.parametrize(("nullable", "non_nullable", "error"), [
-    (["q"], None, ValueError), (None, ["q"], ValueError), (["x"], ["x", "y", "z"], ValueError), (["x"], ["y"], ValueError), ("x", None, TypeError), (None, 5, TypeError),
-])
-def test_null_flag_errors(nullable, non_nullable, error):
-    with pytest.raises(error):
-        TableSpec("t", nullable=nullable, non_nullable=non_nullable).null_flags(COLUMNS)
+@pytest.mark.parametrize("value", ["fig", 3, 2.5])
+def test_null_flags_of_wrong_types(value):
+    for name in ("nullable", "non_nullable"):
+        with pytest.raises(TypeError):
+            TableSpec("fruit", **{name: value}).null_flags(list(COLUMNS))
