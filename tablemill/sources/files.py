@@ -26,6 +26,13 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder within one file system; target must not be there."""
+    fs, where = _path(spark, source)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, such as a pointer; None if it isn't there."""
     fs, where = _path(spark, path)
