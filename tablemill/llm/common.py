@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.scratch import BROADCAST_ROWS, broadcast_if_small, fresh, scratch_dir, stored
+from tablemill.scratch import BROADCAST_ROWS, broadcast_if_small, fresh, new_path, stored
 
-__all__ = ["BROADCAST_ROWS", "bounded_sample", "broadcast_if_small", "documents", "fresh", "schema", "scratch_dir", "stored"]
+__all__ = ["BROADCAST_ROWS", "bounded_sample", "broadcast_if_small", "documents", "fresh", "new_path", "schema", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import bpe, embedding_dedup, html_extraction, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan, suffix_dedup
-from tablemill.llm.common import documents
+from tablemill.llm.common import documents, new_path, stored
 from tablemill.llm.license_rules import RULES
 
 
@@ -52,6 +52,22 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *columns[0], law, *columns[1], F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shards_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight stored shards, resharded to six: the affected shards are rewritten, and all are read back."""
+    path = new_path(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(8)).cast("int").alias("shard"))
+    docs.write.partitionBy("shard").parquet(path)
+    out, s = resharding.reshard(spark.read.parquet(path), F.col("shard"), 6)
+    want = stored(out.select("doc_id", F.col(s)["text_crc32"].alias("crc"), F.col(s)["shard"].alias("planned"))).groupBy("doc_id", "crc", "planned").count()
+    resharding.rewrite_affected(out.drop("shard"), s, path)
+    back = spark.read.parquet(path)
+    found = back.groupBy("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), F.col("shard").alias("planned")).agg(F.count("*").alias("n_found"))
+    both = want.join(found, [want[c].eqNullSafe(found[c]) for c in ("doc_id", "crc", "planned")], "full")
+    return both.groupBy(F.coalesce(found["planned"], want["planned"]).alias("shard")).agg(F.sum("n_found").alias("n_rows"), F.bool_and(F.coalesce(F.col("count") == F.col("n_found"), F.lit(False))).alias("as_planned")).agg(
+        F.count("*").alias("n_shards"), F.sum("n_rows").alias("n_rows"), F.bool_and("as_planned").alias("as_planned"),
+    )
+
+
 #: The vocabulary: a path and the pattern that goes with it, never copied here.
 RANK_FILE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -81,11 +97,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, shards_rewritten)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    "shards_rewritten": "SELECT 6::BIGINT AS n_shards, count(*) AS n_rows, true AS as_planned FROM documents",
     "op1_license_scan": rf"""
         WITH rules(rule_id, label, keyword, pattern, priority, is_base) AS (VALUES {_RULE_ROWS}),
         n AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablemill.llm import bpe, components, embedding_dedup, mixing, ngram_join, queries, resharding, suffix_dedup
+from tablemill.scratch import stored
 from tests.llm.helpers import SCHEMA, awkward, docs, prose
 
 
@@ -104,9 +105,15 @@ def test_min_cost_flow_moves_the_fewest():
         capacity = [rnd.randint(0, 50) for _ in range(m)]
         capacity[0] += max(0, sum(supply) - sum(capacity))
         flow = resharding.min_cost_flow(supply, capacity)
-        assert [sum(r) for r in flow] == supply and all(sum(r[j] for r in flow) <= capacity[j] for j in range(m))
-        moved = sum(flow[i][j] for i in range(n) for j in range(m) if i != j)
-        assert moved == brute_least_moves(supply, capacity)
+        assert [sum(w for (a, _), w in flow.items() if a == i) for i in range(n)] == supply
+        assert all(sum(w for (_, b), w in flow.items() if b == j) <= capacity[j] for j in range(m)) and min(flow.values(), default=1) > 0
+        assert sum(w for (i, j), w in flow.items() if i != j) == brute_least_moves(supply, capacity)
+        assert len(flow) <= 2 * (n + m)
+
+
+def test_min_cost_flow_of_many_shards():
+    flow = resharding.min_cost_flow([k % 7 for k in range(50_000)], [3] * 50_000)
+    assert sum(flow.values()) == sum(k % 7 for k in range(50_000)) and len(flow) <= 200_000
 
 
 def test_reshard(spark, tmp_path):
@@ -131,7 +138,7 @@ def test_reshard(spark, tmp_path):
     assert all(len({r["shard"] for r in g}) == 1 for _, g in itertools.groupby(sorted(found, key=lambda r: r["text"] or ""), key=lambda r: r["text"] or ""))
     written = resharding.rewrite_affected(out, name, f"{tmp_path}/shards")
     back = spark.read.parquet(f"{tmp_path}/shards")
-    assert back.count() == sum(len(shards[k]) for k in written)
+    assert back.count() == sum(len(shards.get(k, ())) for k in written)
 
 
 def test_reshard_awkward_and_hot(spark):
@@ -145,6 +152,53 @@ def test_reshard_awkward_and_hot(spark):
     assert len(counts) == 3 and abs(counts[2] - 300) < 60  # one text fills several shards: its rows are split
 
 
+def test_reshard_parts_only_texts_that_no_shard_can_hold(spark):
+    """A text of a third of the rows fills more than a shard; the pairs around it stay together, and so does one of half a shard."""
+    texts = ["the hot text " * 3] * 3000 + [f"half a shard {'x' * 100}"] * 350 + [f"pair {k // 2} of small texts" for k in range(6000)]
+    rows = docs(spark, list(enumerate(texts)))
+    for old in (F.lit(0), F.pmod(F.xxhash64("text"), F.lit(4))):
+        out, name = resharding.reshard(rows, old, 6)
+        found = collected(out.select("text", f"{name}.*"))
+        where = collections.defaultdict(set)
+        sizes = collections.Counter()
+        for r in found:
+            where[r["text"]].add(r["shard"])
+            sizes[r["shard"]] += r["size"]
+        assert len(found) == len(texts) and {t for t, s in where.items() if len(s) > 1} == {texts[0]}
+        assert max(sizes.values()) - min(sizes.values()) < 0.1 * sum(sizes.values()) / 6
+        slots = collections.defaultdict(list)
+        for r in found:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_reshard_numbers_hot_blocks_in_parts(spark, monkeypatch):
+    """A short text of very many rows stays in its shard, and is numbered in parts."""
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 100)
+    texts = [""] * 900 + [prose(k, 60) for k in range(300)]
+    out, name = resharding.reshard(docs(spark, list(enumerate(texts))), F.lit(0), 4)
+    found = collected(out.select("text", f"{name}.*"))
+    assert len({r["shard"] for r in found if not r["text"]}) == 1
+    for _, own in itertools.groupby(sorted(found, key=lambda r: r["shard"]), key=lambda r: r["shard"]):
+        own = [r["slot"] for r in own]
+        assert sorted(own) == list(range(len(own)))
+
+
+@pytest.mark.parametrize(("before", "after"), [(4, 3), (3, 5), (4, 4)])
+def test_rewrite_reads_back_every_row_once(spark, tmp_path, before, after):
+    path = f"{tmp_path}/shards"
+    rows = docs(spark, [(k, prose(k % 700, 8)) for k in range(900)]).select("doc_id", "text")
+    rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(before)).cast("int")).write.partitionBy("shard").parquet(path)
+    out, name = resharding.reshard(spark.read.parquet(path), F.col("shard"), after)
+    want = sorted(tuple(r) for r in out.select("doc_id", "text", f"{name}.shard", f"{name}.slot").collect())
+    written = resharding.rewrite_affected(out.drop("shard"), name, path)
+    back = spark.read.parquet(path)
+    assert sorted((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == [w[:3] for w in want]
+    assert {w[2] for w in want} == set(range(after)) and set(written) <= set(range(max(before, after)))
+    slots = {w[:1]: w[3] for w in want}
+    assert all(r["slot"] is None or r["slot"] == slots[r["doc_id"],] for r in spark.read.option("mergeSchema", True).parquet(path).collect())
+
+
 # Byte-level BPE
 
 
@@ -403,7 +457,7 @@ def test_pipeline_stages_and_whole(spark, small, tokenizer):
     rows = spark.read.parquet(f"{small}/documents.parquet")
     columns = rows.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        rows = corpus_pipeline.stored(stage(spark, rows, small))
+        rows = stored(stage(spark, rows, small))
         assert rows.columns == columns
     mixed = collections.Counter()
     for r in rows.collect():
@@ -417,8 +471,8 @@ def test_pipeline_awkward(spark):
     for _, stage in corpus_pipeline.STAGES:
         for part in (rows, rows.limit(0)):
             out = stage(spark, part, "")
-            out = corpus_pipeline.stored(out)
-        rows = corpus_pipeline.stored(stage(spark, rows, ""))
+            out = stored(out)
+        rows = stored(stage(spark, rows, ""))
     assert rows.count() > 0 and SCHEMA
 
 
