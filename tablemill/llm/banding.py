@@ -1,12 +1,16 @@
-"""Rows that share a band: from the band keys of each row to the buckets whose members must be compared.
+"""Rows that share a key: from the keys of each row to the buckets whose members must be compared.
 
-A pair that shares several bands is compared in the first of them only. Of buckets with the same members only that of
-the lowest band is kept, so a group of copies is sent once, not once for each band.
+A key says its band or table itself, so that keys of different ones never agree. A pair that shares several keys is
+compared in the least of them only. Of buckets with the same members only that of the least key is kept, so a group of
+copies is sent once, not once for each key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +18,34 @@ from tablemill.llm.common import stored
 
 
 def bucket_lists(items: DataFrame, block_volume: int) -> DataFrame:
-    """(id, buckets array<struct<band, h, blocks>>) for the rows that share a kept bucket with another row.
+    """(id, buckets array<struct<h, blocks>>) for the rows that share a kept bucket with another row.
 
-    items: id long (unique), bands array<long> (as many for each row), volume long. blocks is the number of blocks that
-    keep the volume of a block near block_volume.
+    items: id long (unique), keys array<long>, volume long. blocks is the number of blocks that keep the volume of a
+    block near block_volume.
     """
-    rows = items.select("id", "volume", F.posexplode("bands").alias("band", "h"))
-    sums = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.sum("volume").alias("volume"))
-    kept = sums.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "h")).alias("k"), F.max("volume").alias("volume"))
-    kept = stored(kept.select("k.*", F.greatest(F.lit(1), F.ceil(F.col("volume") / block_volume)).cast("int").alias("blocks")))
-    return rows.join(kept, ["band", "h"]).groupBy("id").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("buckets"))
-
-
-def first_common(bands: np.ndarray, band: int, i: int, js: np.ndarray) -> np.ndarray:
-    """Those of js that share no band before this one with i. bands: a row of band keys for each member."""
-    if not band or not len(js):
-        return js
-    return js[~(bands[js, :band] == bands[i, :band]).any(axis=1)]
+    rows = items.select("id", "volume", F.explode(F.array_distinct("keys")).alias("h"))
+    sums = rows.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.sum("volume").alias("volume"))
+    kept = sums.where("n > 1").groupBy("n", "x", "y").agg(F.min("h").alias("h"), F.max("volume").alias("volume"))
+    kept = stored(kept.select("h", F.greatest(F.lit(1), F.ceil(F.col("volume") / block_volume)).cast("int").alias("blocks")))
+    return rows.join(kept, "h").groupBy("id").agg(F.collect_list(F.struct("h", "blocks")).alias("buckets"))
+
+
+def rows_of(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def least_common(keys: np.ndarray, h: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For the members of bucket h, whose keys are rows: those of js that share no lesser key with i."""
+    values, at = np.unique(keys, return_inverse=True)
+    at = np.where(keys < h, at.reshape(keys.shape) + 1, 0)
+    mark = np.zeros(len(values) + 1, dtype=bool)
+
+    def first(i: int, js: np.ndarray) -> np.ndarray:
+        mark[at[i]] = True
+        mark[0] = False
+        kept = js[~mark[at[js]].any(axis=1)]
+        mark[at[i]] = False
+        return kept
+
+    return first

@@ -1,14 +1,16 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking with original vectors.
 
-A rotation learned on a bounded sample turns vectors into balanced 64-bit codes. Each code is cut into TABLES
-substrings; vectors that agree in a substring (and in label and dimension) share a bucket. Within a bucket the cosine
-of the original vectors in double precision decides alone. Every vector is indexed. A pair is linked only if its
-cosine reaches the threshold; a pair above it is missed only if its codes differ in every table.
-
-How many tables that takes depends on the vectors: with a strong common direction little is left to tell them apart,
-and codes of near pairs differ more. So rotations (TABLES tables each) are added until made-up pairs right at the
-threshold, around the sampled vectors nearest to the mean, share a bucket as often as RECALL. If ROTATIONS do not
-reach that, all vectors of a label and dimension are compared, which misses nothing and takes quadratic time.
+A rotation learned on a bounded sample turns vectors into balanced binary codes, which are cut into substrings, one for
+each table. A vector stands in each table under its substring and under those that differ from it in one of the PROBES
+bits that it is least certain of. Vectors of one label and dimension that stand under the same substring share a bucket;
+there the cosine of the original vectors in double precision decides alone. Every vector is indexed. A pair is linked
+only if its cosine reaches the threshold; a pair above it is missed only if it meets in no table.
+
+A substring has about log2(vectors / BUCKET) bits, so buckets stay the same size however many vectors there are. How many
+tables that takes depends on the vectors: with a strong common direction little is left to tell them apart, and codes of
+near pairs differ more. So tables are added until made-up pairs right at the threshold, around the sampled vectors
+nearest to the mean, meet as often as RECALL. If MAX_TABLES do not reach that, all vectors of a label and dimension are
+compared, which misses nothing and takes quadratic time.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and null labels, link with
 nothing; equal vectors of one label form a class and are compared once; vectors of different lengths never meet; an
@@ -17,6 +19,7 @@ empty table gives an empty result; a table without usable vectors has no links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,53 +28,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.banding import bucket_lists, first_common
-from tablemill.llm.common import bounded_sample, stored
+from tablemill.llm.banding import bucket_lists, least_common, rows_of
+from tablemill.llm.common import bounded_sample, schema, stored
 from tablemill.llm.ngram_join import with_links
 from tablemill.llm.tiles import link_tiles, tiles
 
 COSINE = 0.98
-BITS, TABLES = 64, 6
-#: The share of pairs at the threshold that must share a bucket, the most rotations for it, and the pairs tried.
-RECALL, ROTATIONS, TRIALS = 0.995, 12, 8_000
-#: The rotation is fitted on at most so many vectors, those that hash lowest.
+#: Vectors that share a substring, about, if they are spread evenly; bits of a substring, at least and at most.
+BUCKET, LEAST_BITS, MOST_BITS = 64, 4, 48
+#: Bits that a vector is least certain of, each flipped once in each table.
+PROBES = 2
+#: The share of pairs at the threshold that must meet, the most tables for it, and the pairs tried.
+RECALL, MAX_TABLES, TRIALS = 0.995, 64, 8_000
+#: Rotations are fitted on at most so many vectors, those that hash lowest.
 SAMPLE, ROUNDS = 20_000, 30
 BLOCK_VECTORS = 1024
 STRIP = 64
 
 
-def fit_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to bits columns): principal directions, then a rotation towards balanced binary codes.
-
-    With fewer dimensions than bits, further columns come from further rotations of the same directions.
-    """
+def principal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, principal directions as columns) of rows x, as unit vectors."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
-    x = x - mean
+    return mean, np.linalg.svd((x - mean).T @ (x - mean))[0]
+
+
+def fit_rotation(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
+    """A projection of x - mean to as many columns as it has dimensions: principal directions, then a rotation towards
+    balanced binary codes, columns in an order of the seed."""
+    v = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ axes
     random = np.random.default_rng(seed)
-    parts, left = [], bits
-    while left > 0:
-        dims = min(left, x.shape[1])
-        axes = np.linalg.svd(x.T @ x)[0][:, :dims]
-        v = x @ axes
-        turn = np.linalg.qr(random.standard_normal((dims, dims)))[0]
-        for _ in range(rounds):
-            u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
-            turn = (u @ w).T
-        parts.append(axes @ turn)
-        left -= dims
-    return mean, np.hstack(parts)
-
-
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit codes, an array of TABLES substrings for each) of rows x."""
+    turn = np.linalg.qr(random.standard_normal((v.shape[1], v.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
+        turn = (u @ w).T
+    return (axes @ turn)[:, random.permutation(v.shape[1])]
+
+
+def table_keys(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """The 1 + PROBES substrings under which each row of x stands in the table of this projection, as longs."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    bits = (x - mean) @ projection >= 0
-    weights = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
-    whole = (bits * weights).sum(axis=1, dtype=np.uint64)
-    cuts = np.array_split(np.arange(bits.shape[1]), TABLES)
-    keys = np.stack([(bits[:, c] * (np.uint64(1) << np.arange(len(c), dtype=np.uint64))).sum(axis=1, dtype=np.uint64) for c in cuts], axis=1)
-    return whole.view(np.int64), keys.view(np.int64)
+    far = (x - mean) @ projection
+    weights = np.uint64(1) << np.arange(far.shape[1], dtype=np.uint64)
+    code = ((far >= 0) * weights).sum(axis=1, dtype=np.uint64)
+    flips = weights[np.argsort(np.abs(far), axis=1, kind="stable")[:, :PROBES]]
+    return np.column_stack([code, code[:, None] ^ flips]).view(np.int64)
 
 
 def threshold_pairs(x: np.ndarray, mean: np.ndarray, cosine: float, seed: int = 7) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,21 +93,28 @@ def threshold_pairs(x: np.ndarray, mean: np.ndarray, cosine: float, seed: int =
             yield a[some], cosine * a[some] + np.sqrt(1 - cosine**2) * turn[some] / size[some]
 
 
-def fit_tables(x: np.ndarray, cosine: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mean, projections): as many rotations as RECALL takes; none if ROTATIONS are too few."""
-    mean, projection = fit_rotation(x)
+def fit_tables(x: np.ndarray, cosine: float, vectors: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(mean, a projection for each table): as many as RECALL takes; none if MAX_TABLES are too few.
+
+    vectors: how many of one label there are at most.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, vectors) / BUCKET))))
+    mean, axes = principal(x)
     pairs = list(threshold_pairs(x, mean, cosine))
     met = [np.zeros(len(a), dtype=bool) for a, _ in pairs]
-    projections: list[np.ndarray] = []
-    while True:
-        projections.append(projection)
+    tables: list[np.ndarray] = []
+    columns, seed = np.empty((x.shape[1], 0)), 7
+    while len(tables) < MAX_TABLES:
+        while columns.shape[1] < bits:
+            columns, seed = np.hstack([columns, fit_rotation(x, mean, axes, seed)]), seed + 1
+        tables.append(columns[:, :bits])
+        columns = columns[:, bits:]
         for (a, b), seen in zip(pairs, met, strict=True):
-            seen |= (codes(a, mean, projection)[1] == codes(b, mean, projection)[1]).any(axis=1)
+            left, right = table_keys(a, mean, tables[-1]), table_keys(b, mean, tables[-1])
+            seen |= (left[:, :, None] == right[:, None, :]).any(axis=(1, 2))
         if all(seen.mean() >= RECALL for seen in met):
-            return mean, projections
-        if len(projections) == ROTATIONS:
-            return mean, []
-        projection = fit_rotation(x, seed=7 + len(projections))[1]
+            return mean, tables
+    return mean, []
 
 
 def usable(embedding: Column, label: Column) -> Column:
@@ -114,7 +122,7 @@ def usable(embedding: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & embedding.isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def _coder(mean: np.ndarray, projections: list[np.ndarray]):
+def _coder(mean: np.ndarray, tables: list[np.ndarray]):
     @F.pandas_udf("array<long>")
     def run(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in vectors:
@@ -122,42 +130,47 @@ def _coder(mean: np.ndarray, projections: list[np.ndarray]):
             for k, v in enumerate(batch):
                 x[k, : len(v)] = v[: len(mean)]  # other lengths are only coded alike, never compared with these
             x[~x.any(axis=1), 0] = 1
-            keys = [codes(x, mean, projection)[1] for projection in projections]
-            yield pd.Series(np.hstack(keys).tolist() if keys else [[0]] * len(batch))  # one bucket for all
+            keys = [table_keys(x, mean, projection) for projection in tables]
+            yield pd.Series(list(np.hstack(keys)) if keys else [[0]] * len(batch))  # one bucket for all
 
     return run
 
 
 def _near(cosine: float):
     def compare(cols: dict[str, pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
-        x = np.array(cols["embedding"].to_pylist(), dtype=np.float64)
+        x = rows_of(cols["embedding"]).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        band, bands = cols["band"][0].as_py(), np.array(cols["bands"].to_pylist(), dtype=np.int64)
+        first = least_common(rows_of(cols["keys"]), cols["h"][0].as_py())
         for start in range(0, len(x) - 1, STRIP):
-            strip = x[start : start + STRIP] @ x[start:].T >= cosine
-            for k, row in enumerate(strip[: len(x) - 1 - start]):
-                yield start + k, first_common(bands, band, start + k, np.flatnonzero(row[k + 1 :]) + start + k + 1)
+            near = np.triu(x[start : start + STRIP] @ x[start:].T >= cosine, 1)
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                yield start + k, first(start + k, np.flatnonzero(near[k]) + start)
 
     return compare
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id) for each row of vectors (vec_id long, embedding array<float>, label)."""
-    base = vectors.select("vec_id", "label", F.when(usable(F.col("embedding"), F.col("label")), F.col("embedding")).alias("embedding"))
-    key = ["label", "embedding"]
-    classes = base.where("embedding is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    usable_vector = F.when(usable(F.col("embedding"), F.col("label")), F.col("embedding"))
+    base = vectors.select("vec_id", "label", usable_vector.alias("embedding"))
+    # Equal vectors of a label are told by 128 bits of hash, so that only these are joined on.
+    key = ["k0", "k1"]
+    keyed = base.where("embedding is not null").select("vec_id", "label", "embedding", *[F.xxhash64(F.lit(k), "label", "embedding").alias(n) for k, n in enumerate(key)])
+    classes = keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
     sample = bounded_sample(classes.select("id", "embedding"), F.xxhash64("embedding"), SAMPLE).toPandas()
+    mean, tables = np.zeros(1), []
     if len(sample):
         length = int(sample["embedding"].map(len).mode()[0])
-        mean, projections = fit_tables(np.array([v for v in sample["embedding"] if len(v) == length], dtype=np.float64), cosine)
-    else:
-        mean, projections = np.zeros(1), []
-    coded = classes.withColumn("tables", _coder(mean, projections)("embedding"))
-    alike = F.transform("tables", lambda t: F.xxhash64(F.col("label"), F.size("embedding"), t))
-    coded = stored(coded.select("id", "weight", "embedding", alike.alias("bands"), F.lit(1).cast("long").alias("volume")))
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+        mean, tables = fit_tables(np.array([v for v in sample["embedding"] if len(v) == length], dtype=np.float64), cosine, most)
+    coded = classes.withColumn("tables", _coder(mean, tables)("embedding"))
+    keys = F.transform("tables", lambda t, k: F.xxhash64(F.col("label"), F.size("embedding"), F.floor(k / (1 + PROBES)), t))
+    coded = stored(coded.select("id", "weight", "embedding", keys.alias("keys"), F.lit(1).cast("long").alias("volume")))
     rows = coded.join(bucket_lists(coded, BLOCK_VECTORS), "id")
-    rows = rows.select("id", "weight", "embedding", "bands", F.explode("buckets").alias("b")).select("id", "weight", "embedding", "bands", "b.*")
-    tiled = tiles(rows, ["band", "h"], "blocks")
-    links = stored(link_tiles(tiled, ["band", "h"], ["embedding", "bands", "band"], _near(cosine)))
-    return with_links(base, key, classes, links, "vec_id").select("vec_id", "n_links", "component_id")
+    rows = rows.select("id", "weight", "embedding", "keys", F.inline("buckets"))
+    tiled = tiles(rows, "blocks")
+    links = stored(link_tiles(tiled, ["h"], ["embedding", "keys", "h"], _near(cosine)))
+    linked = with_links(keyed.select("vec_id", *key), key, classes, links, "vec_id").select("vec_id", "n_links", "component_id")
+    alone = base.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.banding import bucket_lists, first_common
+from tablemill.llm.banding import bucket_lists, least_common, rows_of
 from tablemill.llm.common import fresh, schema, stored
 from tablemill.llm.components import components
 from tablemill.llm.tiles import link_tiles, tiles
@@ -93,7 +93,7 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-@F.pandas_udf(schema("n_shingles long, bands longs"))
+@F.pandas_udf(schema("n_shingles long, keys longs"))
 def _signature(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     hashes = _WordHashes()
     for batch in words:
@@ -102,7 +102,7 @@ def _signature(words: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             s = shingles(x, hashes)
             sizes.append(len(s))
             bands.append(band_keys(s) if len(s) else None)
-        yield pd.DataFrame({"n_shingles": sizes, "bands": bands})
+        yield pd.DataFrame({"n_shingles": sizes, "keys": bands})
 
 
 @F.pandas_udf(schema("packed binary"))
@@ -121,8 +121,7 @@ def _similar(num: int, den: int):
 
     def compare(cols: dict[str, pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
         sets = [np.frombuffer(x, np.uint64) for x in cols["packed"].to_pylist()]
-        band = cols["band"][0].as_py()
-        bands = np.array(cols["bands"].to_pylist(), dtype=np.int64)
+        first = least_common(rows_of(cols["keys"]), cols["h"][0].as_py())
         sizes = np.array([len(s) for s in sets])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         values, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -134,7 +133,8 @@ def _similar(num: int, den: int):
             common = np.add.reduceat(mark[at[rest:]], starts[i + 1 :] - rest)
             mark[own] = 0
             js = np.flatnonzero(common * (num + den) >= num * (sizes[i] + sizes[i + 1 :])) + i + 1
-            yield i, first_common(bands, band, i, js)
+            if len(js):
+                yield i, first(i, js)
 
     return compare
 
@@ -148,34 +148,43 @@ def join(docs: DataFrame) -> DataFrame:
     words, sig = "plain_words", "signature"
     base = docs.select("doc_id", plain_words(F.col("text")).alias(words))
     slim = stored(base.select("doc_id", F.unhex(F.md5(words)).alias("key"), _signature(words).alias(sig)).select("doc_id", "key", f"{sig}.*"))
-    classes = slim.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("volume"), F.first("bands").alias("bands"))
+    classes = slim.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("volume"), F.first("keys").alias("keys"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
-    need = stored(classes.join(bucket_lists(classes, BLOCK_SHINGLES), "id").select("id", "key", "rep", "weight", "bands", "buckets"))
+    need = stored(classes.join(bucket_lists(classes, BLOCK_SHINGLES), "id").select("id", "key", "rep", "weight", "keys", "buckets"))
     # One row of each class is enough: that of its least id. Joining on the id too spreads large groups of copies.
     texts = base.select(F.col("doc_id").alias("rep_id"), F.unhex(F.md5(words)).alias("text_key"), words)
     found = texts.join(need, (F.col("text_key") == F.col("key")) & F.col("rep_id").eqNullSafe(F.col("rep")))
-    rows = found.select("id", "weight", "bands", "buckets", _sets(words)["packed"].alias("packed"))
-    rows = rows.select("id", "weight", "bands", "packed", F.explode("buckets").alias("b")).select("id", "weight", "bands", "packed", "b.*")
-    tiled = tiles(rows, ["band", "h"], "blocks")
-    links = stored(link_tiles(tiled, ["band", "h"], ["packed", "bands", "band"], _similar(SIMILARITY.numerator, SIMILARITY.denominator)))
-    return with_links(slim, ["key"], classes, links, "doc_id")
+    rows = found.select("id", "weight", "keys", "buckets", _sets(words)["packed"].alias("packed"))
+    tiled = tiles(rows.select("id", "weight", "keys", "packed", F.inline("buckets")), "blocks")
+    links = stored(link_tiles(tiled, ["h"], ["packed", "keys"], _similar(SIMILARITY.numerator, SIMILARITY.denominator)))
+    slim = slim.drop("keys")
+    alone = slim.where("n_shingles = 0").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return with_links(slim.where("n_shingles > 0"), ["key"], classes, links, "doc_id").unionByName(alone)
 
 
 def with_links(rows: DataFrame, key: list[str], classes: DataFrame, links: DataFrame, row_id: str) -> DataFrame:
-    """rows with n_links and component_id, from the links between classes. classes: id, key, rep, weight."""
+    """rows with n_links and component_id, from the links between classes. classes: id, key, rep, weight.
+
+    Every row has a class. Classes without links take no part in the joins on root: they have none, and would all meet
+    in one task.
+    """
     sums = links.groupBy("id").agg(F.sum("weight").alias("linked"))
     roots = components(links.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
-    own = classes.select("id", *key, "rep", "weight").join(sums, "id", "left").join(roots, "id", "left")
-    linked = own.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    own = own.join(linked, "root", "left").select(*key, (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
-    out = rows.join(stored(own), key, "left")
-    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.when(F.col("component_id").isNull(), F.col(row_id)).otherwise(F.col("component_id")))
+    own = stored(classes.select("id", *key, "rep", "weight").join(sums, "id", "left").join(roots, "id", "left"))
+    linked = own.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    said = lambda links, component: [*key, (F.col("weight") - 1 + links).cast("long").alias("n_links"), component.alias("component_id")]
+    own = linked.join(least, "root").select(*said(F.col("linked"), F.col("least"))).unionByName(own.where("root is null").select(*said(F.lit(0), F.col("rep"))))
+    out = rows.join(stored(own), key)
+    # A group all of whose ids are null has no least one.
+    return out.withColumn("component_id", F.coalesce("component_id", row_id))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of linked documents the row with the least id, with the columns of docs.
 
-    Of rows that agree in id and words one stays. Rows without an id stay only where no row of their group has one.
+    Of rows that agree in id and words that of the least hash over all columns stays. Rows without an id stay only where
+    no row of their group has one.
     """
     judged = stored(join(docs).select("doc_id", "key", "component_id"))
     stay = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key").count()
@@ -184,6 +193,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = [F.col(f"d.`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.unhex(F.md5(plain_words(F.col("text"))))).alias("d")
     out = keyed.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.stay_id")) & (F.col(f"d.`{key}`") == F.col("s.stay_key")))
-    if stay.where("again").limit(1).count():
-        out = out.dropDuplicates(["stay_id", "stay_key"])
-    return out.select(*own)
+    if not stay.where("again").limit(1).count():
+        return out.select(*own)
+    named = {c: fresh(docs, f"stay_{n}") for n, c in enumerate(("id", "words", "row"))}
+    once = out.where("not s.again").select(*own)
+    row = F.md5(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}))
+    again = out.where("s.again").select(*own, F.col("s.stay_id").alias(named["id"]), F.col("s.stay_key").alias(named["words"]), row.alias(named["row"]))
+    # Minima are pre-aggregated; rows that agree in everything are interchangeable.
+    least = again.groupBy(named["id"], named["words"]).agg(F.min(named["row"]).alias("least")).alias("l")
+    same = [F.col(f"a.`{named[c]}`").eqNullSafe(F.col(f"l.`{named[c]}`")) for c in ("id", "words")]
+    again = again.alias("a").join(least, [*same, F.col(f"a.`{named['row']}`") == F.col("l.least")]).select("a.*")
+    return once.unionByName(again.dropDuplicates([named["id"], named["words"]]).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -22,7 +22,7 @@ _LINKS = pa.schema([("id", pa.int64()), ("weight", pa.int64()), ("other", pa.int
 Compare = Callable[[dict[str, np.ndarray | list]], Iterator[tuple[int, np.ndarray]]]
 
 
-def tiles(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
+def tiles(rows: DataFrame, blocks: str) -> DataFrame:
     """rows with columns tile_a <= tile_b: a row goes to the tiles of its block (by hash of id) with every block.
 
     blocks: a column with the number of blocks of the row's group.
@@ -36,11 +36,13 @@ def tiles(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
 
 
 def link_tiles(tiled: DataFrame, group: list[str], columns: list[str], compare: Compare) -> DataFrame:
-    """(id, weight, other) over all tiles. tiled: id long, weight long, the group, the tile, tile_own, and columns."""
+    """(id, weight, other) over all tiles. tiled: id long, weight long, the group, the tile, tile_own, and columns.
+    compare gets the group and columns."""
     key = [*group, "tile_a", "tile_b"]
+    columns = [c for c in columns if c not in group]
     spread = tiled.select(F.xxhash64(*key).alias("tile"), *key, "tile_own", "id", "weight", *columns)
     dealt = spread.repartition("tile").sortWithinPartitions("tile", *key, "id")
-    dealt = dealt.select(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("tile"), (F.col("tile_a") == F.col("tile_b")).alias("alone"), "tile_own", "id", "weight", *columns)
+    dealt = dealt.select(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("tile"), (F.col("tile_a") == F.col("tile_b")).alias("alone"), "tile_own", "id", "weight", *group, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

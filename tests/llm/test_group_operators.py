@@ -320,6 +320,9 @@ def test_join_awkward(spark):
     assert all(r["n_links"] == 3 and r["component_id"] == 5 for r in five)  # two equal rows, one equal text, one near copy
     kept = collections.Counter(r["doc_id"] for r in ngram_join.keep_one(rows).collect())
     assert kept[5] == 1 and kept[6] == kept[11] == 0 and kept[1] == kept[4] == 1 and kept[None] == 2
+    same = [(1, "One two three.", "b"), (1, "one, two THREE", "a"), (1, "one two three", "c"), (2, "one two three", "d")]
+    stays = {tuple((r["doc_id"], r["text"], r["source"]) for r in ngram_join.keep_one(docs(spark, order).coalesce(1)).collect()) for order in (same, same[::-1], same[2:] + same[:2])}
+    assert len(stays) == 1 and len(next(iter(stays))) == 1  # whatever order the rows come in
     assert ngram_join.join(rows.limit(0)).count() == 0 and ngram_join.keep_one(rows.limit(0)).count() == 0
 
 
@@ -368,6 +371,25 @@ def test_embeddings_with_a_common_direction(spark, common):
     assert 0.98 * pairs <= sum(r["n_links"] for r in found) <= pairs and pairs >= 1000
 
 
+def test_embeddings_given_with_planted_pairs(spark, small, monkeypatch):
+    """The given vectors and a partner of each right above the threshold, against brute force."""
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 2)
+    given = spark.read.parquet(f"{small}/embeddings.parquet").where("embedding is not null and label is not null").toPandas()
+    x = np.array(given["embedding"].tolist(), dtype=np.float64)
+    rnd = np.random.default_rng(5)
+    turn = rnd.standard_normal(x.shape)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x / size**2
+    y = 0.9802 * x + np.sqrt(1 - 0.9802**2) * size * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    x, label = np.float32(np.vstack([x, y])).astype(np.float64), np.tile(given["label"], 2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(k, v, int(c), None, None, None) for k, (v, c) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int, id long, weight long, code long")
+    found = {r["vec_id"]: r["n_links"] for r in collected(embedding_dedup.near_duplicates(rows))}
+    assert all(found[k] <= n for k, n in enumerate(near.sum(axis=1))) and sum(found.values()) >= 0.98 * near.sum() >= len(given)
+
+
 def test_embeddings_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
@@ -387,11 +409,32 @@ def test_embeddings_awkward(spark):
 
 def test_rotation_balances_codes():
     x = np.random.default_rng(1).standard_normal((2000, 24)) * np.linspace(1, 4, 24)
-    mean, projection = embedding_dedup.fit_rotation(x)
-    whole, keys = embedding_dedup.codes(x, mean, projection)
-    assert keys.shape == (2000, embedding_dedup.TABLES)
-    share = [np.mean(whole.view(np.uint64) >> np.uint64(k) & np.uint64(1)) for k in range(64)]
+    mean, axes = embedding_dedup.principal(x)
+    keys = embedding_dedup.table_keys(x, mean, embedding_dedup.fit_rotation(x, mean, axes, 7))
+    assert keys.shape == (2000, 1 + embedding_dedup.PROBES)
+    share = [np.mean(keys[:, 0].view(np.uint64) >> np.uint64(k) & np.uint64(1)) for k in range(24)]
     assert 0.4 < min(share) and max(share) < 0.6
+    flipped = keys[:, :1] ^ keys[:, 1:]
+    assert (np.bitwise_count(flipped) == 1).all() and (flipped[:, 0] != flipped[:, 1]).all()
+
+
+@pytest.mark.parametrize("vectors", [1_000, 1_000_000, 1_000_000_000])
+def test_tables_reach_the_recall_at_any_number_of_vectors(vectors):
+    """Substrings grow with the number of vectors, and tables with them; pairs that were not used for the fit meet as often."""
+    rnd = np.random.default_rng(4)
+    x = rnd.standard_normal((4000, 64))
+    mean, tables = embedding_dedup.fit_tables(x, 0.98, vectors)
+    assert tables[0].shape == (64, max(4, int(np.ceil(np.log2(vectors / embedding_dedup.BUCKET)))))
+    a = rnd.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    turn = rnd.standard_normal(a.shape)
+    turn -= (turn * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    met = np.zeros(len(a), dtype=bool)
+    for t in tables:
+        left, right = (embedding_dedup.table_keys(y, mean, t) for y in (a, b))
+        met |= (left[:, :, None] == right[:, None, :]).any(axis=(1, 2))
+    assert met.mean() > 0.98
 
 
 # Repeated passages
