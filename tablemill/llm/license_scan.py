@@ -11,6 +11,8 @@ repeated ids do no harm.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from tablemill.llm.license_rules import KEYWORDS, OTHER_KEYWORDS, RULES, STEM
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Of the best match that stays, by priority.
 SCORES = (1.0, 0.8, 0.5)
+#: Matches whose running sums are appended to one array.
+BLOCK = 256
 _MATCH = "array<struct<s:bigint,back:bigint,priority:int,rule_id:int,label:string,is_base:boolean,e:bigint>>"
 
 
@@ -38,15 +42,30 @@ def _n_words(sql: str) -> str:
     return f"cast((length({sql}) - length(replace({sql}, ' ', ''))) div 2 as bigint)"
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A literal of many parts as one: it is folded when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _running_sums(values: str) -> str:
+    """SQL for the running sums of an array of longs: within blocks, then with the sum of the blocks before."""
+    add = lambda items, item: f"aggregate({items}, array(0L), (a, x) -> array_append(a, a[size(a) - 1] + {item}))"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {BLOCK}), b -> slice({add(f'slice(v, b * {BLOCK} + 1, {BLOCK})', 'x')}, 2, {BLOCK}))"
+    before = add("k", "x[size(x) - 1]")
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    return let("v", values, let("k", blocks, let("o", before, "flatten(transform(k, (x, b) -> transform(x, y -> y + o[b])))")))
+
+
 def with_licenses(docs: DataFrame, name: str = "licenses") -> tuple[DataFrame, str]:
     """docs with one struct column more (its name is returned)."""
     words, present, found = (fresh(docs, n) for n in ("spaced_words", "present_keywords", "rule_matches"))
     name = fresh(docs, name)
-    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule_id", "label", "keyword", "pattern", "priority", "is_base"), r, strict=True)]) for r in RULES])
+    fields = ("rule_id", "label", "keyword", "pattern", "priority", "is_base")
+    rules = _constant([dict(zip(fields, r, strict=True)) for r in RULES], "array<struct<rule_id:int,label:string,keyword:string,pattern:string,priority:int,is_base:boolean>>")
     # Columns that are used several times stay projections of their own, so each is computed once.
     out = docs.withColumn(words, _one_spaced(F.col("text")))
     out = out.withColumn(words, _spaced_words(F.col(words)))
-    hold = lambda keywords: F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col(words), k))
+    hold = lambda keywords: F.filter(_constant(keywords, "array<string>"), lambda k: F.contains(F.col(words), k))
     out = out.withColumn(present, F.when(F.col(words).contains(STEM), hold(KEYWORDS)).otherwise(hold(OTHER_KEYWORDS)))
     tried = F.filter(rules, lambda r: F.array_contains(F.col(present), r["keyword"]) & F.rlike(F.col(words), r["pattern"]))
     cut = F.transform(
@@ -57,17 +76,17 @@ def with_licenses(docs: DataFrame, name: str = "licenses") -> tuple[DataFrame, s
         ),
     )
     out = out.withColumn(found, F.when(F.size(present) > 0, cut))
-    starts = f"""
-      aggregate(sequence(1, size(r.hits)), named_struct('at', 0L, 'out', cast(array() as {_MATCH})),
-        (a, i) -> named_struct(
-          'at', a.at + {_n_words("r.between[i - 1]")} + {_n_words("r.hits[i - 1]")},
-          'out', array_append(a.out, named_struct(
-            's', a.at + {_n_words("r.between[i - 1]")},
-            'back', -(a.at + {_n_words("r.between[i - 1]")} + {_n_words("r.hits[i - 1]")}),
-            'priority', r.priority, 'rule_id', r.rule_id, 'label', r.label, 'is_base', r.is_base,
-            'e', a.at + {_n_words("r.between[i - 1]")} + {_n_words("r.hits[i - 1]")}))),
-        a -> a.out)"""
-    out = out.withColumn(found, F.expr(f"array_sort(flatten(transform(`{found}`, r -> {starts})))"))
+    # Word intervals from running sums of the words between matches and in them. Arrays are appended to within blocks
+    # only: an array that grew by each match would be copied with each.
+    counted = F.expr(f"""
+      transform(`{found}`, r -> struct(r.rule_id, r.label, r.priority, r.is_base,
+        transform(r.hits, h -> {_n_words("h")}) as inner, transform(r.between, b -> {_n_words("b")}) as outer))""")
+    out = out.withColumn(found, counted)
+    steps = "transform(r.inner, (w, i) -> w + r.outer[i])"
+    out = out.withColumn(found, F.expr(f"transform(`{found}`, r -> struct(r.*, {_running_sums(steps)} as ends))".replace("r.*", "r.rule_id, r.label, r.priority, r.is_base, r.inner")))
+    matches = """transform(r.ends, (e, i) -> named_struct(
+      's', e - r.inner[i], 'back', -e, 'priority', r.priority, 'rule_id', r.rule_id, 'label', r.label, 'is_base', r.is_base, 'e', e))"""
+    out = out.withColumn(found, F.expr(f"array_sort(flatten(transform(`{found}`, r -> {matches})))"))
     # far1..far3: how far the matches of priority 1..3 seen so far reach. A match within reach of its own or a better one goes.
     judged = F.expr(f"""
       aggregate(`{found}`,

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,23 @@ def test_longer_better_match_suppresses(spark):
     assert c["labels"] == "gpl,gpl-3.0" and c["base_labels"] == "gpl"
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 600])
+def test_places_across_blocks_of_matches(spark, n):
+    text = " ".join(f"{'x ' * (k % 5)}MIT license" for k in range(n))
+    (found,) = licenses(spark, text)
+    assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"], found["base_labels"]) == brute_base(text)
+    assert found["n_matches"] == n
+
+
+def test_time_grows_with_the_matches_not_with_their_square(spark):
+    """A hundred thousand matches in one text take seconds."""
+    out, name = license_scan.with_licenses(docs(spark, [(k, "an mit license, an apache license " * 50_000) for k in range(1)]))
+    began = time.perf_counter()
+    found = out.select(f"{name}.*").first()
+    assert time.perf_counter() - began < 60
+    assert (found["n_base"], found["first_word"], found["last_word"], found["n_matches"]) == (100_000, 1, 299_998, 100_000)
+
+
 def test_rules_are_many_and_gated():
     assert len(RULES) >= 200
     for _, _, keyword, pattern, priority, _ in RULES:
