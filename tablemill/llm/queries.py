@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger stored, and read again under each policy: what each rule rejects, alone and with others."""
+    out, ledger = quality_rules.with_ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    bits = stored(out.select(F.col(ledger)["fail_bits"].alias("fail_bits")))
+    per = [quality_rules.ablations(bits, p).select(F.lit(p).alias("policy"), "*") for p in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, per)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per passage and document; documents that share no passage have none."""
     return suffix_dedup.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
@@ -97,10 +107,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, shards_rewritten)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, shards_rewritten, quality_ablations)}
 
 _RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows b: the ledger.
+LEDGER_SQL = rf"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
+        l AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+              WHERE regexp_matches(line, '{WORD}') GROUP BY ALL),
+        ls AS (SELECT doc_id, sum(c) AS n_lines, sum(c - 1) AS n_dup_lines FROM l GROUP BY doc_id),
+        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        rs AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+                     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     len(list_distinct(ws)) AS n_unique_words
+              FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN rs USING (doc_id)),
+        b AS (SELECT *, {" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)} AS bits FROM m)"""
+_BITS = {r.name: 1 << r.bit for r in quality_rules.RULES}
+_ABLATED = ", ".join(f"('{p}', '{name}', {_BITS[name]}, {quality_rules.mask(p)})" for p, names in quality_rules.POLICIES.items() for name in names)
 ORACLE_SQL = {
     "shards_rewritten": "SELECT 6::BIGINT AS n_shards, count(*) AS n_rows, true AS as_planned FROM documents",
     "op1_license_scan": rf"""
@@ -150,24 +178,14 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST(least(rounds + CASE WHEN mid <= rest THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken FROM u""",
     "op8_quality_rules": rf"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
-        l AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
-              WHERE regexp_matches(line, '{WORD}') GROUP BY ALL),
-        ls AS (SELECT doc_id, sum(c) AS n_lines, sum(c - 1) AS n_dup_lines FROM l GROUP BY doc_id),
-        g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
-              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-        r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-        rs AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
-        m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
-                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
-                     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-                     len(list_distinct(ws)) AS n_unique_words
-              FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN rs USING (doc_id)),
-        b AS (SELECT *, {" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)} AS bits FROM m)
+        WITH {LEDGER_SQL}
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
                CAST(n_unique_words AS BIGINT) AS n_unique_words, CAST(bits AS BIGINT) AS fail_bits,
                (bits & {quality_rules.mask(quality_rules.BASE_POLICY)}) <> 0 AS base_failed,
                (bits & {quality_rules.mask(quality_rules.DEFAULT_POLICY)}) = 0 AS kept FROM b""",
+    "quality_ablations": f"""
+        WITH {LEDGER_SQL}, cells(policy, rule, m, p) AS (VALUES {_ABLATED})
+        SELECT policy, rule, count(*) FILTER (bits & m <> 0) AS n_failed, count(*) FILTER (bits & p = m) AS n_failed_alone,
+               count(*) FILTER (bits & p = 0) AS n_kept FROM b, cells GROUP BY ALL""",
 }

@@ -1,12 +1,17 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
 Of all suffixes only those at minimisers are kept: the least hash of GRAM words in each window of WINDOW positions, so
-equal passages keep suffixes at equal places. The suffixes are sorted by their first PREFIX words (as two hashed chunks,
-which keeps equal beginnings side by side) over range partitions; a suffix that begins like a neighbour from another document
-is a seed. Stretches of seeds shared by the same documents are extended left and right, word by word, by hashed windows
-of MIN_WORDS words that must occur in another document.
+equal passages keep suffixes at equal places. The suffixes are sorted over range partitions by their first PREFIX words,
+as two symbols: the hashes of the first half and of the rest. Neighbours are compared for the symbols that they have in
+common; a suffix that has both in common with a neighbour from another document is a seed. Stretches of seeds that the
+same documents share are extended left and right, word by word: each word with which a passage may begin or end gives a
+hashed window of MIN_WORDS words, which must occur in another document.
 
-Every passage of MIN_WORDS words holds a minimiser whose PREFIX words lie in the passage, so none is missed.
+A passage isn't extended against the sorted neighbour itself. That one has the longest match to the right; another
+document may share less to the right and more to the left, and only with it the passage may be long enough.
+
+Every passage of MIN_WORDS words holds a minimiser whose PREFIX words lie in the passage, so none is missed. A task holds
+a batch of sorted suffixes, or all those of its range that begin alike: ranges end within a run that is too long.
 
 Words are runs of letters and digits, compared in lower case. Edge cases: null text is empty; rows that agree in id and
 text count as one document; shorter texts have no passages; repeats within one document alone don't count; null ids are
@@ -101,20 +106,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sign is a fingerprint of the documents in the run of suffixes that begin alike. A partition's first and last run
     may go on elsewhere: their rows all count as seeds, each with a sign of its own, and false ones are found out later.
     """
-    held, first = [np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.int32)], True
+    held: list[list[np.ndarray]] = []  # parts of the last run, which may go on in the next batch
+    first = True
     for batch in batches:
-        columns = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        columns = [batch.column(k).to_numpy() for k in range(4)]
         if not len(columns[0]):
             continue
-        starts = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
-        if not len(starts):
-            held = columns
+        new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
+        if not len(new) and (not held or (held[-1][0][-1], held[-1][1][-1]) == (columns[0][0], columns[1][0])):
+            held.append(columns)
             continue
-        held = [c[starts[-1] :] for c in columns]  # the last run may go on in the next batch
-        yield from _runs([c[: starts[-1]] for c in columns], np.concatenate([[0], starts[:-1]]), first)
-        first = False
-    if len(held[0]):
-        yield from _runs(held, np.zeros(1, np.int64), True)
+        whole = [np.concatenate(c) for c in zip(*held, columns, strict=True)]
+        starts = np.flatnonzero((whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])) + 1
+        yield from _runs([c[: starts[-1]] for c in whole], np.concatenate([[0], starts[:-1]]), first)
+        held, first = [[c[starts[-1] :] for c in whole]], False
+    if held:
+        yield from _runs([np.concatenate(c) for c in zip(*held, strict=True)], np.zeros(1, np.int64), True)
 
 
 def _runs(columns: list[np.ndarray], starts: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
@@ -150,8 +157,12 @@ def window_starts(pos: np.ndarray, sign: np.ndarray, n: int) -> np.ndarray:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     kinds = pa.schema([("h0", pa.int64()), ("h1", pa.int64()), ("rk", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32())])
+    last = None
     for batch in batches:
         for rk, doc_id, text, seeds in zip(*(batch.column(k) for k in range(4)), strict=True):
+            if (now := rk.as_py()) == last:
+                continue  # rows that agree in id and text stand side by side
+            last = now
             found = list(WORD.finditer(text.as_py() or ""))
             w = np.array([hashes[m[0]] for m in found], dtype=np.uint64)
             own = seeds.values
@@ -175,8 +186,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Sorting by all columns spreads a passage that very many documents share over several partitions.
     order = ["k0", "k1", "rk", "pos"]
     flagged = seeds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, FLAGGED)
-    by_doc = flagged.groupBy("rk").agg(F.collect_list(F.struct("pos", "sign")).alias("seeds"))
-    windows = stored(keyed.join(by_doc, "rk").select("rk", "doc_id", "text", "seeds").mapInArrow(_windows, WINDOWS))
+    by_doc = flagged.groupBy("rk").agg(F.collect_set(F.struct("pos", "sign")).alias("seeds"))  # once for rows that agree
+    windows = stored(keyed.join(by_doc.hint("merge"), "rk").select("rk", "doc_id", "text", "seeds").mapInArrow(_windows, WINDOWS))
     # Counts are pre-aggregated; stored, so that the join shuffles on its own and Spark can split a hot window's rows.
     shared = stored(windows.groupBy("h0", "h1").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a <> b").select("h0", "h1"))
     hits = windows.join(shared, ["h0", "h1"], "left_semi")

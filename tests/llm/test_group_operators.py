@@ -486,6 +486,31 @@ def test_passages_awkward(spark):
     assert suffix_dedup.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_sorted_runs_over_batches_of_any_size():
+    """However the sorted suffixes are cut into batches, the inner runs give the same seeds, in time that grows with them."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(6)
+    k0 = np.sort(np.concatenate([np.repeat(rnd.integers(0, 50, 40), 5), np.full(3000, 25)]))
+    columns = [k0, k0 * 7, rnd.integers(0, 9, len(k0)), np.arange(len(k0), dtype=np.int32)]
+    order = np.lexsort(columns[::-1])
+    table = pa.table({n: c[order] for n, c in zip(("k0", "k1", "rk", "pos"), columns, strict=True)})
+    inner = set(range(len(k0))) - set(np.flatnonzero(np.isin(k0, k0[[0, -1]])).tolist())
+
+    def seeds(size):
+        found = pa.Table.from_batches(suffix_dedup._neighbours(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        return sorted((r["pos"], r["sign"]) for r in found if r["pos"] in inner)
+
+    assert seeds(10_000) == seeds(1) == seeds(3) == seeds(64) and len(seeds(64)) >= 3000
+
+
+def test_passages_of_rows_that_are_repeated_very_often(spark):
+    shared = prose(900, 60)
+    rows = docs(spark, [(7, f"{shared} {prose(1, 30)}")] * 400 + [(8, f"{prose(2, 30)} {shared}")])
+    found = collected(suffix_dedup.repeated_passages(rows.repartition(5)))
+    assert sorted((r["doc_id"], r["n_words"]) for r in found) == [(7, 60), (8, 60)]
+
+
 def test_window_starts_reach_both_ends():
     starts = suffix_dedup.window_starts(np.array([100, 110]), np.array([1, 1]), 1000)
     assert {100 - suffix_dedup.WINDOW + 1, 100, 110} <= set(starts.tolist())
