@@ -3,7 +3,9 @@
 import collections
 import itertools
 import math
+import random
 import re
+import string
 import time
 
 import pytest
@@ -160,12 +162,24 @@ def test_base_spans_match_brute_force():
 def test_guess_cost_orders_values():
     cost = secret_scan.guess_cost
     assert cost("") == 0
-    for weak in ("password", "Password1", "qwertyuiop", "aaaaaaaaaaaa", "2019-05-07", "changeme2020", "p4ssw0rd"):
+    for weak in ("password", "Password1", "qwertyuiop", "aaaaaaaaaaaa", "2019-05-07", "changeme2020", "p4ssw0rd", "P@$$w0rd", "1qaz2wsx", "tomorrow1", "elephant9", "university3", "keyboard7"):
         assert cost(weak) < 8, weak
     assert cost("x8#Kq0vLw2") > 15 and cost("abc" * 30) < cost("q7Z" * 30)
     assert secret_scan.is_guarded("x8#Kq0vLw2") and not secret_scan.is_guarded("changeme2020") and not secret_scan.is_guarded("thequickbrownfox")
 
 
+def test_plain_words_are_rarely_secrets():
+    """Words of English prose that isn't in this repository, bare and with what people add to them."""
+    from pydoc_data import topics
+
+    words = sorted(set(re.findall(r"\b[a-z]{6,14}\b", " ".join(topics.topics.values()))))
+    for tail, most in (("", 0.01), ("1", 0.04), ("!", 0.05), ("2020", 0.08), ("42", 0.15)):
+        assert sum(secret_scan.is_guarded(w + tail) for w in words) <= most * len(words), tail
+    rnd = random.Random(1)
+    strong = ["".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(12)) for _ in range(500)]
+    assert all(map(secret_scan.is_guarded, strong))
+
+
 def segment_cost(value, a, b, each):
     """The least cost of value[a:b] as one segment."""
     part, low = value[a:b], value[a:b].lower()
@@ -174,8 +188,12 @@ def segment_cost(value, a, b, each):
     if len(part) >= 3:
         if len(set(part)) == 1:
             costs.append(step + math.log10(secret_scan.CLASS_SIZE[secret_scan._class(part[0])] * len(part)))
-        if all(pair in secret_scan.NEXT for pair in zip(low, low[1:], strict=False)):
-            costs.append(step + math.log10(180 * len(part)))
+        for board in (["1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"], ["abcdefghijklmnopqrstuvwxyz"]):
+            # Keys half a key apart stand at odd and even places.
+            place = {c: (r, 2 * i + r) for r, row in enumerate(board) for i, c in enumerate(row)}
+            ways = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) if a in place and b in place else None for a, b in zip(low, low[1:], strict=False)]
+            if all(w in ((0, 2), (0, -2), (1, 1), (1, -1), (-1, 1), (-1, -1)) for w in ways):
+                costs.append(step + math.log10(180 * len(part)) + sum(a != b for a, b in itertools.pairwise(ways)) * math.log10(5))
         for said, extra in ((low, 1), (low.translate(secret_scan.LEET), 4)):
             if said in secret_scan.WORDS:
                 costs.append(step + math.log10(secret_scan.WORDS[said] * extra * (1 if part.islower() else 3)))
@@ -184,7 +202,7 @@ def segment_cost(value, a, b, each):
     return min(costs, default=math.inf)
 
 
-@pytest.mark.parametrize("value", ["Dragon2019z", "aaa1qwerty", "p4ssw0rd!!!", "x9Kfoo2020", "zzzzabcd77", "20190507ab"])
+@pytest.mark.parametrize("value", ["Dragon2019z", "aaa1qwerty", "p4ssw0rd!!!", "x9Kfoo2020", "zzzzabcd77", "20190507ab", "1qaz2wsx", "zaq1@WSX", "fghbvcde", "$ecret@7"])
 def test_guess_cost_is_the_least_over_all_segmentations(value):
     n = len(value)
     each = math.log10(sum(secret_scan.CLASS_SIZE[k] for k in {secret_scan._class(c) for c in value}))
