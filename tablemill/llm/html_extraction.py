@@ -73,6 +73,7 @@ class Page:
         self.chars, self.link_chars, self.sentences = [0], [0], [0]
         self._block, self._open, self._names, self._links = 0, [0], ["#root"], 0
         self._bare_at = -1, 0
+        self._many: Counter = Counter()  # open elements by name
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -106,16 +107,15 @@ class Page:
         if name in BLOCK:
             self._block += 1
             for other in BROKEN_BY_BLOCK:
-                if other in self._names:
-                    self._pop_to(other)
-            if "p" in self._names and name not in ("html", "head", "body"):
+                self._pop_to(other)
+            if name not in ("html", "head", "body"):
                 self._pop_to("p", stop=("td", "th", "table", "article", "section", "div", "li", "blockquote", "form"))
             if name in CLOSES:
                 for other in CLOSES[name]:
                     self._pop_to(other, stop=WITHIN[name])
         if name in VOID:
             return
-        if name == "button" and name in self._names:
+        if name == "button":
             self._pop_to(name)
         self.tag.append(name)
         self.parent.append(self._open[-1])
@@ -127,6 +127,7 @@ class Page:
         self.sentences.append(0)
         self._open.append(len(self.tag) - 1)
         self._names.append(name)
+        self._many[name] += 1
         self._links += name == "a"
 
     @staticmethod
@@ -146,9 +147,12 @@ class Page:
         return "for" if found & FOR else "none"
 
     def _pop_to(self, name: str, stop: tuple[str, ...] = ()) -> None:
+        if not self._many[name]:
+            return
         for k in range(len(self._names) - 1, 0, -1):
             if self._names[k] == name:
                 self._links -= self._names[k:].count("a")
+                self._many.subtract(self._names[k:])
                 del self._open[k:], self._names[k:]
                 return
             if self._names[k] in stop:

@@ -440,12 +440,13 @@ def test_tables_reach_the_recall_at_any_number_of_vectors(vectors):
 # Repeated passages
 
 
-def brute_passages(rows, size=suffix_dedup.MIN_WORDS):
+def brute_passages(rows, size=suffix_dedup.MIN_WORDS, ids=None):
+    """Rows that agree in id and text are one document."""
     words = {k: [w.lower() for w in re.findall(r"[^\W_]+", t or "")] for k, t in enumerate(rows)}
     where = collections.defaultdict(set)
     for k, w in words.items():
         for i in range(len(w) - size + 1):
-            where[tuple(w[i : i + size])].add(rows[k])
+            where[tuple(w[i : i + size])].add((ids[k] if ids else k, rows[k]))
     out = []
     for k, w in words.items():
         spans = []

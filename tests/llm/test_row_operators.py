@@ -284,6 +284,12 @@ def test_unclosed_elements_drop_no_article_text(model, name):
     assert model.extract(f"<html><body><article><h1>T</h1><p>{LONG}</p><{name}>Sh</{name.upper()} ><p>Last, {LONG}</p></article></body></html>").count("A longer sentence") == 10
 
 
+def test_deep_pages_take_linear_time(model):
+    began = time.perf_counter()
+    text = model.extract("<html><body><article><h1>T</h1>" + "<div>" * 30_000 + f"<p>{LONG}</p>" + "</b></i>" * 30_000 + "</div>" * 30_000 + f"<p>{LONG}</p></article></body></html>")
+    assert time.perf_counter() - began < 20 and text.count("A longer sentence") == 10
+
+
 def test_embedded_text_is_judged(model):
     article = "<html><body><article><h1>T</h1><p>{0}</p>{1}<p>{0}</p></article></body></html>"
     assert "x = 2" in model.extract(article.format(LONG, f"<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds. {LONG}</p>"))
