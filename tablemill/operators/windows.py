@@ -29,6 +29,24 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
     return ranged.join(F.broadcast(offsets), part).withColumn(name, (F.col(own) + F.col(at) + 1).cast("long")).drop(part, own, at)
 
 
+def global_running_sums(df: DataFrame, order: Sequence[str | Column], **sums: str) -> DataFrame:
+    """df with {new: column} sums of all rows before and of the row itself, in the given order, which should be total.
+
+    Like row numbers: running sums within ranges of the order, and the totals of earlier ranges (one row per range).
+    """
+    part = fresh(df, "range_no")
+    ranged = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = {n: fresh(df, f"{n}_before") for n in sums}
+    totals = ranged.groupBy(part).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = totals.select(part, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before[n]) for n in sums])
+    local = ranged.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    # One row per range: bounded by the number of shuffle partitions.
+    out = local.join(F.broadcast(totals), part).withColumns({n: F.col(n) + F.col(before[n]) for n in sums})
+    return out.drop(part, *before.values())
+
+
 def split_by_row_number(df: DataFrame, order: Sequence[str | Column], every: int = 10, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test): every so-and-so-many-th row is test; with offset 9 of 10 the first row is."""
     numbered = stored(global_row_number(df, order, name := fresh(df, "row_number")))

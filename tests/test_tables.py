@@ -215,6 +215,16 @@ def test_row_number_matches_window_and_empty(spark):
     assert {r["id"]: r["row_number"] for r in windows.global_row_number(ties, ["x"]).collect()} == {r["id"]: r["row_number"] for r in numbered}
 
 
+def test_running_sums_match_a_window_and_empty(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("v"))
+    found = windows.global_running_sums(df, ["x"], upto="v", places="x").collect()
+    upto = places = 0
+    for r in sorted(found, key=lambda r: r["x"]):
+        upto, places = upto + (r["v"] or 0), places + r["x"]
+        assert (r["upto"], r["places"]) == (upto, places)
+    assert len(found) == 1000 and windows.global_running_sums(df.limit(0), ["x"], upto="v").count() == 0
+
+
 def test_split_sizes(spark):
     train, test = windows.split_by_row_number(spark.range(25), ["id"])
     assert (train.count(), [r["id"] for r in test.orderBy("id").collect()]) == (23, [9, 19])
