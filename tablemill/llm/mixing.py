@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import broadcast_if_small, fresh, stored
+from tablemill.operators.windows import global_row_number, global_running_sums
 
 WEIGHTS = (3, 1, 2)
 #: All sources together get so much of all sizes; one source at most CAP times its own size.
@@ -35,31 +36,29 @@ def place(doc_id: Column, text: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size) -> with target double. One row per source, so one small window.
+    """(source, source_size) -> with target double.
 
     The reshared excess comes to rest where a source is either at its cap or gets the same amount per weight as the
-    others; sorted by cap per weight, the capped sources are a prefix.
+    others; sorted by cap per weight, the capped sources are a prefix. Ranks and running sums are taken in ranges of
+    the order, as sources may be as many as hosts; only sums over all of them reach the driver.
     """
     key = F.col("source").asc_nulls_last()
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(Window.orderBy(key)) - 1) % len(WEIGHTS) + 1).cast("int"))
-    out = sizes.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * CAP)
-    by_cap = Window.orderBy((F.col("cap") / F.col("weight")).asc(), key)
-    before, whole = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    out = out.withColumn("total", F.sum("source_size").over(whole)).withColumn("all_weight", F.sum("weight").over(whole))
-    out = out.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    out = out.withColumn("weight_left", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    budget = F.col("total") * (SHARE_NUM / SHARE_DEN)
-    capped = (budget - F.col("cap_before")) * F.col("weight") >= F.col("cap") * F.col("weight_left")
-    out = out.withColumn("capped", capped)
-    free = F.when(~F.col("capped"), F.col("weight"))
-    out = out.withColumn("capped_sum", F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(whole), F.lit(0)))
-    out = out.withColumn("free_weight", F.sum(free).over(whole))
-    level = F.col("weight") * (budget - F.col("capped_sum")) / F.col("free_weight")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
+    out = global_row_number(sizes, [key], "rank").withColumn("weight", weight).withColumn("cap", F.col("source_size") * CAP)
+    by_cap = [(F.col("cap") / F.col("weight")).asc(), key]
+    out = stored(global_running_sums(out, by_cap, caps="cap", weights="weight"))
+    whole = out.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    budget = F.lit(whole["size"] * (SHARE_NUM / SHARE_DEN))
+    before, left = F.col("caps") - F.col("cap"), F.lit(whole["weight"]) - (F.col("weights") - F.col("weight"))
+    out = out.withColumn("capped", (budget - before) * F.col("weight") >= F.col("cap") * left)
+    cell = lambda c, yes: F.coalesce(F.sum(F.when(yes, F.col(c))), F.lit(0))
+    sums = out.agg(cell("cap", F.col("capped")).alias("capped"), cell("weight", ~F.col("capped")).alias("free")).first()
+    level = F.col("weight") * (budget - F.lit(sums["capped"])) / F.lit(sums["free"] or 1)
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level)
     return out.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _boundary(sums: DataFrame, keys: list[str], left: Column, n: int) -> DataFrame:
+def _boundary(sums: DataFrame, keys: list[str], left: Column) -> DataFrame:
     """For each source the first bucket at which the running sum exceeds what is left, and what is left before it."""
     run = F.sum("s").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
     at = sums.withColumn("upto", run).where(F.col("upto") > left)
@@ -73,7 +72,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("~null"))  # "s..." < "~null"
     slim = stored(docs.select(src.alias("source"), place(F.col("doc_id"), F.col("text")).alias("h"), words(F.col("text")).alias("size")))
-    plan = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    plan = stored(targets(stored(slim.groupBy("source").agg(F.sum("size").alias("source_size")))))
     # The part of the target beyond whole rounds over the source: that is what thresholds decide.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("rounds", F.least(rounds, F.lit(CAP)).cast("long"))
@@ -82,7 +81,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, str]:
         shift = 60 - LEVEL_BITS * level
         inside = slim.join(broadcast_if_small(plan.select("source", "low", "high", "left")), "source").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("high")))
         sums = inside.groupBy("source", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"))
-        hits = _boundary(sums, ["source", "left"], F.col("left"), level).select("source", "hit")
+        hits = _boundary(sums, ["source", "left"], F.col("left")).select("source", "hit")
         plan = plan.join(hits, "source", "left")
         start = F.shiftleft(F.col("hit.b"), shift)
         plan = stored(

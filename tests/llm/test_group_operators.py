@@ -82,6 +82,15 @@ def test_mix_targets_and_taken(spark):
     assert copies == {r["doc_id"]: r["m"]["copies"] for r in found if r["m"]["copies"]}
 
 
+def test_targets_of_many_sources(spark):
+    """As many sources as there may be hosts: ranks and sums over ranges give what one pass over all of them gives."""
+    rnd = random.Random(8)
+    sizes = {f"host{k}": rnd.choice([0, 1, 5, 1000, 10**9]) for k in range(3000)}
+    found = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = water_fill(sizes)
+    assert len(found) == len(sizes) and all(r["target"] == pytest.approx(want[r["source"]]) for r in found)
+
+
 def test_mix_awkward(spark):
     rows = awkward(spark)
     out, m = mixing.mix(rows)
