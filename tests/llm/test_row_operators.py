@@ -168,6 +168,26 @@ def test_guess_cost_orders_values():
     assert secret_scan.is_guarded("x8#Kq0vLw2") and not secret_scan.is_guarded("changeme2020") and not secret_scan.is_guarded("thequickbrownfox")
 
 
+def test_enough_decides_as_the_whole_cost_does():
+    rnd = random.Random(2)
+    for _ in range(300):
+        value = "".join(rnd.choice(["password", "2020", "aaaa", "qwer", "x", "7", "K", "tomorrow"]) for _ in range(rnd.randint(1, 40)))
+        for enough in (3.0, 10.0, 25.0):
+            assert (secret_scan.guess_cost(value, enough) >= enough) == (secret_scan.guess_cost(value) >= enough), value
+
+
+def test_very_long_values(spark):
+    """Values of a megabyte, strong and weak, through the query's expression."""
+    strong = "".join(random.Random(3).choice(string.ascii_letters + string.digits) for _ in range(1_000_000))
+    texts = [f"pwd = {strong} end", f"pwd = {'z' * 1_000_000} end", f"token: {'0123456789abcdef' * 60_000}", "pwd = " + "x" * 7]
+    began = time.perf_counter()
+    out, s = secret_scan.with_secrets(docs(spark, list(enumerate(texts))))
+    found = {r["doc_id"]: r[s] for r in out.collect()}
+    assert time.perf_counter() - began < 60
+    assert found[0]["spans"] == "guess:6:1000006" and found[1]["spans"] == "guess:6:1000006" and found[3]["spans"] == ""
+    assert found[2]["n_assign"] == found[2]["n_hex"] == found[2]["n_guess"] == 1 and found[0]["redacted"] == "pwd = [SECRET] end"
+
+
 def test_plain_words_are_rarely_secrets():
     """Words of English prose that isn't in this repository, bare and with what people add to them."""
     from pydoc_data import topics
