@@ -14,70 +14,77 @@ from tablemill.scratch import stored
 from tablemill.sources import files
 
 SLOTS = ("odd", "even")
-#: Tables that are copied at a time.
-COPIES = 5
+#: Tables that are written at a time.
+WRITES = 5
 Audit = Callable[[dict[str, DataFrame], dict[str, DataFrame]], None]
 
 
 class Rejected(RuntimeError):
-    """An audit failed: the candidate stays in its slot for inspection, the published version is untouched."""
+    """An audit failed: the candidate stays for inspection, the published version is untouched."""
 
 
 class Group:
-    """A group of tables under root: two slots and a pointer file that names the published one.
+    """A group of tables under root: two places for each table and a pointer file that names the published ones.
 
-    The pointer is renamed into place last, so readers see the old version or the new one. It holds each table's content
-    key; tables whose key is unchanged are copied, and if all are, nothing is written.
+    The pointer is renamed into place last, so readers see the old version or the new one. It holds each table's place
+    and content key. Changed tables are written to their other place; unchanged ones stay where they are, without a
+    copy; if all are unchanged, nothing is written. The last version's files stay until the next publication.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
+    def _note(self, name: str) -> dict:
+        return json.loads(files.read_text(self.spark, f"{self.root}/{name}.json") or "{}")
+
+    def _tables(self, note: dict) -> dict[str, DataFrame]:
+        return {n: self.spark.read.parquet(f"{self.root}/{place}") for n, place in note.get("places", {}).items()}
+
     def pointer(self) -> dict:
-        return json.loads(files.read_text(self.spark, f"{self.root}/pointer.json") or "{}")
+        return self._note("pointer")
 
     def read(self) -> dict[str, DataFrame]:
         """The published tables; none before the first publication."""
-        now = self.pointer()
-        return {n: self.spark.read.parquet(f"{self.root}/{now['slot']}/{n}.parquet") for n in now.get("tables", {})}
+        return self._tables(self.pointer())
 
     def candidate(self) -> dict[str, DataFrame]:
-        """The tables in the slot that isn't published."""
-        slot = self._idle()
-        return {n[:-8]: self.spark.read.parquet(f"{self.root}/{slot}/{n}") for n in files.names(self.spark, f"{self.root}/{slot}") if n.endswith(".parquet")}
-
-    def _idle(self) -> str:
-        return SLOTS[1] if self.pointer().get("slot") == SLOTS[0] else SLOTS[0]
+        """The tables of the last publication that was tried, published or rejected."""
+        return self._tables(self._note("candidate"))
 
     def publish(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], audit: Audit | None = None, keys: Mapping[str, str] | None = None) -> bool:
-        """Write tables to the idle slot, run audit(new, old), flip the pointer. False if nothing had changed.
+        """Write what changed, run audit(new, old), flip the pointer. False if nothing had changed.
 
         keys: content keys known beforehand (by fingerprints); a table given as a function is computed only if its key
         changed. An audit rejects by raising.
         """
         now = self.pointer()
-        old = now.get("tables", {})
+        old, there = now.get("tables", {}), now.get("places", {})
         found = {n: (keys or {}).get(n) or content_key(df if isinstance(df, DataFrame) else df()) for n, df in tables.items()}
         if now and found == old:
             return False
-        slot, source = self._idle(), now.get("slot")
-        files.delete(self.spark, f"{self.root}/{slot}")
+        # What the published version doesn't name is left from versions before it and from rejected candidates.
+        for slot in SLOTS:
+            for name in files.names(self.spark, f"{self.root}/{slot}"):
+                if f"{slot}/{name}" not in there.values():
+                    files.delete(self.spark, f"{self.root}/{slot}/{name}")
+        changed = [n for n in tables if n not in old or found[n] != old[n]]
+        other = lambda n: SLOTS[there.get(n, SLOTS[1]).startswith(SLOTS[0])]
+        places = {n: f"{other(n)}/{n}.parquet" if n in changed else there[n] for n in tables}
 
         def write(name: str) -> None:
-            if name in old and found[name] == old[name]:
-                df = self.spark.read.parquet(f"{self.root}/{source}/{name}.parquet")
-            else:
-                df = tables[name] if isinstance(tables[name], DataFrame) else tables[name]()
-            df.write.option("compression", "zstd").parquet(f"{self.root}/{slot}/{name}.parquet")
-
-        with ThreadPoolExecutor(COPIES) as pool:
-            list(pool.map(write, tables))
+            df = tables[name] if isinstance(tables[name], DataFrame) else tables[name]()
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{places[name]}")
+
+        with ThreadPoolExecutor(WRITES) as pool:
+            list(pool.map(write, changed))
+        note = {"version": now.get("version", 0) + 1, "tables": found, "places": places}
+        files.write_text(self.spark, f"{self.root}/candidate.json", json.dumps(note))
         if audit:
             try:
                 audit(self.candidate(), self.read())
             except Exception as error:
                 raise Rejected(str(error)) from error
-        files.write_text(self.spark, f"{self.root}/pointer.json", json.dumps({"slot": slot, "tables": found}))
+        files.write_text(self.spark, f"{self.root}/pointer.json", json.dumps(note))
         return True
 
     def version(self) -> str:

@@ -58,9 +58,9 @@ def test_publish_flip_reject_and_reuse(spark, tmp_path):
     group = Group(spark, str(tmp_path))
     a, b = spark.range(3), spark.range(5)
     assert group.read() == {}
-    assert group.publish({"a": a, "b": b}) and group.pointer()["slot"] == "odd"
+    assert group.publish({"a": a, "b": b}) and group.pointer()["version"] == 1
     version = group.version()
-    assert not group.publish({"a": a, "b": b}) and group.pointer()["slot"] == "odd"
+    assert not group.publish({"a": a, "b": b}) and group.pointer()["version"] == 1
 
     def refuse(new, old):
         assert new["b"].count() == old["b"].count()
@@ -68,7 +68,7 @@ def test_publish_flip_reject_and_reuse(spark, tmp_path):
     with pytest.raises(Rejected):
         group.publish({"a": a, "b": spark.range(6)}, refuse)
     assert group.read()["b"].count() == 5 and group.candidate()["b"].count() == 6
-    assert group.publish({"a": a, "b": spark.range(6)}) and group.pointer()["slot"] == "even"
+    assert group.publish({"a": a, "b": spark.range(6)}) and group.pointer()["version"] == 2
     assert group.read()["b"].count() == 6 and group.read()["a"].count() == 3 and group.version() != version
 
 
@@ -83,6 +83,23 @@ def test_unchanged_tables_are_not_computed(spark, tmp_path):
     assert group.read()["a"].count() == 3 and group.read()["b"].count() == 4
 
 
+def test_unchanged_tables_stay_in_place_and_old_ones_go(spark, tmp_path):
+    group, rows = Group(spark, str(tmp_path)), lambda n: spark.range(n).coalesce(1)
+    parts = lambda: {str(p.relative_to(tmp_path)) for p in tmp_path.glob("*/*/part-*")}
+    group.publish({"a": rows(3), "b": rows(2), "c": rows(1)})
+    first = parts()
+    group.publish({"a": rows(3), "b": rows(4), "c": rows(1)})
+    second = parts()
+    assert first < second and len(second - first) == 1 and "even/b.parquet" in next(iter(second - first))
+    with pytest.raises(Rejected):
+        group.publish({"a": rows(9), "b": rows(4)}, lambda new, old: 1 / 0)
+    assert {n: t.count() for n, t in group.read().items()} == {"a": 3, "b": 4, "c": 1} and group.candidate()["a"].count() == 9
+    for n in (5, 6, 7):
+        group.publish({"a": rows(3), "b": rows(n)})  # c is no longer there
+        assert {n: t.count() for n, t in group.read().items()} == {"a": 3, "b": n}
+    assert {p.split("/")[1] for p in parts()} == {"a.parquet", "b.parquet"} and len(parts()) == 3
+
+
 def test_group_hash_order():
     assert group_hash({"a": "1", "b": "2"}) == group_hash({"b": "2", "a": "1"}) != group_hash({"a": "2", "b": "1"})
 
