@@ -137,14 +137,17 @@ def _coder(mean: np.ndarray, tables: list[np.ndarray]):
 
 
 def _near(cosine: float):
-    def compare(cols: dict[str, pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
+    def compare(cols: dict[str, pa.Array], second: int | None) -> Iterator[tuple[int, np.ndarray]]:
         x = rows_of(cols["embedding"]).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         first = least_common(rows_of(cols["keys"]), cols["h"][0].as_py())
-        for start in range(0, len(x) - 1, STRIP):
-            near = np.triu(x[start : start + STRIP] @ x[start:].T >= cosine, 1)
+        for start in range(0, second or len(x) - 1, STRIP):
+            if second:
+                other, near = second, x[start : min(second, start + STRIP)] @ x[second:].T >= cosine
+            else:
+                other, near = start, np.triu(x[start : start + STRIP] @ x[start:].T >= cosine, 1)
             for k in np.flatnonzero(near.any(axis=1)).tolist():
-                yield start + k, first(start + k, np.flatnonzero(near[k]) + start)
+                yield start + k, first(start + k, np.flatnonzero(near[k]) + other)
 
     return compare
 

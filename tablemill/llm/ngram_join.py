@@ -119,20 +119,19 @@ def plain_words(text: Column) -> Column:
 def _similar(num: int, den: int):
     """Compares a tile: pairs of a Jaccard similarity of num/den at least, in whole numbers."""
 
-    def compare(cols: dict[str, pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
+    def compare(cols: dict[str, pa.Array], second: int | None) -> Iterator[tuple[int, np.ndarray]]:
         sets = [np.frombuffer(x, np.uint64) for x in cols["packed"].to_pylist()]
         first = least_common(rows_of(cols["keys"]), cols["h"][0].as_py())
         sizes = np.array([len(s) for s in sets])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         values, at = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(len(values), dtype=np.int32)
-        for i in range(len(sets) - 1):
-            own = at[starts[i] : starts[i] + sizes[i]]
+        for i in range(second or len(sets) - 1):
+            own, k = at[starts[i] : starts[i] + sizes[i]], second or i + 1
             mark[own] = 1
-            rest = starts[i + 1]
-            common = np.add.reduceat(mark[at[rest:]], starts[i + 1 :] - rest)
+            common = np.add.reduceat(mark[at[starts[k] :]], starts[k:] - starts[k])
             mark[own] = 0
-            js = np.flatnonzero(common * (num + den) >= num * (sizes[i] + sizes[i + 1 :])) + i + 1
+            js = np.flatnonzero(common * (num + den) >= num * (sizes[i] + sizes[k:])) + k
             if len(js):
                 yield i, first(i, js)
 

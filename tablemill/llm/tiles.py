@@ -18,8 +18,9 @@ from tablemill.llm.common import schema
 
 LINKS = schema("id long, weight long, other long")
 _LINKS = pa.schema([("id", pa.int64()), ("weight", pa.int64()), ("other", pa.int64())])
-#: Given a tile's rows as columns, yields (i, js) for i in order: the positions j > i that i is linked with.
-Compare = Callable[[dict[str, np.ndarray | list]], Iterator[tuple[int, np.ndarray]]]
+#: Given a tile's rows as columns, yields (i, js): the positions j > i that i is linked with. In a tile of two blocks the
+#: second one begins at the given position, and only i before it and j from it on are asked for; else it is None.
+Compare = Callable[[dict[str, pa.Array], int | None], Iterator[tuple[int, np.ndarray]]]
 
 
 def tiles(rows: DataFrame, blocks: str) -> DataFrame:
@@ -78,7 +79,14 @@ def _one(held: list[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatc
     n = len(ids)
     if n < 2:
         return
-    weight, block, alone = table["weight"].to_numpy(), table["tile_own"].to_numpy(), table["alone"][0].as_py()
+    second = None
+    if not table["alone"][0].as_py():  # pairs of one block belong to that block's own tile
+        block = table["tile_own"].to_numpy()
+        table = table.take(pa.array(np.argsort(block, kind="stable")))
+        ids, second = table["id"].to_numpy(), int((block == block.min()).sum())
+        if second == n:
+            return
+    weight = table["weight"].to_numpy()
     cols = {c: table[c].combine_chunks() for c in table.column_names if c not in ("tile", "alone", "tile_own", "id", "weight")}
     sums = np.zeros(n, dtype=np.int64)
     root = np.arange(n)
@@ -89,9 +97,7 @@ def _one(held: list[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatc
             k = root[k]
         return k
 
-    for i, js in compare(cols):
-        if not alone:
-            js = js[block[js] != block[i]]  # pairs of one block belong to that block's own tile
+    for i, js in compare(cols, second):
         if not len(js):
             continue
         sums[i] += weight[js].sum()
