@@ -14,8 +14,8 @@ from tablemill.scratch import stored
 from tablemill.sources import files
 
 SLOTS = ("odd", "even")
-#: Tables that are written at a time.
-WRITES = 5
+#: Tables that are hashed or written at a time.
+AT_ONCE = 5
 Audit = Callable[[dict[str, DataFrame], dict[str, DataFrame]], None]
 
 
@@ -59,7 +59,13 @@ class Group:
         """
         now = self.pointer()
         old, there = now.get("tables", {}), now.get("places", {})
-        found = {n: (keys or {}).get(n) or content_key(df if isinstance(df, DataFrame) else df()) for n, df in tables.items()}
+
+        def key(name: str) -> str:
+            df = tables[name]
+            return (keys or {}).get(name) or content_key(df if isinstance(df, DataFrame) else df())
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            found = dict(zip(tables, pool.map(key, tables), strict=True))
         if now and found == old:
             return False
         # What the published version doesn't name is left from versions before it and from rejected candidates.
@@ -75,7 +81,7 @@ class Group:
             df = tables[name] if isinstance(tables[name], DataFrame) else tables[name]()
             df.write.option("compression", "zstd").parquet(f"{self.root}/{places[name]}")
 
-        with ThreadPoolExecutor(WRITES) as pool:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
             list(pool.map(write, changed))
         note = {"version": now.get("version", 0) + 1, "tables": found, "places": places}
         files.write_text(self.spark, f"{self.root}/candidate.json", json.dumps(note))
