@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import bpe, embedding_dedup, html_extraction, license_scan, mixing, ngram_join, quality_rules, resharding, secret_scan, suffix_dedup
+from tablemill.llm import bpe, embedding_dedup, filter_audit, html_extraction, license_scan, mixing, ngram_join, periodic_runs, quality_rules, resharding, secret_scan, sentencepiece_bpe, suffix_dedup
 from tablemill.llm.common import documents, new_path, stored
 from tablemill.llm.license_rules import RULES
 
@@ -107,10 +107,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(s)[c].alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, shards_rewritten, quality_ablations)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which, by the hash of its id, about every tenth text ends in a repeated block of its own
+    words. A row without an id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, hit = F.floor(h / 10), h % 10 == 0
+    cut = docs.withColumn("ws", F.when(hit, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    n = F.size("ws")
+    placed = cut.select("doc_id", "text", "ws", n.alias("n"), F.when(n > 0, g % n).cast("int").alias("a"), (3 + g % 8).alias("parts"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / F.col("parts"))).cast("int"))
+    block, rest = F.slice("ws", F.col("a") + 1, F.col("p")), F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, s = periodic_runs.with_runs(with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+    runs = F.col(s)["runs"]
+    # The greatest exact length / period; runs come by start and period, so the first of equals stays.
+    best = F.aggregate(runs, F.get(runs, F.lit(0)), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    said = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(said, lambda line: F.concat(line, F.lit("\n"))), "")
+    out = out.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col(s)["collapsed"], 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: A path, as with the ranks.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(documents(spark, sf_dir), PIECE_MODEL, with_ids=False).drop("ids")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
-_RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 WORD = r"[^\x20\x09-\x0D]+"
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_html_extraction, op4_embedding_dedup, op5_ngram_join, op6_resharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_secret_scan, op11_periodic_runs, op12_sentencepiece, op13_filter_audit, shards_rewritten, quality_ablations)}
+
+_RULE_ROWS = ", ".join(f"({k}, '{label}', '{keyword}', '{pattern}', {priority}, {base})" for k, label, keyword, pattern, priority, base in RULES)
 #: Rows b: the ledger.
 LEDGER_SQL = rf"""d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
@@ -188,4 +227,24 @@ ORACLE_SQL = {
         WITH {LEDGER_SQL}, cells(policy, rule, m, p) AS (VALUES {_ABLATED})
         SELECT policy, rule, count(*) FILTER (bits & m <> 0) AS n_failed, count(*) FILTER (bits & p = m) AS n_failed_alone,
                count(*) FILTER (bits & p = 0) AS n_kept FROM b, cells GROUP BY ALL""",
+    "op13_filter_audit": rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+                   FROM documents LEFT JOIN labels USING (doc_id)),
+        w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals FROM d),
+        k AS (SELECT part, good, toxic, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * capitals > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                     + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM k GROUP BY ALL),
+        f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (SELECT f1.letter || f2.letter || f3.letter || f4.letter || f5.letter AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+              FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31
+              AND len(list_distinct([f1.bit, f2.bit, f3.bit, f4.bit, f5.bit])) = 5),
+        s AS (SELECT filter_order, i AS step, bits[i] AS bit, list_sum(bits[1:i]) - bits[i] AS applied FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM o)),
+        m AS (SELECT part, filter_order, step, bit,
+                     sum(CASE WHEN mask & (applied + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & (applied + bit) = bit THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & applied <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & (applied + bit) = bit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & (applied + bit) = bit THEN toxic ELSE 0 END) AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in filter_audit.METRICS)},
+               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM m""",
 }
