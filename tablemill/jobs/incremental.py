@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
@@ -73,7 +74,8 @@ class Rebuilder:
     """Tables under root, each with a small note of what it was made from.
 
     build() computes a table only if its version text, its query text or its inputs changed; else the stored one is
-    used. Input keys are content hashes, or fingerprints that the caller has (a date, an aggregate).
+    used. A new table goes to a place of its own and the note is renamed onto the old one last, so a build that fails or
+    dies leaves the old table as it was, also where the mode forces it; the table before stays for one more build. Input keys are content hashes, or fingerprints that the caller has (a date, an aggregate).
     """
 
     def __init__(self, spark: SparkSession, root: str, mode: Mode = Mode.NORMAL) -> None:
@@ -96,8 +98,16 @@ class Rebuilder:
             raise RuntimeError(f"{name}: an input is fresh")
         if known and note.get("inputs") == fresh and self.mode is not Mode.FORCE_FRESH_INPUT:
             return self.spark.read.parquet(f"{self.root}/{note['path']}")
-        path = f"{name}-{hashlib.sha256((key + fresh).encode()).hexdigest()[:12]}.parquet"
-        fn(**inputs).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.root}/{path}")
-        files.write_text(self.spark, note_path, json.dumps({"key": key, "inputs": fresh, "path": path}))
+        # A place of its own: until the note is replaced, the old table is there, and a build that fails changes nothing.
+        path = f"{name}-{hashlib.sha256((key + fresh).encode()).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}.parquet"
+        try:
+            fn(**inputs).write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        except Exception:
+            files.delete(self.spark, f"{self.root}/{path}")
+            raise
+        files.write_text(self.spark, note_path, json.dumps({"key": key, "inputs": fresh, "path": path, "before": note.get("path")}))
+        # The table before stays for those who read it now; the one before that goes.
+        if older := note.get("before"):
+            files.delete(self.spark, f"{self.root}/{older}")
         self.computed.append(name)
         return self.spark.read.parquet(f"{self.root}/{path}")

@@ -56,14 +56,26 @@ def null_marked(columns: Sequence[Column]) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.length(s), F.lit(":"), s), F.lit("n")) for s in said])
 
 
+def hash_measures(columns: Sequence[Column]) -> dict[str, Column]:
+    """Aggregates from which content_hash() makes the hash of a table: any pass over its rows can take them along.
+
+    The sum of 60-bit MD5 prefixes, as three sums of 20 bits, which stay longs up to 2^43 rows.
+    """
+    row = F.conv(F.substring(F.md5(null_marked(columns).cast("binary")), 1, 15), 16, 10).cast("long")
+    return {"row_count": F.count("*")} | {f"s{k}": F.coalesce(F.sum(F.shiftright(row, 20 * k).bitwiseAND(F.lit((1 << 20) - 1))), F.lit(0)) for k in range(3)}
+
+
+def content_hash(measures: Mapping[str, int]) -> str:
+    """The hash of a table from its measures, as table_hash() has it. They add up over parts of a table."""
+    return str(sum(int(measures[f"s{k}"] or 0) << 20 * k for k in range(3)))
+
+
 def table_hash(df: DataFrame, columns: Sequence[Column] | None = None) -> DataFrame:
     """One row (row_count, content_hash) that doesn't depend on row order; repeated rows count.
 
-    The sum of 60-bit MD5 prefixes: partial sums, no sort. It is taken as three sums of 20 bits, which stay longs up to
-    2^43 rows, and put together as a decimal. columns: how to write rows as text, where an engine's default differs.
+    Partial sums, no sort; put together as a decimal. columns: how to write rows as text, where an engine's default
+    differs.
     """
-    row = F.conv(F.substring(F.md5(null_marked(columns or [F.col(f"`{c}`") for c in df.columns]).cast("binary")), 1, 15), 16, 10).cast("long")
-    sums = [F.sum(F.shiftright("h", 20 * k).bitwiseAND(F.lit((1 << 20) - 1))).alias(f"s{k}") for k in range(3)]
-    one = df.select(row.alias("h")).agg(F.count("*").alias("row_count"), *sums)
-    whole = reduce(Column.__add__, [F.coalesce(f"s{k}", F.lit(0)).cast("decimal(25,0)") * F.lit(1 << 20 * k).cast("decimal(13,0)") for k in range(3)])
+    one = df.agg(*[c.alias(n) for n, c in hash_measures(columns or [F.col(f"`{c}`") for c in df.columns]).items()])
+    whole = reduce(Column.__add__, [F.col(f"s{k}").cast("decimal(25,0)") * F.lit(1 << 20 * k).cast("decimal(13,0)") for k in range(3)])
     return one.select("row_count", whole.cast("decimal(38,0)").cast("string").alias("content_hash"))

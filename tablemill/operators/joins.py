@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,22 +38,51 @@ def rows_with_keys(df: DataFrame, keyed: DataFrame, keys: Keys) -> DataFrame:
 
 def full_join(left: DataFrame, right: DataFrame, keys: Keys, extra: Column | None = None) -> DataFrame:
     """All rows of both; keys from whichever side has them. extra: a further condition over columns that only one side
-    has, or that are qualified by the aliases l and r."""
+    has, or that are qualified by the aliases l and r. Other columns of both sides' name are an error."""
     left, right, names = left.alias("l"), right.alias("r"), _keys(keys)
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in names]
+    if both := ({c.lower() for c in left.columns} & {c.lower() for c in right.columns}) - {k.lower() for k in names}:
+        raise ValueError(f"in both tables: {sorted(both)}")
+    on = [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in names]
     joined = left.join(right, [*on, *([extra] if extra is not None else [])], "full")
-    own = [F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in names]
-    rest = [F.col(f"{side}.{c}") for side, df in (("l", left), ("r", right)) for c in df.columns if c not in names]
+    own = [F.coalesce(F.col(f"l.`{k}`"), F.col(f"r.`{k}`")).alias(k) for k in names]
+    rest = [F.col(f"{side}.`{c}`") for side, df in (("l", left), ("r", right)) for c in df.columns if c not in names]
     return joined.select(*own, *rest)
 
 
-def conflicting_pairs(df: DataFrame, keys: Keys, column: str, condition: Column | None = None) -> DataFrame:
-    """Pairs (l, r) of rows with equal keys that differ in column, and that meet the condition. The equality drives the
-    shuffle. Rows that agree in all columns count once; null keys and null values conflict with nothing."""
+#: Values of a band join are at most so many tolerances from zero: further out, doubles can't tell neighbouring bins.
+MOST_BINS = 1 << 32
+
+
+def conflicting_pairs(df: DataFrame, keys: Keys, column: str, condition: Column | None = None, within: tuple[str, float] | None = None) -> DataFrame:
+    """Pairs (l, r) of rows with equal keys that differ in column, and that meet the condition. Rows that agree in all
+    columns count once; null keys and null values conflict with nothing.
+
+    within: (column, tolerance), for pairs whose values of that column differ by less than the tolerance. Then values are
+    dealt into bins as wide as the tolerance and a row meets those of its own and the two neighbouring bins: a key that
+    many rows have is spread over its bins, and what is joined is about what is near. Without it the keys alone drive the
+    shuffle, and all pairs of a key are looked at.
+    """
     names = _keys(keys)
     rows = df.distinct()
-    on = [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in names] + [F.col(f"l.`{column}`") != F.col(f"r.`{column}`")]
-    return rows.alias("l").join(rows.alias("r"), [*on, *([condition] if condition is not None else [])])
+    differ = F.col(f"l.`{column}`") != F.col(f"r.`{column}`")
+    rest = [differ] if condition is None else [differ, condition]
+    if within is None:
+        return rows.alias("l").join(rows.alias("r"), [*[F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in names], *rest])
+    measure, tolerance = within
+    if not tolerance > 0:
+        raise ValueError("a tolerance is above zero")
+    value, bin_name = F.col(f"`{measure}`").cast("double"), fresh(df, "value_bin")
+    usable = reduce(Column.__and__, [F.col(f"`{k}`").isNotNull() for k in names], (F.abs(value) < float("inf")) & F.col(f"`{column}`").isNotNull())
+    # A little wider than the tolerance, so that rounding parts no near values by two bins.
+    place = value / F.lit(float(tolerance) * (1 + 2.0**-20))
+    far = F.raise_error(F.concat(F.lit(f"{measure} is too far from zero for that tolerance: "), value.cast("string"))).cast("long")
+    place = F.when(F.abs(place) < MOST_BINS, F.floor(place)).otherwise(far)
+    left = rows.where(usable).withColumn(bin_name, place)
+    right = left.withColumn(bin_name, F.explode(F.sequence(F.col(bin_name) - 1, F.col(bin_name) + 1)))
+    on = [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in [*names, bin_name]]
+    near = F.abs(F.col(f"l.`{measure}`") - F.col(f"r.`{measure}`")) < tolerance
+    joined = left.alias("l").join(right.alias("r"), [*on, near, *rest])
+    return joined.drop(F.col(f"l.`{bin_name}`"), F.col(f"r.`{bin_name}`"))
 
 
 def enrich_with_aggregate(df: DataFrame, keys: Keys, **aggregates: Column) -> DataFrame:

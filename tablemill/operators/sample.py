@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators.transform import known_by
+from tablemill.scratch import fresh, stored
 from tablemill.sources.tables import write_table
 
 
@@ -39,6 +42,66 @@ def follow_keys(root: DataFrame, tables: Mapping[str, tuple[DataFrame, str, str]
     return out
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    """Column child_key of table child refers to parent_key of table parent."""
+
+    child: str
+    child_key: str
+    parent: str
+    parent_key: str
+
+
+def closure(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey], seeds: Mapping[str, Column]) -> dict[str, DataFrame]:
+    """A sample of a whole set of tables in which no key dangles.
+
+    seeds: {table: which of its rows}. First down: rows that refer to a row of the sample join it, and those that refer
+    to them, and so on. Then up: rows that rows of the sample refer to join it. Rows that came in by going up don't bring
+    in others that refer to them, or a sampled order would bring its customer, and that all their orders. Both ways
+    go to a fixed point, so keys may form a graph of any shape, with cycles and tables that refer to themselves.
+
+    A row is in if its key is in one of the sets of keys that are wanted of its table; these are stored, so that each
+    round only asks for keys along references from tables that grew, and their number tells whether they did. They are
+    distinct, so joining on them can't multiply rows; where tables are large, Spark's runtime filters put a Bloom filter
+    of the keys on the scan before it shuffles. Null refers to nothing.
+    """
+    if unknown := ({t for k in keys for t in (k.child, k.parent)} | set(seeds)) - set(tables):
+        raise ValueError(f"no such tables: {sorted(unknown)}")
+    wanted: dict[tuple[str, str, str], tuple[DataFrame, int]] = {}  # (table, its column, way and reference) -> keys
+
+    def rows(table: str) -> DataFrame | None:
+        """Those of the table that are in so far."""
+        df = tables[table]
+        sets = [(column, keys) for (t, column, _), (keys, _) in wanted.items() if t == table]
+        marks = [fresh(df, f"wanted_{k}") for k in range(len(sets))]
+        said = [seeds[table]] if table in seeds else []
+        out = df
+        for (column, keys), mark in zip(sets, marks, strict=True):
+            side = keys.select(F.col("k").alias(mark))
+            out = out.join(side, F.col(f"`{column}`") == F.col(mark), "left")
+            said.append(F.col(mark).isNotNull())
+        return out.where(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in said])).select(*[F.col(f"`{c}`") for c in df.columns]) if said else None
+
+    def walk(down: bool, grown: set[str]) -> None:
+        while grown:
+            now: set[str] = set()
+            for n, k in enumerate(keys):
+                source, column, target, target_key = (k.parent, k.parent_key, k.child, k.child_key) if down else (k.child, k.child_key, k.parent, k.parent_key)
+                if source not in grown or (there := rows(source)) is None:
+                    continue
+                found = there.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("k")).distinct()
+                found = stored(found)
+                place, size = (target, target_key, f"{'down' if down else 'up'} {n}"), found.count()
+                if size != wanted.get(place, (None, 0))[1]:
+                    wanted[place] = found, size
+                    now.add(target)
+            grown = now
+
+    walk(True, set(seeds))
+    walk(False, {k.child for k in keys})
+    return {t: df.limit(0) if (there := rows(t)) is None else there for t, df in tables.items()}
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in a table of ids; Spark broadcasts the ids if statistics say they are few."""
     return df.join(ids, key, "left_semi")

@@ -3,19 +3,24 @@
 Rule names: <column>|dtype, |nullability, |min, |max, |enum, and _primary_key_. A row with a repeated or null key fails
 the key rule, and so do all rows of that key. A value that is lost by its cast fails dtype and the other rules don't see
 it; null passes bounds and enums.
+
+Where rows are stored anyway, row count, content hash and failures of rules are observed in the pass that writes them
+(write_audited), so a source is evaluated once, and the figures are those of the rows as they were written.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tablemill.operators.aggregates import content_hash, hash_measures
 from tablemill.operators.windows import mark_duplicates
-from tablemill.scratch import fresh, stored
+from tablemill.scratch import fresh, new_path, stored
 from tablemill.specs import CollectionRules, ColumnRule, TableRules, TableSpec
 
 KEY_RULE = "_primary_key_"
@@ -30,7 +35,7 @@ class ValidationError(ValueError):
         self.counts, self.samples = counts, samples
 
 
-def _column_failures(rule: ColumnRule) -> dict[str, Column]:
+def column_failures(rule: ColumnRule) -> dict[str, Column]:
     raw = F.col(f"`{rule.name}`")
     value = raw.try_cast(rule.type)
     failed = {f"{rule.name}|dtype": raw.isNotNull() & value.isNull()}
@@ -46,7 +51,7 @@ def _column_failures(rule: ColumnRule) -> dict[str, Column]:
 
 
 def rule_names(rules: TableRules) -> list[str]:
-    return [n for c in rules.columns for n in _column_failures(c)] + [KEY_RULE] * bool(rules.primary_key)
+    return [n for c in rules.columns for n in column_failures(c)] + [KEY_RULE] * bool(rules.primary_key)
 
 
 def check(df: DataFrame, rules: TableRules) -> tuple[DataFrame, str]:
@@ -54,7 +59,7 @@ def check(df: DataFrame, rules: TableRules) -> tuple[DataFrame, str]:
 
     One scan. Only a key rule shuffles, and only counts of keys.
     """
-    failed = {n: f for c in rules.columns for n, f in _column_failures(c).items()}
+    failed = {n: f for c in rules.columns for n, f in column_failures(c).items()}
     if rules.primary_key:
         dup = fresh(df, "key_repeated")
         df = mark_duplicates(df, rules.primary_key, dup)
@@ -85,21 +90,84 @@ def is_valid(df: DataFrame, rules: TableRules) -> bool:
     return checked.where(F.size(failed) > 0).limit(1).count() == 0
 
 
+@dataclass(frozen=True)
+class Audited:
+    """What was seen of the rows while they were written: failures are {rule: rows that fail it}, without zeros."""
+
+    row_count: int
+    content_hash: str
+    failures: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def key(self) -> str:
+        """As content_key() of the stored table."""
+        return f"{self.row_count}:{self.content_hash}"
+
+
+def write_audited(df: DataFrame, path: str, rules: TableRules | None = None, mark: str | None = None) -> Audited:
+    """Store df as parquet at path and say what was written.
+
+    One evaluation of df. Only a key rule needs all keys at once: it reads the key columns of what is stored. mark: the
+    name of an array column to store with each row, the column rules that it fails (the key rule isn't in it).
+    """
+    failed = {n: f for c in rules.columns for n, f in column_failures(c).items()} if rules else {}
+    measures = hash_measures([F.col(f"`{c}`") for c in df.columns])
+    counts = {f"rule_{k}": F.count(F.when(f, 1)) for k, f in enumerate(failed.values())}
+    seen = Observation()
+    rows = df.observe(seen, *[c.alias(n) for n, c in (measures | counts).items()])
+    if mark:
+        names = F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in failed.items()]).cast("array<string>"))
+        rows = rows.withColumn(mark, names)
+    rows.write.option("compression", "zstd").parquet(path)
+    said = seen.get
+    failures = {n: said[f"rule_{k}"] for k, n in enumerate(failed)}
+    if rules and rules.primary_key:
+        failures[KEY_RULE] = key_failures(df.sparkSession.read.schema(rows.schema).parquet(path), rules)
+    return Audited(said["row_count"], content_hash(said), {n: k for n, k in failures.items() if k})
+
+
+def key_failures(stored: DataFrame, rules: TableRules) -> int:
+    """Rows whose key is null or there more than once; only key columns are read, and only counts of keys shuffled."""
+    keys = [F.col(f"`{k}`") for k in rules.primary_key]
+    null = F.exists(F.array(*[k.isNull() for k in keys]), lambda x: x)
+    n = "n_rows" if "n_rows" not in rules.primary_key else "n_rows_of_key"
+    per = stored.groupBy(*keys).agg(F.count("*").alias(n))
+    return per.agg(F.coalesce(F.sum(F.when((F.col(n) > 1) | null, F.col(n))), F.lit(0)).alias("n")).first()["n"]
+
+
+def split_audited(df: DataFrame, path: str, rules: TableRules) -> tuple[DataFrame, DataFrame, Audited]:
+    """(good, bad, audited): df stored once at path, and read from there: good rows under the declared types, bad ones as
+    they are with their failed_rules."""
+    mark = fresh(df, "failed_rules")
+    said = write_audited(df, path, rules, mark)
+    rows = df.sparkSession.read.parquet(path)
+    if said.failures.get(KEY_RULE):
+        dup = fresh(rows, "key_repeated")
+        rows = mark_duplicates(rows, rules.primary_key, dup)
+        null = F.exists(F.array(*[F.col(f"`{k}`").isNull() for k in rules.primary_key]), lambda x: x)
+        rows = rows.withColumn(mark, F.when(F.col(dup) | null, F.array_append(mark, F.lit(KEY_RULE))).otherwise(F.col(mark))).drop(dup)
+    types = {c.name: c.type for c in rules.columns}
+    good = rows.where(F.size(mark) == 0).select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
+    return good, rows.where(F.size(mark) > 0), said
+
+
 def validate(df: DataFrame, rules: TableRules, mode: str = "raise") -> DataFrame:
     """df, cast to the declared types. mode: raise on failures, log them, or off.
 
-    The counts come from one aggregate; rows are sampled only if there are failures.
+    df is evaluated once: its rows are stored with the rules that each fails, and counted as they are written. Counts,
+    samples and the result come from what is stored.
     """
     if mode not in ("raise", "log", "off"):
         raise ValueError(mode)
-    if mode != "off":
-        counts = {r["rule"]: r["n"] for r in failure_counts(df, rules).collect()}  # at most one row per rule
-        if counts:
-            error = ValidationError(counts, filter_rows(df, rules)[1].limit(5).collect())
-            if mode == "raise":
-                raise error
-            log.warning("%s", error)
-    return filter_rows(df, rules)[0]
+    if mode == "off":
+        return filter_rows(df, rules)[0]
+    good, bad, said = split_audited(df, new_path(df.sparkSession), rules)
+    if said.failures:
+        error = ValidationError(said.failures, bad.limit(5).collect())
+        if mode == "raise":
+            raise error
+        log.warning("%s", error)
+    return good
 
 
 def check_nulls(df: DataFrame, spec: TableSpec) -> TableRules:

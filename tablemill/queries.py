@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions import scalars
-from tablemill.jobs import features, frames, incremental, model, publish, sqltext
+from tablemill.jobs import features, frames, incremental, keyed, model, publish, sqltext
 from tablemill.operators import aggregates, compare, joins, sample, transform, validate, views, windows
 from tablemill.scratch import new_path, stored
 from tablemill.sources import tables as store
@@ -59,6 +59,15 @@ def src_csv_dir(spark, d):
     return store.read_csv_dir(spark, root, {"nation": nation.schema})["nation"]
 
 
+@query("SELECT c_custkey, c_name || chr(10) || c_mktsegment || chr(13) || chr(10) || '\"quoted\", ' || chr(13) AS note FROM customer")
+def src_csv_lines(spark, d):
+    """Texts with line breaks, returns, quotes and commas, written and read back."""
+    root = new_path(spark)
+    notes = read(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit('\r\n"quoted", \r')).alias("note"))
+    store.write_csv(notes, f"{root}/notes.csv.gz")
+    return store.read_csv_dir(spark, root, {"notes": notes.schema})["notes"]
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
 def src_parquet_columns(spark, d):
     return store.read_table(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
@@ -72,6 +81,18 @@ def src_parquet_many(spark, d):
     return store.read_union(spark, [f"{root}/{s}" for s in ("F", "O", "P")]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def src_generations(spark, d):
+    """Three generations of a table: types became wider, and columns came in."""
+    root, orders = new_path(spark), read(spark, d, "orders")
+    price = F.col("o_totalprice").cast("double")
+    kinds = {"F": [F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("smallint")], "O": [F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int"), price], "P": [F.col("o_orderkey"), F.col("o_custkey").cast("decimal(12,2)"), price, F.col("o_orderpriority")]}
+    for status, columns in kinds.items():
+        orders.where(F.col("o_orderstatus") == status).select(*columns).write.parquet(f"{root}/{status}")
+    return store.read_union(spark, [f"{root}/{s}" for s in kinds]).withColumn("o_custkey", F.col("o_custkey").cast("double"))
+
+
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 1000")
 def src_external(spark, d):
     read(spark, d, "supplier").createOrReplaceTempView("external_supplier")
@@ -293,8 +314,8 @@ def join_theta_self(spark, d):
     nation = F.when(F.col("s_suppkey") % 11 != 0, F.col("s_nationkey")).alias("nation")
     once = read(spark, d, "supplier").select("s_suppkey", nation, "s_acctbal")
     more = once.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 5)
-    close = F.abs(F.col("l.s_acctbal") - F.col("r.s_acctbal")) < 100
-    pairs = joins.conflicting_pairs(views.union_all([once, more, once.where("s_suppkey % 5 = 0")]), "nation", "s_suppkey", close)
+    rows = views.union_all([once, more, once.where("s_suppkey % 5 = 0")])
+    pairs = joins.conflicting_pairs(rows, "nation", "s_suppkey", within=("s_acctbal", 100))
     gap = r2(F.col("l.s_acctbal") - F.col("r.s_acctbal")).alias("gap")
     return pairs.select(F.col("l.s_suppkey").alias("left_key"), F.col("r.s_suppkey").alias("right_key"), gap, F.col("l.nation").alias("nation"))
 
@@ -728,6 +749,38 @@ def smp_hash_lineitem(spark, d):
     return sample.follow_keys(orders, {"lineitem": (items, "l_orderkey", "o_orderkey")})["lineitem"]
 
 
+STAR_KEYS = [
+    sample.ForeignKey("nation", "n_regionkey", "region", "r_regionkey"), sample.ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"),
+    sample.ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"), sample.ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+    sample.ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"), sample.ForeignKey("lineitem", "l_partkey", "part", "p_partkey"),
+    sample.ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
+STAR_SQL = f"""o AS (SELECT * FROM orders WHERE {HASHED}), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+    c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), p AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM l)),
+    s AS (SELECT * FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM l)),
+    n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c UNION SELECT s_nationkey FROM s)), r AS (SELECT * FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n))"""
+
+
+def _star(spark, d) -> dict[str, DataFrame]:
+    tables = {t: read(spark, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    return sample.closure(tables, STAR_KEYS, {"orders": sample.hash_filter(F.col("o_orderkey"), SHARE)})
+
+
+@query(f"WITH {STAR_SQL} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {KEYED[t]} AS k, count(*) AS n FROM {t[0]} GROUP BY ALL" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")))
+def smp_closure(spark, d):
+    """Sampled orders, their items, and all rows that these refer to."""
+    return views.union_all([df.groupBy(F.lit(t).alias("table_name"), F.col(KEYED[t]).cast("long").alias("k")).agg(F.count("*").alias("n")) for t, df in _star(spark, d).items()])
+
+
+@query(" UNION ALL ".join(f"SELECT '{k.child}.{k.child_key}' AS foreign_key, 0 AS dangling" for k in STAR_KEYS))
+def smp_dangling(spark, d):
+    """Keys in the sample that refer to no row of it."""
+    few = {t: stored(df) for t, df in _star(spark, d).items()}
+    none = [joins.missing_keys(few[k.child].select(F.col(k.child_key).alias("k")), few[k.parent].select(F.col(k.parent_key).alias("k")), "k", f"{k.child}.{k.child_key}") for k in STAR_KEYS]
+    names = {f"{k.child}.{k.child_key}": df.where("k is not null") for k, df in zip(STAR_KEYS, none, strict=True)}
+    return views.union_all([df.agg(F.lit(n).alias("foreign_key"), F.count("*").alias("dangling")) for n, df in names.items()])
+
+
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)")
 def smp_ids(spark, d):
     ids = read(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
@@ -751,7 +804,29 @@ def smp_copy(spark, d):
     return sample.copy_set({"orders": few}, new_path(spark))["orders"]
 
 
-# Incremental rebuild and publication
+# Tables by key
+
+CHANGED_STATUS = "CASE WHEN o_orderkey % 997 = 3 THEN 'X' ELSE o_orderstatus END"
+
+
+def _orders_by_key(spark, d, buckets: int = 64) -> keyed.KeyedTable:
+    table = keyed.KeyedTable(spark, new_path(spark), ["o_orderkey"], buckets)
+    table.write(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return table
+
+
+def _two_versions(spark, d) -> keyed.KeyedTable:
+    """Orders, and orders of which some changed, some went and some are new, written anew as a whole."""
+    table = _orders_by_key(spark, d)
+    orders = table.read()
+    changed = orders.where("o_orderkey % 1009 <> 5").withColumn("o_orderstatus", F.expr(CHANGED_STATUS))
+    new = orders.where("o_orderkey % 991 = 7").withColumn("o_orderkey", -F.col("o_orderkey"))
+    table.write(views.union_all([changed, new]))
+    return table
+
+
+def bucket_sql(key: str, buckets: int = 64) -> str:
+    return f"CAST(('0x' || substr(md5({hash_text(key)}), 1, 8))::BIGINT % {buckets} AS INTEGER)"
 
 
 def hash_text(*columns: str) -> str:
@@ -759,6 +834,34 @@ def hash_text(*columns: str) -> str:
     return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in columns)
 
 
+@query(f"""WITH n AS (SELECT o_orderkey, {CHANGED_STATUS} AS s FROM orders WHERE o_orderkey % 1009 <> 5 UNION ALL SELECT -o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 991 = 7),
+    b AS (SELECT coalesce(n.o_orderkey, o.o_orderkey) AS k, n.s AS s, o.o_orderstatus AS t, n.o_orderkey AS a, o.o_orderkey AS c FROM n FULL JOIN orders o ON n.o_orderkey = o.o_orderkey)
+    SELECT {bucket_sql("k")} AS bucket, count(a) AS rows_new, count(c) AS rows_old FROM b GROUP BY ALL HAVING bool_or(s IS DISTINCT FROM t)""")
+def key_buckets(spark, d):
+    """Buckets that differ, from the hashes beside the two versions: no row is read."""
+    return _two_versions(spark, d).changed_buckets(2, 1)
+
+
+@query("""SELECT o_orderkey, 'removed' AS change, '' AS columns FROM orders WHERE o_orderkey % 1009 = 5 UNION ALL SELECT -o_orderkey, 'added', '' FROM orders WHERE o_orderkey % 991 = 7
+    UNION ALL SELECT o_orderkey, 'changed', 'o_orderstatus' FROM orders WHERE o_orderkey % 997 = 3 AND o_orderkey % 1009 <> 5""")
+def key_diff(spark, d):
+    return _two_versions(spark, d).diff(2, 1)
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 'B' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 70 <> 0 OR o_orderkey % 50 = 0
+    UNION ALL SELECT -o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderkey % 90 = 0 AND o_orderkey > 0""")
+def key_merge(spark, d):
+    """After two merges: some rows are changed, some new, some gone, and some of those back."""
+    table, orders = _orders_by_key(spark, d), read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    fresh_rows = orders.where("o_orderkey % 90 = 0 AND o_orderkey > 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"))
+    table.merge(views.union_all([orders.where("o_orderkey % 50 = 0").withColumn("o_orderstatus", F.lit("A")), fresh_rows]), orders.where("o_orderkey % 70 = 0").select("o_orderkey"))
+    table.merge(orders.where("o_orderkey % 50 = 0").withColumn("o_orderstatus", F.lit("B")), orders.where("o_orderkey % 350 = 0").select("o_orderkey"))
+    return table.read()
+
+
+# Incremental rebuild and publication
+
+
 def hash_sum(*columns: str) -> str:
     return f"sum(('0x' || substr(md5({hash_text(*columns)}), 1, 15))::BIGINT::HUGEINT)"
 
@@ -839,6 +942,31 @@ def pub_rejected(spark, d):
     return views.union_all([df.agg(F.lit(n).alias("version"), F.count("*").alias("n")) for n, df in (("published", group.read()["orders"]), ("candidate", group.candidate()["orders"]))])
 
 
+@query("""SELECT v AS version, count(*) AS n FROM (SELECT unnest(['held', 'published']) AS v), orders WHERE v = 'held' OR o_orderstatus <> 'P' GROUP BY v UNION ALL
+    SELECT 'refused', count(*) FROM orders WHERE o_orderstatus = 'F'""")
+def pub_mended(spark, d):
+    """A rejected candidate is mended and published while a reader holds the version before, and another publisher is late."""
+    group, _, second = _groups(spark, d)
+    late = publish.Group(spark, group.root)
+    rows = []
+
+    def audit(new, old):
+        if new["orders"].where("o_orderstatus = 'Q'").count():
+            raise ValueError("a status of its own")
+
+    with group.hold() as held:
+        try:
+            group.publish({**second, "orders": views.union_all([second["orders"], second["orders"].withColumn("o_orderstatus", F.lit("Q"))])}, audit)
+        except publish.Rejected:
+            mended = {n: df.where("o_orderstatus <> 'Q'") if n == "orders" else df for n, df in group.candidate().items()}
+            try:
+                late.publish({"orders": second["orders"].where("o_orderstatus = 'F'")}, lambda new, old: group.publish(mended, audit))
+            except publish.Conflict:
+                rows.append(("refused", late.candidate()["orders"].where("o_orderstatus = 'F'").count()))
+        rows += [("held", held["orders"].count()), ("published", group.read()["orders"].count())]
+    return spark.createDataFrame(rows, "version string, n long")
+
+
 @query("SELECT 'unchanged' AS run, false AS flipped, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'partly changed', true, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P')")
 def pub_partial(spark, d):
     group, first, second = _groups(spark, d)
@@ -882,6 +1010,38 @@ def sql_script(spark, d):
     return sqltext.run_script(spark, script, source="raw_intervals")["entity_checks"]
 
 
+@query("""SELECT 'checks' AS name, 'made view' AS fate, count(*) AS n FROM customer WHERE c_acctbal < 0 UNION ALL
+    SELECT 'balances', 'made table', count(*) FROM customer UNION ALL SELECT 'big_orders', 'made table', count(*) + 1 FROM orders WHERE o_totalprice > 100000
+    UNION ALL SELECT 'segments', 'replaced table', count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'history', 'changed table', 2 * count(*) FROM region
+    UNION ALL SELECT 'obsolete', 'dropped table', 0""")
+def sql_script_tables(spark, d):
+    """Tables, views and functions that a script makes, replaces, changes and drops in a database of its own."""
+    db = f"script_{uuid.uuid4().hex[:12]}"
+    for name in ("customer", "orders", "region"):
+        read(spark, d, name).createOrReplaceTempView(f"{db}_{name}")
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{new_path(spark)}'")
+    for name in ("segments", "history", "obsolete"):
+        spark.sql(f"CREATE TABLE {db}.{name} USING parquet AS SELECT r_name AS value FROM {db}_region")
+    script = """
+        /* Tables are handed on; -- names may be quoted. */
+        CREATE OR REPLACE TEMPORARY FUNCTION {{db}}_twice(x DOUBLE) RETURNS DOUBLE RETURN 2 * x;
+        USE {{db}};
+        CREATE TABLE balances USING parquet AS SELECT c_custkey, {{db}}_twice(c_acctbal) AS twice FROM {{db}}_customer;
+        CREATE TABLE {{db}}.`big_orders` USING parquet AS SELECT o_orderkey FROM {{db}}_orders WHERE o_totalprice > 100000;
+        INSERT INTO {{db}}.`big_orders` VALUES (-1);  -- a mark; not an order
+        CREATE TABLE passing USING parquet AS SELECT 1 AS x; DROP TABLE passing;
+        DROP TABLE IF EXISTS segments;
+        CREATE TABLE segments USING parquet AS SELECT DISTINCT c_mktsegment AS value FROM {{db}}_customer;
+        WITH again AS (SELECT r_name FROM {{db}}_region) INSERT INTO history SELECT r_name FROM again;
+        CREATE VIEW checks AS SELECT c_custkey FROM balances WHERE twice < 0;
+        DROP TABLE obsolete;
+    """
+    ran = sqltext.execute_script(spark, script, db=db)
+    fates = {n: f"{fate} {kind}" for fate in ("made", "replaced", "changed", "dropped") for n, kind in getattr(ran, fate).items() if kind != "function"}
+    none = spark.range(0)
+    return views.union_all([ran.tables.get(n, none).agg(F.lit(n.removeprefix(f"{db}.")).alias("name"), F.lit(fate).alias("fate"), F.count("*").alias("n")) for n, fate in fates.items()])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS total FROM lineitem")
 def udf_sql_scalar(spark, d):
     sqltext.scalar_function(spark, "tablemill_add", "x BIGINT, y BIGINT", "BIGINT", "x + y")

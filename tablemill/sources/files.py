@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -45,15 +48,38 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside path and rename it onto path, so readers see the old text or the new one."""
-    fs, where = _path(spark, path)
-    _, draft = _path(spark, f"{path}.tmp")
-    out = fs.create(draft, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+def _rename(spark: SparkSession, where, draft, over: bool) -> None:
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
     option = spark._jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(option, 1)
-    options[0] = option.OVERWRITE
+    options[0] = option.OVERWRITE if over else option.NONE
     context.rename(draft, where, options)
+
+
+def _draft(spark: SparkSession, path: str, text: str):
+    fs, where = _path(spark, path)
+    _, draft = _path(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return fs, where, draft
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside path and rename it onto path, so readers see the old text or the new one."""
+    _, where, draft = _draft(spark, path, text)
+    _rename(spark, where, draft, True)
+
+
+def claim_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that isn't there yet; False if it is. Of several writers that try at once, one succeeds, where
+    the file system refuses to rename onto a file."""
+    fs, where, draft = _draft(spark, path, text)
+    try:
+        _rename(spark, where, draft, False)
+    except Py4JJavaError as error:
+        fs.delete(draft, False)
+        if fs.exists(where):
+            return False
+        raise error
+    return True

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,18 +18,20 @@ NULL = "~\x01~"
 JDBC_BATCH = 100_000
 
 
-def read_csv_dir(spark: SparkSession, path: str, schemas: Mapping[str, str | T.StructType] | None = None, suffix: str = ".csv.gz") -> dict[str, DataFrame]:
+def read_csv_dir(spark: SparkSession, path: str, schemas: Mapping[str, str | T.StructType] | None = None, suffix: str = ".csv.gz", multi_line: bool = True) -> dict[str, DataFrame]:
     """One table for each file (or folder of files) with the suffix, named after it. Without a schema, types are inferred.
 
     A gzipped file can't be split, so where there are fewer files than tasks, rows are dealt anew before further work.
-    Null is an unquoted empty field, empty text a quoted one, and a backslash with N a text like any other.
+    Null is an unquoted empty field, empty text a quoted one, and a backslash with N a text like any other. Quoted texts
+    may hold line breaks: then a file is one task, as a gzipped one is anyway. multi_line=False lets Spark split large
+    files that aren't compressed, if no text in them has a line break.
     """
     out = {}
     for name in files.names(spark, path):
         if not name.endswith(suffix):
             continue
         table = table_name(name[: -len(suffix)])
-        reader = spark.read.option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"')
+        reader = spark.read.option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"').option("multiLine", multi_line)
         schema = (schemas or {}).get(table)
         reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
         df, tasks = reader.csv(f"{path}/{name}"), spark.sparkContext.defaultParallelism
@@ -52,8 +55,88 @@ def read_table(spark: SparkSession, root: str, name: str, columns: Sequence[str]
 
 
 def read_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several parquet tables of one schema as one scan."""
-    return spark.read.parquet(*paths)
+    """Several parquet tables as one: a single scan if they have one schema, else one for each schema.
+
+    Where schemas differ, as those of several generations of a table do, columns get the narrowest type that holds all
+    values of both (see wider()), and a column that a table lacks is null there. Types that can't be united without loss
+    raise. Names that differ in case alone are one column.
+    """
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    if len(groups) == 1:
+        return spark.read.parquet(*paths)
+    whole = reduce(wider, (schema for schema, _ in groups.values()))
+    parts = []
+    for schema, own in groups.values():
+        there = {f.name.lower(): f for f in schema}
+        cells = [_widened(F.col(f"`{there[n].name}`"), there[n].dataType, f.dataType).alias(f.name) if (n := f.name.lower()) in there else F.lit(None).cast(f.dataType).alias(f.name) for f in whole]
+        parts.append(spark.read.parquet(*own).select(*cells))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _widened(c: Column, now: T.DataType, then: T.DataType) -> Column:
+    """A value of one type as that of a wider one. Casts don't add fields to structs, so these are made anew."""
+    if now == then:
+        return c
+    if isinstance(then, T.StructType) and isinstance(now, T.StructType):
+        there = {f.name.lower(): f for f in now}
+        fields = [_widened(c[there[n].name], there[n].dataType, f.dataType).alias(f.name) if (n := f.name.lower()) in there else F.lit(None).cast(f.dataType).alias(f.name) for f in then]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(then, T.ArrayType) and isinstance(now, T.ArrayType):
+        return F.transform(c, lambda x: _widened(x, now.elementType, then.elementType))
+    if isinstance(then, T.MapType) and isinstance(now, T.MapType):
+        return F.map_from_arrays(F.transform(F.map_keys(c), lambda x: _widened(x, now.keyType, then.keyType)), F.transform(F.map_values(c), lambda x: _widened(x, now.valueType, then.valueType)))
+    return c.cast(then)
+
+
+_WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+_DIGITS = dict(zip(_WHOLE, (3, 5, 10, 19), strict=True))
+
+
+def wider(a: T.DataType, b: T.DataType, where: str = "") -> T.DataType:
+    """The narrowest type that holds every value of both, or an error.
+
+    byte < short < int < long < decimals that have the digits; float < double, and whole numbers up to 2^24 and 2^53 as
+    these hold them; date < timestamp without zone. Fields of structs, elements of arrays, and keys and values of maps
+    are united likewise.
+    """
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        mine, theirs = ({f.name.lower(): f for f in t} for t in (a, b))
+        if len(mine) < len(a) or len(theirs) < len(b):
+            raise TypeError(f"{where or 'columns'}: names that differ in case alone")
+        fields = []
+        for name in dict.fromkeys([*mine, *theirs]):
+            x, y = mine.get(name), theirs.get(name)
+            kind = wider(x.dataType, y.dataType, f"{where}.{name}".lstrip(".")) if x and y else (x or y).dataType
+            fields.append(T.StructField((x or y).name, kind, not (x and y) or x.nullable or y.nullable))
+        return T.StructType(fields)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider(a.elementType, b.elementType, f"{where}[]"), a.containsNull or b.containsNull)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(wider(a.keyType, b.keyType, f"{where} keys"), wider(a.valueType, b.valueType, f"{where} values"), a.valueContainsNull or b.valueContainsNull)
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    digits = [(_DIGITS[t], 0) if t in _WHOLE else (t.precision, t.scale) if isinstance(t, T.DecimalType) else None for t in (a, b)]
+    if all(digits):
+        scale = max(s for _, s in digits)
+        if (precision := max(p - s for p, s in digits) + scale) <= 38:
+            return T.DecimalType(precision, scale)
+    for small, large in ((a, b), (b, a)):
+        if isinstance(large, T.DoubleType) and isinstance(small, T.FloatType | T.ByteType | T.ShortType | T.IntegerType):
+            return large
+        if isinstance(large, T.FloatType) and isinstance(small, T.ByteType | T.ShortType):
+            return large
+        if isinstance(large, T.FloatType) and isinstance(small, T.IntegerType):
+            return T.DoubleType()
+        if isinstance(large, T.TimestampNTZType) and isinstance(small, T.DateType):
+            return large
+    raise TypeError(f"{where or 'types'}: {a.simpleString()} and {b.simpleString()} can't be one without loss")
 
 
 def external_table(spark: SparkSession, ref: str) -> DataFrame:

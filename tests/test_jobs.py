@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from tablemill import scratch
 from tablemill.jobs import incremental
 from tablemill.jobs.incremental import Mode, Rebuilder, canonical, file_hashes
-from tablemill.jobs.publish import Group, Rejected, group_hash
+from tablemill.jobs.publish import Conflict, Group, Rejected, group_hash
+from tablemill.operators.validate import ValidationError, failure_counts, filter_rows, split_audited, validate
 from tablemill.sources import files
+from tablemill.specs import ColumnRule, TableRules
 from tablemill.streaming.ingest import append_new_files
 
 
@@ -133,3 +135,118 @@ def test_new_files_once(spark, tmp_path):
     spark.range(2).coalesce(1).write.mode("append").parquet(source)
     append_new_files(spark, source, spark.range(1).schema, target, checkpoint)
     assert spark.read.parquet(target).count() == 5
+
+
+# What must not be lost
+
+
+def test_a_forced_build_that_fails_leaves_the_old_table(spark, tmp_path):
+    """The note still names a whole table, and the next build of the same inputs uses it."""
+    root = str(tmp_path)
+    assert build(spark, root, spark.range(2)) == ([0, 2], ["t"])
+    fails = F.raise_error(F.lit("no luck")).cast("long")
+    for mode in (Mode.FORCE_ALL, Mode.FORCE_FRESH_INPUT):
+        with pytest.raises(Exception, match="no luck"):
+            Rebuilder(spark, root, mode).build("t", lambda x: x.select(F.when(F.col("id") > 0, fails).otherwise(F.col("id")).alias("id")), {"x": spark.range(2)})
+        assert build(spark, root, spark.range(2)) == ([0, 2], [])
+    assert len(list(tmp_path.glob("t-*.parquet"))) == 1
+
+
+def test_a_table_read_by_its_own_rebuild(spark, tmp_path):
+    """A build may read the table that it replaces, and readers of the old one are not cut off by the new one."""
+    root = str(tmp_path)
+    build(spark, root, spark.range(2))
+    r = Rebuilder(spark, root, Mode.FORCE_ALL)
+    old = Rebuilder(spark, root).build("t", lambda x: x.select((F.col("id") * 2).alias("id")), {"x": spark.range(2)})
+    new = r.build("t", lambda x: x.union(x), {"x": old})
+    assert new.count() == 4 and old.count() == 2
+    build(spark, root, spark.range(7))
+    assert len(list(tmp_path.glob("t-*.parquet"))) == 2
+
+
+def refuse(new, old):
+    raise ValueError("no")
+
+
+def test_a_rejected_candidate_is_mended_and_published(spark, tmp_path):
+    group = Group(spark, str(tmp_path))
+    group.publish({"t": spark.range(3), "u": spark.range(2)})
+    with pytest.raises(Rejected):
+        group.publish({"t": spark.range(10), "u": spark.range(2)}, refuse)
+    mended = {n: df.where("id < 5") for n, df in group.candidate().items()}
+    with pytest.raises(Rejected):  # a second try may fail as well
+        group.publish(mended, refuse)
+    assert group.publish({n: df.where("id < 4") for n, df in group.candidate().items()})
+    assert group.read()["t"].count() == 4 and group.pointer()["version"] == 2
+
+
+def test_of_two_publishers_one_is_refused(spark, tmp_path):
+    """The second one ends while the first is at its audit: the first finds its version taken."""
+    group, other = Group(spark, str(tmp_path)), Group(spark, str(tmp_path))
+    group.publish({"t": spark.range(1)})
+
+    def meanwhile(new, old):
+        assert other.publish({"t": spark.range(5)})
+        assert new["t"].count() == 9 and old["t"].count() == 1  # files of either are still there
+
+    with pytest.raises(Conflict):
+        group.publish({"t": spark.range(9)}, meanwhile)
+    assert group.read()["t"].count() == 5 and group.pointer()["version"] == 2
+    assert group.publish({"t": spark.range(9)}) and group.pointer()["version"] == 3
+
+
+def test_readers_across_publications(spark, tmp_path):
+    group = Group(spark, str(tmp_path))
+    group.publish({"t": spark.range(1), "u": spark.range(3)})
+    with group.hold() as tables:
+        for n in (2, 3, 4, 5):
+            group.publish({"t": spark.range(n), "u": spark.range(3)})
+        assert tables["t"].count() == 1 and group.versions() == [1, 4, 5]
+        assert group.read(4)["t"].count() == 4
+    group.publish({"t": spark.range(6), "u": spark.range(3)})
+    assert group.versions() == [5, 6] and {n: t.count() for n, t in group.read().items()} == {"t": 6, "u": 3}
+    with pytest.raises(LookupError):
+        group.read(1)
+    assert len(list(tmp_path.glob("0*/t.parquet"))) == 2 and len(list(tmp_path.glob("0*/u.parquet"))) == 1
+
+
+def evaluations(spark, df):
+    """df, and a counter of how many of its rows have been computed since."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_a_source_is_evaluated_once(spark, tmp_path):
+    """For the write, the hash, counts of failures, samples and the result."""
+    group = Group(spark, str(tmp_path))
+    rows, seen = evaluations(spark, spark.range(1000))
+    group.publish({"t": rows})
+    assert seen.value == 1000 and group.pointer()["tables"]["t"] == incremental.content_key(spark.range(1000))
+    again, seen = evaluations(spark, spark.range(1000))
+    assert not group.publish({"t": again}) and seen.value == 1000
+    rules = TableRules((ColumnRule("id", "int", min=10, max=900), ColumnRule("k", "int", nullable=False)), ("k",))
+    bad, seen = evaluations(spark, spark.range(1000).withColumn("k", F.when(F.col("id") != 5, F.col("id") % 990)))
+    with pytest.raises(ValidationError) as error:
+        validate(bad, rules)
+    assert seen.value == 1000 and error.value.counts == {"id|min": 10, "id|max": 99, "k|nullability": 1, "_primary_key_": 19}
+    assert len(error.value.samples) == 5
+    plain = bad.collect()
+    assert len(plain) == 1000
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_audited_rows_are_those_of_filter_rows(spark, tmp_path, keyed):
+    rows = spark.createDataFrame([("1", 1), ("x", 2), (None, 2), ("50", None), ("7", 3), ("7", 4), ("2", 4)], "a string, failed_rules int")
+    rules = TableRules((ColumnRule("a", "int", nullable=False, max=40),), ("failed_rules",) if keyed else ())
+    good, bad, said = split_audited(rows, f"{tmp_path}/t", rules)
+    g, b = filter_rows(rows, rules)
+    key = lambda r: str(tuple(r))
+    assert sorted(good.collect(), key=key) == sorted(g.collect(), key=key) and good.dtypes == g.dtypes
+    assert sorted(bad.collect(), key=key) == sorted(b.collect(), key=key)
+    assert said.failures == {r["rule"]: r["n"] for r in failure_counts(rows, rules).collect()} and said.row_count == 7

@@ -1,0 +1,98 @@
+"""Band joins under a hot key, full joins of awkward names, and samples in which no key dangles."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablemill.operators import joins, sample
+from tablemill.operators.sample import ForeignKey
+
+
+def pairs(df):
+    return sorted(((tuple(r["l"]), tuple(r["r"])) for r in df.select(F.struct("l.*").alias("l"), F.struct("r.*").alias("r")).collect()), key=str)
+
+
+def brute(rows, near):
+    rows = set(rows)
+    return sorted(((a, b) for a in rows for b in rows if None not in (a[0], a[1], b[1]) and a[0] == b[0] and a[1] != b[1] and near(a, b)), key=str)
+
+
+@pytest.mark.parametrize("tolerance", [0.1, 1, 7.5])
+def test_band_join_by_brute_force(spark, tolerance):
+    rnd = random.Random(1)
+    value = lambda: rnd.choice([None, float("nan"), float("inf"), -float("inf"), rnd.uniform(-5, 5), float(rnd.randrange(-3, 4) * tolerance), 0.0])
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(9)]), value()) for _ in range(150)]
+    rows = [r for r in rows if r[2] == r[2]] + [("a", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "key string, id int, value_bin double")
+    near = lambda a, b: None not in (a[2], b[2]) and abs(a[2] - b[2]) < tolerance
+    found = pairs(joins.conflicting_pairs(df, "key", "id", within=("value_bin", tolerance)))
+    assert found == brute([r for r in rows if r[2] == r[2]], near) and found
+    both = pairs(joins.conflicting_pairs(df, "key", "id", F.col("l.id") < F.col("r.id"), ("value_bin", tolerance)))
+    assert both == [p for p in found if p[0][1] < p[1][1]]
+
+
+def test_a_hot_key_is_spread_over_its_bins(spark):
+    """One key holds a third of 30,000 rows: with the key alone 10^8 pairs would be looked at."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), "id", (F.col("id") * 0.5).alias("v"))
+    found = joins.conflicting_pairs(rows, "key", "id", within=("v", 4))
+    assert found.count() == 2 * (9_999 + 9_998)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "value_bin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    bins = rows.groupBy("key", F.floor(F.col("v") / 4)).count().agg(F.max("count")).first()[0]
+    assert bins <= 3
+
+
+def test_values_beyond_the_bins_raise(spark):
+    rows = spark.createDataFrame([("a", 1, 1e300), ("a", 2, 1.0)], "key string, id int, v double")
+    with pytest.raises(Exception, match="too far from zero"):
+        joins.conflicting_pairs(rows, "key", "id", within=("v", 1.0)).count()
+    with pytest.raises(ValueError):
+        joins.conflicting_pairs(rows, "key", "id", within=("v", 0))
+
+
+def test_full_join_of_names_with_dots(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "`k.1` int, `v.1` string"), spark.createDataFrame([(2, "z"), (3, "w")], "`k.1` int, `u.1` string")
+    assert sorted(map(tuple, joins.full_join(a, b, "k.1").collect())) == [(1, "x", None), (2, "y", "z"), (3, None, "w")]
+    with pytest.raises(ValueError, match="v.1"):
+        joins.full_join(a, a, "k.1")
+
+
+# Samples
+
+
+def test_closure_by_brute_force(spark):
+    """Random graphs of references, with cycles and tables that refer to themselves, against sets."""
+    rnd = random.Random(2)
+    for _ in range(4):
+        names = "abcd"
+        refs = [(rnd.choice(names), f"f{n}", rnd.choice(names)) for n in range(4)]
+        rows = {t: [{"k": k} | {f: rnd.choice([None, *range(8)]) for c, f, _ in refs if c == t} for k in range(8)] for t in names}
+        tables = {t: spark.createDataFrame([tuple(r.values()) for r in rs], ", ".join(f"{c} long" for c in rs[0])) for t, rs in rows.items()}
+        seeds = {"a": F.col("k") < 2, "b": F.col("k") == 5}
+        kept = {t: set() for t in names} | {"a": {0, 1}, "b": {5}}
+        while True:
+            more = {(c, r["k"]) for c, f, p in refs for r in rows[c] if r[f] in kept[p] and r["k"] not in kept[c]}
+            if not more:
+                break
+            for t, k in more:
+                kept[t].add(k)
+        while True:
+            more = {(p, r[f]) for c, f, p in refs for r in rows[c] if r["k"] in kept[c] and r[f] is not None and r[f] not in kept[p]}
+            if not more:
+                break
+            for t, k in more:
+                kept[t].add(k)
+        out = sample.closure(tables, [ForeignKey(c, f, p, "k") for c, f, p in refs], seeds)
+        assert {t: sorted(r["k"] for r in df.collect()) for t, df in out.items()} == {t: sorted(k) for t, k in kept.items()}
+
+
+def test_closure_of_repeated_and_null_rows(spark):
+    """Repeated rows stay as often as they are there; null refers to nothing and nothing refers to null."""
+    orders = spark.createDataFrame([(1, 7), (1, 7), (2, None), (None, 8)], "o long, c long")
+    customers = spark.createDataFrame([(7,), (7,), (8,), (None,)], "c long")
+    out = sample.closure({"orders": orders, "customers": customers, "other": customers}, [ForeignKey("orders", "c", "customers", "c")], {"orders": F.col("o") > 0})
+    assert sorted(map(tuple, out["orders"].collect()), key=str) == [(1, 7), (1, 7), (2, None)]
+    assert [r["c"] for r in out["customers"].collect()] == [7, 7] and out["other"].count() == 0
+    with pytest.raises(ValueError):
+        sample.closure({"orders": orders}, [ForeignKey("orders", "c", "customers", "c")], {})
