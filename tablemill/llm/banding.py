@@ -35,6 +35,14 @@ def rows_of(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def padded(lists: pa.Array) -> np.ndarray:
+    """Lists of whole numbers as rows, shorter ones filled with the largest number there is."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    rows = np.full((len(lists), int(sizes.max(initial=0))), np.iinfo(np.int64).max)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return rows
+
+
 def least_common(keys: np.ndarray, h: int) -> Callable[[int, np.ndarray], np.ndarray]:
     """For the members of bucket h, whose keys are rows: those of js that share no lesser key with i."""
     values, at = np.unique(keys, return_inverse=True)

@@ -38,8 +38,10 @@ TEMPER = 0.25
 #: Pseudo-count of a step from state to state that no labelled page has (such as from boilerplate to content).
 UNSEEN = 1e-6
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(?=[/a-zA-Z])[^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A tag as browsers read it: quotes count only where a value begins, in an unquoted one they are characters like any
+#: other. No part can be read in two ways, and one that begins before some ">" always ends, so reading takes linear time.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+)>""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))""")
 #: Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without markup inside: skipped up to their end, or to the end of the page, as browsers do.
@@ -64,6 +66,24 @@ FOR = set("article content main story entry post body text blog maincontent arti
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+")
 
 
+def next_tag(source: str, at: int, last: int) -> tuple[int, int, bool, str, str] | None:
+    """(start, end, closing, name, attributes) of the first tag from a place on; comments and the like have no name.
+
+    last: where the last ">" of the page is. Behind it there are no tags, only a comment that is never closed.
+    """
+    while (at := source.find("<" if at <= last else "<!--", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            return at, end + 3 if end >= 0 else len(source), False, "", ""
+        if at < last:
+            if m := TAG.match(source, at):
+                return at, m.end(), bool(m[1]), m[2], m[3]
+            if source[at + 1] in "!?/":
+                return at, source.index(">", at) + 1, False, "", ""
+        at += 1
+    return None
+
+
 class Page:
     """Elements (tag, parent, features) and text pieces (block, element, text) of one page."""
 
@@ -77,18 +97,18 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at, ends = 0, {}
-        for m in iter(lambda: TOKEN.search(source, at), None):
-            self._text(source[at : m.start()])
-            at = m.end()
-            name = m[2]
+        at, ends, last = 0, {}, source.rfind(">")
+        while tag := next_tag(source, at, last):
+            start, end, closing, name, attributes = tag
+            self._text(source[at:start])
+            at = end
             if not name:
                 continue
             name = name.lower()
-            if m[1]:
+            if closing:
                 self._end(name)
                 continue
-            alone = m[3].rstrip().endswith("/")
+            alone = attributes.rstrip().endswith("/")
             if (name in RAW or name in HIDDEN or name in EMBEDDED) and not alone and ends.get(name, -1) < at:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A).search(source, at)
                 ends[name] = end.start() if end else len(source)
@@ -97,7 +117,7 @@ class Page:
             elif name in HIDDEN and not alone:
                 at = ends[name] if ends[name] < len(source) else at
             elif name not in EMBEDDED or not alone and ends[name] < len(source):
-                self._start(name, m[3])
+                self._start(name, attributes)
         self._text(source[at:])
 
     def _start(self, name: str, attributes: str) -> None:

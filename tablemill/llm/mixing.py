@@ -6,7 +6,8 @@ budget ends, only that bucket is summed again by its next bits, and the last few
 budget above the source's size takes every document once and a second time up to the rest.
 
 Edge cases: a null text has size 0 and is taken with its hash (0 words); null is a source of its own, last in order;
-rows with equal id and text share a hash and are taken together; an empty table gives an empty result.
+rows with equal id and text share a hash and are
+interchangeable, at the boundary as many of them are taken as bring the source nearest to its target; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,18 +95,47 @@ def mix(docs: DataFrame) -> tuple[DataFrame, str]:
             )
         )
     inside = slim.join(broadcast_if_small(plan.select("source", "low", "high", "left")), "source").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("high")))
-    last = inside.groupBy("source", "left", F.col("h").alias("b")).agg(F.sum("size").alias("s"))
-    hits = last.withColumn("upto", F.sum("s").over(Window.partitionBy("source", "left").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    # The document at the boundary is taken if that brings the sum nearer to the budget.
-    hits = hits.where(F.col("upto") - F.col("s") / 2 <= F.col("left")).groupBy("source").agg((F.max("b") + 1).alias("end"))
-    plan = stored(plan.join(hits, "source", "left").select("source", "source_size", "target", "rounds", F.coalesce("end", "low").alias("threshold")))
-
-    names = {k: fresh(docs, k) for k in ("mix_key", "mix")}
-    side = plan.select(F.col("source").alias(names["mix_key"]), F.struct("source_size", "target", "rounds", "threshold").alias(names["mix"]))
-    out = docs.withColumn(names["mix_key"], src).join(broadcast_if_small(side), names["mix_key"], "left").drop(names["mix_key"])
-    m, size = F.col(names["mix"]), words(F.col("text"))
-    copies = F.least(m["rounds"] + (place(F.col("doc_id"), F.col("text")) < m["threshold"]).cast("long"), F.lit(CAP).cast("long"))
-    return out.withColumn(names["mix"], F.struct(size.alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), copies.alias("copies"), (copies * size).alias("taken"))), names["mix"]
+    last = inside.groupBy("source", "left", F.col("h").alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("c"))
+    run = F.sum("s").over(Window.partitionBy("source", "left").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    ends = last.withColumn("upto", run).where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("s")).alias("before"), "s", "c")).alias("at"))
+    plan = plan.join(ends, "source", "left")
+    # Rows at the boundary have one hash: as many of them are taken as bring the sum nearest to the budget.
+    some = F.floor((F.col("left") - F.col("at.before")) * F.col("at.c") / F.col("at.s") + 0.5)
+    some = F.greatest(F.lit(0), F.least(some, F.col("at.c"))).cast("long")
+    plan = stored(
+        plan.select(
+            "source", "source_size", "target", "rounds",
+            F.coalesce(F.when(some == F.col("at.c"), F.col("at.b") + 1).otherwise(F.col("at.b")), F.col("high")).alias("threshold"),
+            F.when((some > 0) & (some < F.col("at.c")), some).alias("extra"),
+        )
+    )
+
+    names = {k: fresh(docs, k) for k in ("mix_key", "mix", "mix_number", "mix_part", "mix_row")}
+    side = plan.select(F.col("source").alias(names["mix_key"]), F.struct("source_size", "target", "rounds", "threshold", "extra").alias(names["mix"]))
+    out = docs.withColumn(names["mix_key"], src).join(broadcast_if_small(side), names["mix_key"], "left")
+    m, size, h = F.col(names["mix"]), words(F.col("text")), place(F.col("doc_id"), F.col("text"))
+    taken = h < m["threshold"]
+    if plan.where("extra is not null").limit(1).count():
+        at = F.coalesce((h == m["threshold"]) & m["extra"].isNotNull(), F.lit(False))
+        own = out.columns
+        tied = _numbered(out.where(at), names["mix_key"], names["mix_number"], names["mix_part"], names["mix_row"])
+        out = out.where(~at).withColumn(names["mix_number"], F.lit(None).cast("long")).select(*[F.col(f"`{c}`") for c in own], names["mix_number"]).unionByName(tied)
+        taken = taken | F.coalesce(F.col(names["mix_number"]) <= m["extra"], F.lit(False))
+    copies = F.least(m["rounds"] + taken.cast("long"), F.lit(CAP).cast("long"))
+    out = out.withColumn(names["mix"], F.struct(size.alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), copies.alias("copies"), (copies * size).alias("taken")))
+    return out.drop(names["mix_key"], names["mix_number"]), names["mix"]
+
+
+def _numbered(rows: DataFrame, key: str, number: str, part: str, row: str) -> DataFrame:
+    """Interchangeable rows numbered from 1 for each key, a third of the table or more: within the tasks that stored
+    them, after the counts of the tasks before (one row for each task and key)."""
+    rows = stored(rows.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+    sizes = rows.groupBy(key, part).agg(F.count("*").alias("in_part"))
+    before = F.sum("in_part").over(Window.partitionBy(key).orderBy(part)) - F.col("in_part")
+    offsets = stored(sizes.select(F.col(key).alias("of_key"), F.col(part).alias("of_part"), before.alias("earlier")))
+    within = F.row_number().over(Window.partitionBy(key, part).orderBy(row))
+    joined = rows.withColumn(number, within.cast("long")).join(broadcast_if_small(offsets), (F.col(key) == F.col("of_key")) & (F.col(part) == F.col("of_part")))
+    return joined.withColumn(number, F.col(number) + F.col("earlier")).drop("of_key", "of_part", "earlier", part, row)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ ORACLE_SQL = {
                                / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM c),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS rounds FROM t),
         u AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rounds, target - rounds * source_size AS rest,
-                     sum(size) OVER (PARTITION BY d.source ORDER BY h) - size / 2.0 AS mid
+                     sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) - size / 2.0 AS mid
               FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST(least(rounds + CASE WHEN mid <= rest THEN 1 ELSE 0 END, 2) * size AS BIGINT) AS taken FROM u""",

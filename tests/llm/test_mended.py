@@ -1,0 +1,183 @@
+"""Mixing with repeated rows, pages of broken markup, vectors of several lengths and labels that are clusters."""
+
+import collections
+import time
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tablemill.llm import embedding_dedup, html_extraction, mixing, queries
+from tests.conftest import same_rows
+from tests.llm.helpers import docs, prose
+from tests.llm.test_group_operators import collected, water_fill
+
+# Mixing
+
+
+def repeated(spark):
+    """A third of a source, and more than half of another, is one row; its hash is somewhere in the middle."""
+    rows = [(k, prose(k, 50), "a") for k in range(200)] + [(1000, prose(3, 50), "a")] * 100 + [(k + 2000, prose(k, 30), "b") for k in range(40)] + [(7, prose(9, 30), "b")] * 60
+    return docs(spark, rows + [(5000, None, "c")] * 5 + [(None, prose(4, 10), None)] * 30)
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = repeated(spark)
+    out, m = mixing.mix(rows)
+    found = [r.asDict(True) for r in out.select("doc_id", "source", F.col(m).alias("m")).collect()]
+    assert out.count() == rows.count() and out.columns == [*rows.columns, m]
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in found:
+        sizes[r["source"]] += r["m"]["size"]
+        taken[r["source"]] += r["m"]["taken"]
+    for source, target in water_fill(dict(sizes)).items():
+        assert abs(taken[source] - target) <= 25 + 1e-6  # half of a document
+    key = lambda df, name: sorted(map(tuple, df.select("doc_id", F.col(name)["taken"]).collect()), key=str)
+    split = {r["m"]["copies"] for r in found if r["doc_id"] in (1000, 7)}
+    assert len(split) > 1
+    again, m2 = mixing.mix(rows.repartition(5))
+    assert key(again, m2) == key(out, m)
+    assert mixing.mixed_rows(rows).count() == sum(r["m"]["copies"] for r in found)
+
+
+def test_repeated_rows_against_duckdb(spark, tmp_path):
+    repeated(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(queries.op2_mixing(spark, str(tmp_path)), con.execute(queries.ORACLE_SQL["op2_mixing"]).df())
+
+
+# Pages
+
+
+@pytest.mark.parametrize("markup, text, tags", [
+    ("<p title=Bob's>One two three. It isn't lost.</p>", "One two three. It isn't lost.", ["p"]),
+    ('<a href="x>y">z</a> b', "z b", ["a", "p"]), ('<p "q>t</p>', "t", ["p"]), ("<p a='b>c</p>d", "c\n\nd", ["p", "p"]), ("1 < 2 and <3", "1 < 2 and <3", ["p"]),
+    ("<p a=>z", "z", ["p"]), ("<p =a>z", "z", ["p"]), ("a<", "a<", ["p"]), ("</ x>y", "y", ["p"]), ("x<!-- > y", "x", ["p"]), ("<p title=\"it's\">fine</p>", "fine", ["p"]),
+    ("<p class = 'x' id=\"y\"\n>k", "k", ["p"]), ("<br/>a<img src=x/>b", "ab", ["p"]), ("<p data-x=a\"b'c>k</p>", "k", ["p"]), ("a <b", "a <b", ["p"]),
+])
+def test_tags_as_browsers_read_them(markup, text, tags):
+    page = html_extraction.Page(markup)
+    assert page.blocks([True] * len(page.tag)) == text and page.tag[1:] == tags
+
+
+@pytest.mark.parametrize("piece, end", [
+    ("<a ", ""), ("<a ", ">"), ("<p aaa", ">x"), ('<p x="', ""), ("<p x='\"", ">"), ("<", ""), ("<", ">"), ("</", ""), ("<!", ""), ("<!--", ""), ("<p a = ", ">"), ("<script>", ""), ("<p a=\"'", ">"), ("&", ""),
+    ("<p title=it's ", ">"), ("a=b ", ">"), ("<p class=a ", ""),
+])
+def test_a_megabyte_of_broken_markup_takes_seconds(piece, end):
+    source = piece * (1_000_000 // len(piece)) + end
+    began = time.perf_counter()
+    html_extraction.Page(source)
+    html_extraction.Page("<p " + source + ">x")
+    assert time.perf_counter() - began < 15
+
+
+# Vectors
+
+
+def clusters(seed, labels, each, length, noise):
+    rnd = np.random.default_rng(seed)
+    centres = rnd.standard_normal((labels, length))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    turn = rnd.standard_normal((labels, each, length))
+    turn *= noise / np.linalg.norm(turn, axis=2, keepdims=True)
+    return (centres[:, None] + turn).reshape(-1, length), np.repeat(np.arange(labels), each)
+
+
+def partners(x, seed, first_half=False):
+    """A vector at cosine 0.983 with each; differing in the first half of their numbers alone, if so asked."""
+    rnd = np.random.default_rng(seed)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rnd.standard_normal(x.shape)
+    if first_half:
+        turn[:, x.shape[1] // 2 :] = 0
+        x = x.copy()
+        part = x[:, : x.shape[1] // 2]
+        turn[:, : part.shape[1]] -= (turn[:, : part.shape[1]] * part).sum(axis=1, keepdims=True) / (part**2).sum(axis=1, keepdims=True) * part
+    else:
+        turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    return 0.983 * x + np.sqrt(1 - 0.983**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+
+
+def brute_links(x, label):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.zeros(len(x), dtype=int)
+    for c in np.unique(label):
+        at = np.flatnonzero(label == c)
+        near = unit[at] @ unit[at].T >= 0.98
+        links[at] = near.sum(axis=1) - 1
+    return links
+
+
+def linked(spark, parts):
+    """n_links of rows (vectors, labels) of several lengths, in their order."""
+    rows = [(v.tolist(), int(c)) for x, label in parts for v, c in zip(np.float32(x), label, strict=True)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in collected(embedding_dedup.near_duplicates(df))}
+    return np.array([found[k] for k in range(len(rows))])
+
+
+def test_links_of_every_length(spark):
+    """3,000 vectors of 64 numbers, pairs of 128 that differ in their first half, and a few of a rare length."""
+    rnd = np.random.default_rng(1)
+    parts = []
+    for n, length in ((3000, 64), (900, 128), (40, 17)):
+        x = rnd.standard_normal((n, length))
+        x = np.vstack([x, partners(x[: n // 3], 2, first_half=True)])
+        parts.append((np.float32(x).astype(np.float64), np.concatenate([np.arange(n), np.arange(n // 3)]) % 2))
+    found = linked(spark, parts)
+    at = 0
+    for x, label in parts:
+        want = brute_links(x, label)
+        own = found[at : at + len(x)]
+        at += len(x)
+        assert (own <= want).all() and own.sum() >= 0.98 * want.sum() and want.sum() >= 2 * (len(x) // 4)
+
+
+@pytest.mark.parametrize("noise", [1.0, 0.5, 0.3])
+def test_labels_that_are_clusters(spark, noise, monkeypatch):
+    """No bucket holds much of a label, and pairs are found as elsewhere."""
+    x, label = clusters(3, 3, 2000, 64, noise)
+    y = partners(x[::4], 4)
+    x, label = np.float32(np.vstack([x, y])).astype(np.float64), np.concatenate([label, label[::4]])
+    largest = []
+    lists = embedding_dedup.bucket_lists
+
+    def measured(items, volume):
+        sizes = items.select(F.explode("keys").alias("h")).groupBy("h").count().agg(F.max("count"))
+        largest.append(sizes.first()[0])
+        return lists(items, volume)
+
+    monkeypatch.setattr(embedding_dedup, "bucket_lists", measured)
+    found, want = linked(spark, [(x, label)]), brute_links(x, label)
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum() >= len(y)
+    assert largest[0] <= 10 * embedding_dedup.BUCKET
+
+
+def test_clusters_within_a_label(spark, monkeypatch):
+    """One label of 60 clusters, one of them a third of all: its bucket is split once more."""
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 16)
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((60, 32))
+    which = np.concatenate([np.zeros(1200, dtype=int), rnd.integers(0, 60, 2400)])
+    x = centres[which] / np.linalg.norm(centres[which], axis=1, keepdims=True) + 0.5 * rnd.standard_normal((len(which), 32)) / np.sqrt(32)
+    x = np.float32(np.vstack([x, partners(x[::3], 6)])).astype(np.float64)
+    label = np.zeros(len(x), dtype=int)
+    levels = []
+    keys = embedding_dedup.bucket_keys
+    monkeypatch.setattr(embedding_dedup, "bucket_keys", lambda rows, cosine, level=0: levels.append(level) or keys(rows, cosine, level))
+    found, want = linked(spark, [(x, label)]), brute_links(x, label)
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum() and max(levels) >= 1
+
+
+def test_group_means(spark):
+    x, label = clusters(7, 4, 50, 6, 0.4)
+    rows = spark.createDataFrame([(int(c), v.tolist()) for v, c in zip(x, label, strict=True)], "grp long, embedding array<float>")
+    unit = np.float32(x).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for r in embedding_dedup.group_means(rows).collect():
+        mean = unit[label == r["grp"]].mean(axis=0)
+        assert r["n"] == 50 and np.allclose(r["centre"], mean)
+        assert r["kind"] == 6 * embedding_dedup.SPREADS + int(np.floor(-np.log2(1 - mean @ mean)))
