@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tablemill.operators.aggregates import content_hash, hash_measures
 from tablemill.operators.windows import mark_duplicates
-from tablemill.scratch import fresh, new_path, stored
+from tablemill.scratch import broadcast_if_small, fresh, new_path, stored
 from tablemill.specs import CollectionRules, ColumnRule, TableRules, TableSpec
 
 KEY_RULE = "_primary_key_"
@@ -191,33 +191,111 @@ def filter_collection(tables: Mapping[str, DataFrame | None], rules: CollectionR
         good = checked.where(F.size("failed_rules") == 0)
         passed[m] = good.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in tables[m].columns])
         bad[m] = checked.where(F.size("failed_rules") > 0)
-    failing: dict[str, list[tuple[str, DataFrame]]] = {m: [] for m in there}
-    if rules.equal_keys:
-        required = [m for m in there if m not in rules.optional]
-        keys = reduce(lambda a, b: a.join(b, key, "left_semi"), [passed[m].select(*key) for m in required]).distinct()
-        for m in there:
-            failing[m].append(("equal_primary_keys", passed[m].select(*key).distinct().join(keys, key, "left_anti")))
-    for rule in rules.cross:
-        if rule.left in passed and rule.right in passed:
-            on = reduce(Column.__and__, [F.col(f"left.{k}") == F.col(f"right.{k}") for k in key])
-            pairs = passed[rule.left].alias("left").join(passed[rule.right].alias("right"), on)
-            # A missing partner passes, and so does a condition that is null.
-            keys = pairs.where(~F.expr(rule.condition)).select(*[F.col(f"left.{k}").alias(k) for k in key]).distinct()
-            failing[rule.left].append((rule.name, keys))
-            failing[rule.right].append((rule.name, keys))
+    marks, names = _key_marks(passed, rules, there)
+    marks = broadcast_if_small(stored(marks)) if names else marks
     good = {}
     for m in there:
-        marked = passed[m]
-        marks = {name: fresh(marked, f"mark_{k}") for k, (name, _) in enumerate(failing[m])}
-        for name, keys in failing[m]:
-            on = reduce(Column.__and__, [F.col(f"marked.`{k}`").eqNullSafe(F.col(f"keys.`{k}`")) for k in key])  # null is a key here
-            mark = F.col("keys.failed_rule").alias(marks[name])
-            marked = marked.alias("marked").join(keys.withColumn("failed_rule", F.lit(name)).alias("keys"), on, "left").select("marked.*", mark)
-        failed = F.array_compact(F.array(*[F.col(f"`{marks[name]}`") for name, _ in failing[m]])) if failing[m] else F.array().cast("array<string>")
-        marked = stored(marked.select(*[F.col(f"`{c}`") for c in tables[m].columns], failed.alias("failed_rules")))
-        good[m] = marked.where(F.size("failed_rules") == 0).drop("failed_rules")
-        more = marked.where(F.size("failed_rules") > 0)
-        counts[m] = bad[m].select("failed_rules").unionByName(more.select("failed_rules")).select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+        rows, mark = passed[m], {n: fresh(passed[m], f"mark_{n}") for n in (*names, *key)}
+        own = {n: rule for n, (rule, members) in names.items() if m in members}
+        if own:
+            side = marks.select(*[F.col(c).alias(mark[c]) for c in (*own, *key)])
+            on = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(mark[k])) for k in key])  # null is a key here
+            rows = rows.join(side, on, "left")
+        failed = F.array_compact(F.array(*[F.when(F.col(mark[n]), F.lit(rule)) for n, rule in own.items()]).cast("array<string>"))
+        name = fresh(tables[m], "failed_rules")
+        marked = rows.select(*[F.col(f"`{c}`") for c in tables[m].columns], failed.alias(name))
+        good[m] = marked.where(F.size(name) == 0).drop(name)
+        more = marked.where(F.size(name) > 0)
+        counts[m] = bad[m].select("failed_rules").unionByName(more.select(F.col(name).alias("failed_rules"))).select(F.explode("failed_rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
         as_read = [F.col(f"`{c}`").cast(tables[m].schema[c].dataType).alias(c) for c in tables[m].columns]
-        bad[m] = bad[m].unionByName(more.select(*as_read, "failed_rules"))
+        bad[m] = bad[m].unionByName(more.select(*as_read, F.col(name).alias("failed_rules")))
     return good, bad, counts
+
+
+#: Comparisons of which all pairs of a key hold if the outermost values of both sides do: (of left, of right, SQL).
+_ORDERED = {"GreaterThan": ("min", "max", ">"), "GreaterThanOrEqual": ("min", "max", ">="), "LessThan": ("max", "min", "<"), "LessThanOrEqual": ("max", "min", "<=")}
+
+
+def _conjuncts(tables: Mapping[str, DataFrame], rule: CrossRule) -> list[tuple[str, Column, Column]] | None:
+    """The condition of a rule as comparisons of something of left with something of right of one type: (kind, left,
+    right) each; None if it is no conjunction of such."""
+    left, right = tables[rule.left].alias("left"), tables[rule.right].alias("right")
+    parser, out = left.sparkSession._jsparkSession.sessionState().sqlParser(), []
+    turned = {"GreaterThan": "LessThan", "GreaterThanOrEqual": "LessThanOrEqual", "LessThan": "GreaterThan", "LessThanOrEqual": "GreaterThanOrEqual", "EqualTo": "EqualTo"}
+
+    def sides(node) -> set[str]:
+        if node.getClass().getSimpleName() == "UnresolvedAttribute":
+            return {node.nameParts().head().lower() if node.nameParts().length() > 1 else ""}
+        return {x for k in range(node.children().length()) for x in sides(node.children().apply(k))}
+
+    def walk(node) -> bool:
+        kind = node.getClass().getSimpleName()
+        if kind == "And":
+            return walk(node.left()) and walk(node.right())
+        if kind not in turned:
+            return False
+        a, b = node.left(), node.right()
+        if (sides(a), sides(b)) == ({"right"}, {"left"}):
+            a, b, kind = b, a, turned[kind]
+        elif (sides(a), sides(b)) != ({"left"}, {"right"}):
+            return False
+        said = F.expr(a.sql()), F.expr(b.sql())
+        if left.select(said[0]).schema[0].dataType != right.select(said[1]).schema[0].dataType:
+            return False
+        out.append((kind, *said))
+        return True
+
+    return out if walk(parser.parseExpression(rule.condition)) else None
+
+
+def _key_marks(passed: Mapping[str, DataFrame], rules: CollectionRules, there: list[str]) -> tuple[DataFrame, dict[str, tuple[str, set[str]]]]:
+    """(marks, names): a row for each common key that fails a rule over keys or pairs, with one boolean column for each
+    rule; names: {column: (rule, members that it concerns)}.
+
+    One aggregation over the keys of all members together, pre-aggregated in every task: how often each member has the
+    key, and for comparisons of two members the outermost values of both. So no rows of a key meet, however many there
+    are. A condition that isn't made of comparisons is tried on all pairs of a key.
+    """
+    key = list(rules.common_key)
+    cross = [r for r in rules.cross if r.left in passed and r.right in passed]
+    said = {k: _conjuncts(passed, r) for k, r in enumerate(cross)}
+    cells = {f"{side}_{k}_{n}": (getattr(r, side), expr) for k, r in enumerate(cross) for n, (_, *both) in enumerate(said[k] or []) for side, expr in zip(("left", "right"), both, strict=True)}
+    types = {c: passed[m].alias(c.split("_")[0]).select(e).schema[0].dataType for c, (m, e) in cells.items()}
+    parts = []
+    for tag, m in enumerate(there):
+        keys = [F.col(f"`{k}`").alias(f"key_{n}") for n, k in enumerate(key)]
+        for side in ("left", "right"):
+            # A member may be both sides of a rule; then its rows are counted as the first.
+            own = [(e if m == of and c.startswith(side) else F.lit(None).cast(types[c])).alias(c) for c, (of, e) in cells.items()]
+            if side == "left" or any(m == of and c.startswith(side) for c, (of, _) in cells.items()):
+                parts.append(passed[m].alias(side).select(F.lit(tag if side == "left" else -1).alias("tag"), *keys, *own))
+    keys = [f"key_{n}" for n in range(len(key))]
+    found = {f"n_{tag}": F.count(F.when(F.col("tag") == tag, 1)) for tag in range(len(there))} | {f"{f}_{c}": getattr(F, f)(c) for c in cells for f in ("min", "max")}
+    names: dict[str, tuple[str, set[str]]] = {}
+    fails: dict[str, Column] = {}
+    null = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    if rules.equal_keys:
+        names["fails_equal"] = ("equal_primary_keys", set(there))
+        fails["fails_equal"] = reduce(Column.__or__, [F.col(f"n_{t}") == 0 for t, m in enumerate(there) if m not in rules.optional], null)
+    for k, rule in enumerate(cross):
+        names[f"fails_{k}"] = (rule.name, {rule.left, rule.right})
+        holds = []
+        for n, (kind, *_) in enumerate(said[k] or []):
+            low, high = ([F.col(f"{f}_{side}_{k}_{n}") for side in ("left", "right")] for f in ("min", "max"))
+            if kind == "EqualTo":
+                holds += [low[0] == high[1], high[0] == low[1]]
+            else:
+                of_left, of_right, op = _ORDERED[kind]
+                holds.append(F.expr(f"{of_left}_left_{k}_{n} {op} {of_right}_right_{k}_{n}"))
+        # What is null holds, and null is no partner of null.
+        fails[f"fails_{k}"] = ~null & ~reduce(Column.__and__, [F.coalesce(h, F.lit(True)) for h in holds], F.lit(True))
+    per = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+    marks = per.select(*keys, *[c.alias(n) for n, c in fails.items()])
+    for k, rule in enumerate(cross):
+        if said[k] is None:
+            on = reduce(Column.__and__, [F.col(f"left.`{c}`") == F.col(f"right.`{c}`") for c in key])
+            pairs = passed[rule.left].alias("left").join(passed[rule.right].alias("right"), on)
+            bad = pairs.where(~F.expr(rule.condition)).select(*[F.col(f"left.`{c}`").alias(n) for n, c in zip(keys, key, strict=True)], F.lit(True).alias("pair_fails")).distinct()
+            marks = marks.join(bad, keys, "left").withColumn(f"fails_{k}", F.coalesce("pair_fails", F.lit(False))).drop("pair_fails")
+    failing = marks.where(reduce(Column.__or__, [F.col(n) for n in fails], F.lit(False)))
+    return failing.select(*[F.col(n).alias(k) for n, k in zip(keys, key, strict=True)], *fails), names
