@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.operators.aggregates import table_hash
 from tablemill.scratch import fresh
@@ -46,6 +47,18 @@ def tables_equal(new: DataFrame, old: DataFrame) -> bool:
     return table_hash(new.select(*sorted(new.columns))).first() == table_hash(old.select(*sorted(new.columns))).first()
 
 
+def hashable(c: Column, kind: T.DataType) -> Column:
+    """c in a form that Spark hashes: maps, which it doesn't, as their entries in order."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType) and "map<" in kind.simpleString():
+        return F.transform(c, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and "map<" in kind.simpleString():
+        return F.when(c.isNotNull(), F.struct(*[hashable(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def diff_rows(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, change, columns): a row for each key that was added, removed or changed, with the names of the columns
     that changed, comma-joined.
@@ -63,7 +76,7 @@ def diff_rows(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
             if c not in types[mark]:
                 return F.lit(None).cast("string")
             same = types[-mark].get(c, types[mark][c]) == types[mark][c]
-            return F.col(f"`{c}`") if same else F.col(f"`{c}`").cast("string")  # another type: as text
+            return hashable(F.col(f"`{c}`"), df.schema[c].dataType) if same else F.col(f"`{c}`").cast("string")  # another type: as text
 
         hashes = [F.xxhash64(cell(c)).alias(n) for c, n in zip(rest, cells, strict=True)]
         return df.select(*[F.col(f"`{k}`") for k in keys], *hashes, F.lit(mark).alias(sign))

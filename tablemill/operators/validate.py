@@ -2,7 +2,7 @@
 
 Rule names: <column>|dtype, |nullability, |min, |max, |enum, and _primary_key_. A row with a repeated or null key fails
 the key rule, and so do all rows of that key. A value that is lost by its cast fails dtype and the other rules don't see
-it; null passes bounds and enums.
+it; null passes bounds and enums. A cast to whole numbers cuts a fraction off, as Spark's casts do, and that is no failure.
 
 Where rows are stored anyway, row count, content hash and failures of rules are observed in the pass that writes them
 (write_audited), so a source is evaluated once, and the figures are those of the rows as they were written.

@@ -17,6 +17,7 @@ from tablemill.functions import scalars
 from tablemill.jobs import features, frames, incremental, keyed, model, publish, sqltext
 from tablemill.operators import aggregates, compare, joins, sample, transform, validate, views, windows
 from tablemill.scratch import new_path, stored
+from tablemill.sources import database, layout
 from tablemill.sources import tables as store
 from tablemill.specs import CollectionRules, ColumnRule, CrossRule, SortKey, TableRules, TableSpec, ViewSpec, WriteOptions
 from tablemill.streaming import ingest
@@ -155,6 +156,24 @@ def src_jdbc(spark, d):
     return store.read_jdbc(spark, url, "supplier", '"s_suppkey"', (low, high), 4, DERBY)
 
 
+@query("SELECT o_orderkey, o_custkey, CAST(o_orderkey AS BIGINT) * o_orderkey * o_orderkey AS cube FROM orders")
+def src_jdbc_even(spark, d):
+    """Loaded so that each row is there once, and read in parts of equal size by a key that is spread unevenly."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    cube = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey")
+    database.load_jdbc(read(spark, d, "orders").select("o_orderkey", "o_custkey", cube.alias("cube")), url, "cubes", 4, DERBY)
+    return database.read_jdbc_evenly(spark, url, "cubes", '"cube"', 4, DERBY)
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS day FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-05-31'")
+def filter_range_files(spark, d):
+    """Orders stored by date; only files whose dates meet the range are scanned."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    layout.write_by_range(orders, path := f"{new_path(spark)}/orders.parquet", "o_orderdate", 16)
+    found = layout.read_range(spark, path, "o_orderdate", datetime.datetime(1997, 3, 1), datetime.datetime(1997, 5, 31))
+    return found.select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES))
 def sink_dump(spark, d):
     root = new_path(spark)
@@ -353,6 +372,17 @@ def join_features(spark, d):
     return joins.combine_features([own, _orders_per_customer(spark, d), urgent], "c_custkey")
 
 
+@query("""SELECT c_custkey, n_orders, n_urgent, c_acctbal * 2 AS twice FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY ALL) a ON c_custkey = a.o_custkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS n_urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL) b ON c_custkey = b.o_custkey""")
+def join_bucketed(spark, d):
+    """The same features from three stored tables of one layout: no shuffle to join them, however often."""
+    urgent = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_urgent"))
+    own = read(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 2).alias("twice"))
+    tables = {"own": own, "orders": _orders_per_customer(spark, d), "urgent": urgent}
+    stem = f"bucketed_{uuid.uuid4().hex[:12]}"
+    return joins.combine_features([layout.write_bucketed(df, f"{stem}_{n}", "c_custkey", 8, new_path(spark)) for n, df in tables.items()], "c_custkey")
+
+
 @query("""SELECT o_orderkey, o_orderstatus, b.o_orderstatus_before FROM orders LEFT JOIN (SELECT o_orderkey, lower(o_orderstatus) AS o_orderstatus_before FROM orders WHERE o_orderstatus <> 'P') b USING (o_orderkey)""")
 def join_versions(spark, d):
     orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.sources import files
 
-#: Paths that this process has given out and not removed.
+#: Paths that this process has given out and not removed; those of a step that removes its own are in a list of the step.
 _made: list[str] = []
+_step: ContextVar[list[str]] = ContextVar("step", default=_made)
 #: A table of at most so many narrow rows may be broadcast (about 10 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -30,8 +32,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    _made.append(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _step.get().append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -43,12 +46,19 @@ def stored(df: DataFrame) -> DataFrame:
 
 def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """Store what make() returns, and remove the intermediate tables that it stored on the way: the result no longer
-    needs them. For steps of a job that would otherwise leave several times their input behind."""
-    before = len(_made)
-    out = stored(make())
-    for path in _made[before:-1]:
+    needs them. For steps of a job that would otherwise leave several times their input behind. Tables that other threads
+    store meanwhile are not the step's, and stay."""
+    own: list[str] = []
+    before = _step.set(own)
+    try:
+        made = make()
+    finally:
+        _step.reset(before)
+        _made.extend(own)  # until they are removed, or if the step fails
+    out = stored(made)
+    for path in own:
         files.delete(spark, path)
-    del _made[before:-1]
+        _made.remove(path)
     return out
 
 

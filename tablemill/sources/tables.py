@@ -165,9 +165,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return spark.read.format("jdbc").options(**jdbc_read_options(url, table, column, bounds, partitions), **_driver(driver)).load()
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", partitions: int | None = None, driver: str | None = None) -> None:
-    """Store df as a database table, over at most so many connections at a time."""
-    limit = {"numPartitions": str(partitions)} if partitions else {}
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", partitions: int | None = None, driver: str | None = None, column_types: str | None = None) -> None:
+    """Store df as a database table, over at most so many connections at a time. column_types: such as "name VARCHAR(80)",
+    for columns that a new table should have in another type than Spark's choice."""
+    limit = ({"numPartitions": str(partitions)} if partitions else {}) | ({"createTableColumnTypes": column_types} if column_types else {})
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(JDBC_BATCH), **limit, **_driver(driver)).mode(mode).save()
 
 

@@ -296,3 +296,30 @@ def test_constant_target_is_refused(spark):
 def test_feature_flow(spark, small):
     train, test, complete = features.train_and_test(spark.read.parquet(f"{small}/customer.parquet"), spark.read.parquet(f"{small}/orders.parquet"))
     assert train.count() == 9 * test.count() and not complete.first()["has_promotions"]
+
+
+def test_row_diff_of_maps(spark):
+    """Maps of equal entries are equal in whatever order, also within structs and arrays."""
+    schema = "k int, m map<string, int>, n struct<a: array<map<int, map<string, int>>>>"
+    old = spark.createDataFrame([(1, {"a": 1, "b": 2}, ([{1: {"x": 1, "y": 2}}],)), (2, {"a": 1}, None), (3, None, ([None],))], schema)
+    new = spark.createDataFrame([(1, {"b": 2, "a": 1}, ([{1: {"y": 2, "x": 1}}],)), (2, {"a": 2}, None), (3, {}, ([{}],))], schema)
+    assert sorted(map(tuple, compare.diff_rows(new, old, ["k"]).collect())) == [(2, "changed", "m"), (3, "changed", "m,n")]
+
+
+def test_a_step_removes_its_own_tables_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tablemill import scratch
+
+    with ThreadPoolExecutor(1) as pool:
+        made = {}
+
+        def step():
+            made["other"] = pool.submit(scratch.stored, spark.range(4)).result()
+            made["own"] = scratch.stored(spark.range(3))
+            return made["own"].union(made["own"])
+
+        out = scratch.stored_alone(spark, step)
+    assert out.count() == 6 and made["other"].count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        made["own"].count()
