@@ -47,15 +47,22 @@ def tables_equal(new: DataFrame, old: DataFrame) -> bool:
     return table_hash(new.select(*sorted(new.columns))).first() == table_hash(old.select(*sorted(new.columns))).first()
 
 
-def hashable(c: Column, kind: T.DataType) -> Column:
-    """c in a form that Spark hashes: maps, which it doesn't, as their entries in order."""
+def _ordered(c: Column, kind: T.DataType) -> Column:
+    """c with maps, which have no order, as their entries in order of keys."""
     if isinstance(kind, T.MapType):
-        entries = F.transform(F.map_entries(c), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value")))
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_ordered(e["key"], kind.keyType).alias("key"), _ordered(e["value"], kind.valueType).alias("value")))
         return F.array_sort(entries)
-    if isinstance(kind, T.ArrayType) and "map<" in kind.simpleString():
-        return F.transform(c, lambda x: hashable(x, kind.elementType))
-    if isinstance(kind, T.StructType) and "map<" in kind.simpleString():
-        return F.when(c.isNotNull(), F.struct(*[hashable(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def hashable(c: Column, kind: T.DataType) -> Column:
+    """c in a form whose hash tells it: nested values as text, as hashes of them pass over null and empty ones."""
+    if isinstance(kind, T.MapType | T.ArrayType | T.StructType):
+        return F.to_json(F.struct(_ordered(c, kind)), {"ignoreNullFields": "false"})
     return c
 
 
