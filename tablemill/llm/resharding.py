@@ -16,10 +16,12 @@ text are interchangeable; an empty table gives an empty plan; fewer new shards t
 from __future__ import annotations
 
 import heapq
+import json
 import uuid
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import BROADCAST_ROWS, broadcast_if_small, fresh, stored
@@ -158,8 +160,12 @@ def rewrite_affected(out: DataFrame, name: str, path: str, rows_per_file: int =
     """Write the shards that gain or lose rows as path/shard=N, rows by slot; shards without a move keep their files.
 
     Returns the shards written or emptied. out, name: what reshard() returned; it may read path itself. New files are
-    staged beside the shards and moved into place when all are written; a shard that ends empty goes.
+    staged beside the shards. When all are written, one small file is renamed into place that says so, and from then on
+    the new layout holds: what was staged is moved over the old shards, and a shard that ends empty goes. If that is cut
+    off, before or after, read_shards() reads the old layout or the new one whole, and finish_rewrite() does the rest.
     """
+    if files.exists(out.sparkSession, f"{path}/{NOTE}"):
+        raise RuntimeError("an earlier rewrite isn't finished: finish_rewrite() does it")
     s, spark = F.col(name), out.sparkSession
     moves = out.where(s["old_shard"] != s["shard"]).select(F.explode(F.array(s["old_shard"], s["shard"])).alias("k")).distinct()
     affected = sorted(r["k"] for r in moves.collect())  # at most as many as there are shards
@@ -167,13 +173,47 @@ def rewrite_affected(out: DataFrame, name: str, path: str, rows_per_file: int =
     shard, slot = fresh(out, "shard"), fresh(out, "slot")
     part = out.where(s["shard"].isin(affected)).select(*[F.col(f"`{c}`") for c in own], s["shard"].alias(shard), s["slot"].alias(slot))
     file = F.floor(F.col(slot) / rows_per_file)
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"  # readers skip names with an underscore
-    part.repartition(F.col(shard), file).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(staged)
-    written = set(files.names(spark, staged))
-    for k in affected:
-        folder = f"{shard}={k}"
-        files.delete(spark, f"{path}/{folder}")
-        if folder in written:
-            files.move(spark, f"{staged}/{folder}", f"{path}/{folder}")
-    files.delete(spark, staged)
+    staged = f"_staged-{uuid.uuid4().hex}"  # readers skip names with an underscore
+    part.repartition(F.col(shard), file).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(f"{path}/{staged}")
+    written = [n for n in files.names(spark, f"{path}/{staged}") if n.startswith(f"{shard}=")]
+    emptied = [f"{shard}={k}" for k in affected if f"{shard}={k}" not in written]
+    files.write_text(spark, f"{path}/{NOTE}", json.dumps({"staged": staged, "written": written, "emptied": emptied}))
+    finish_rewrite(spark, path)
     return affected
+
+
+#: Says what a rewrite has staged; there while it is moved into place.
+NOTE = "_rewrite.json"
+
+
+def finish_rewrite(spark: SparkSession, path: str) -> None:
+    """Move what a rewrite has staged into place, from wherever it was cut off; nothing to do if none was."""
+    if not (said := files.read_text(spark, f"{path}/{NOTE}")):
+        return
+    note = json.loads(said)
+    for folder in note["emptied"]:
+        files.delete(spark, f"{path}/{folder}")
+    for folder in note["written"]:
+        # The old shard goes while the new one is still staged; if that isn't there, it has been moved.
+        if files.exists(spark, f"{path}/{note['staged']}/{folder}"):
+            files.delete(spark, f"{path}/{folder}")
+            files.move(spark, f"{path}/{note['staged']}/{folder}", f"{path}/{folder}")
+    files.delete(spark, f"{path}/{NOTE}")
+    files.delete(spark, f"{path}/{note['staged']}")
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All shards: of the layout that holds, also while a rewrite is moved into place or after it was cut off."""
+    if not (said := files.read_text(spark, f"{path}/{NOTE}")):
+        return spark.read.parquet(path)
+    note = json.loads(said)
+    changed = {*note["written"], *note["emptied"]}
+    there = [f"{path}/{n}" for n in files.names(spark, path) if not n.startswith(("_", ".")) and n not in changed]
+    staged = {n: f"{path}/{note['staged']}/{n}" for n in note["written"]}
+    there += [p if files.exists(spark, p) else f"{path}/{n}" for n, p in staged.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_one_shard(spark, p) for p in there])
+
+
+def _one_shard(spark: SparkSession, folder: str) -> DataFrame:
+    name, number = folder.rsplit("/", 1)[1].split("=")
+    return spark.read.parquet(folder).withColumn(name, F.lit(int(number)))

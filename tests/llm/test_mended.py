@@ -1,6 +1,7 @@
 """Mixing with repeated rows, pages of broken markup, vectors of several lengths and labels that are clusters."""
 
 import collections
+import hashlib
 import time
 
 import duckdb
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.llm import embedding_dedup, html_extraction, mixing, queries
+from tablemill.llm import embedding_dedup, html_extraction, mixing, queries, resharding, secret_scan
+from tablemill.scratch import stored
 from tests.conftest import same_rows
 from tests.llm.helpers import docs, prose
 from tests.llm.test_group_operators import collected, water_fill
@@ -181,3 +183,85 @@ def test_group_means(spark):
         mean = unit[label == r["grp"]].mean(axis=0)
         assert r["n"] == 50 and np.allclose(r["centre"], mean)
         assert r["kind"] == 6 * embedding_dedup.SPREADS + int(np.floor(-np.log2(1 - mean @ mean)))
+
+
+# Secrets
+
+
+REFERENCES = [
+    "token = get_access_token(request)", 'DB_PASSWORD = os.environ["DB_PASSWORD"]', "api_key: config.settings.API_KEY", 'auth: "see the manual for more details"', "password => $this->credentials->password",
+    "secret: Wohnungsbaugesellschaft", "token: développement", 'passphrase: "the words of the song that we all know"', "pwd = settings::database::password",
+]
+
+
+def test_names_of_code_and_sentences_are_no_secrets():
+    for text in REFERENCES[:5] + REFERENCES[6:]:
+        assert not [s for s in secret_scan.scan(text) if s[1] == 3], text
+    for text in ("pwd = qzxvkjwpmhtbnrlc", "token: config.x8Kq0vLw2Zt9", 'auth: "look x8#Kq0vLw2 up"', "key = AbX9(zz8Qpw1Lk)"):
+        assert secret_scan.scan(text.replace("key =", "api_key =")), text
+
+
+def test_words_of_the_corpus_are_learned(spark):
+    """A word that running text has is none of a secret; a secret that is copied, context and all, stays one."""
+    long = "wohnungsbaugesellschaftsrecht"
+    texts = [f"das {long} ist alt {k}" for k in range(20)] + [f"secret: {long}"] * 3 + ["pwd = qzxvkjwpmhtbnrlc and more"] * 50 + [None, ""]
+    rows = docs(spark, list(enumerate(texts)))
+    learned = secret_scan.learn(rows)
+    assert learned == {long: pytest.approx(75 / 20)}
+    out, s = secret_scan.with_secrets(rows)
+    found = {r["doc_id"]: r[s]["n_guess"] for r in out.collect()}
+    assert sum(found.values()) == 50 and all(found[k] == 0 for k in range(23))
+    assert [s for s in secret_scan.scan(texts[20]) if s[1] == 3]
+    assert secret_scan.learn(rows.limit(0)) == {} and secret_scan.with_secrets(rows.limit(0))[0].count() == 0
+
+
+def test_many_doubtful_words_are_counted_by_a_join(spark, monkeypatch):
+    word = lambda k: hashlib.sha256(b"%d" % k).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:14]
+    rows = docs(spark, [(k, f"pwd = {word(k % 30)}") for k in range(60)] + [(100 + k, f"{word(0)} {word(1)}") for k in range(4)])
+    few = secret_scan.learn(rows)
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 5)
+    assert secret_scan.learn(rows) == few == {word(0): pytest.approx(16), word(1): pytest.approx(16)}
+
+
+# Shards
+
+
+class Killed(BaseException):
+    """As a driver that is gone: nothing is tidied up."""
+
+
+@pytest.mark.parametrize("step", (0, 1, 3, 5, 8))
+def test_a_rewrite_that_is_cut_off(spark, tmp_path, monkeypatch, step):
+    """Wherever it ends, the old or the new layout can be read whole, and the rest done later."""
+    path = f"{tmp_path}/shards"
+    rows = docs(spark, [(k, prose(k, 5)) for k in range(300)]).select("doc_id", "text")
+    rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int")).write.partitionBy("shard").parquet(path)
+    out, name = resharding.reshard(spark.read.parquet(path), F.col("shard"), 3)
+    out = stored(out)
+    layouts = [sorted(map(tuple, df.collect())) for df in (spark.read.parquet(path).select("doc_id", "shard"), out.select("doc_id", F.col(name)["shard"].alias("shard")))]
+    left = [step]
+
+    def counted(fn):
+        def run(*args):
+            if not left[0]:
+                raise Killed
+            left[0] -= 1
+            return fn(*args)
+
+        return run
+
+    for fn in ("write_text", "delete", "move"):
+        monkeypatch.setattr(resharding.files, fn, counted(getattr(resharding.files, fn)))
+    cut = False
+    try:
+        resharding.rewrite_affected(out.drop("shard"), name, path)
+    except Killed:
+        cut = True
+    monkeypatch.undo()
+    held = sorted(map(tuple, resharding.read_shards(spark, path).select("doc_id", "shard").collect()))
+    assert held == layouts[step > 0]
+    if cut and step:
+        with pytest.raises(RuntimeError):
+            resharding.rewrite_affected(out.drop("shard"), name, path)
+    resharding.finish_rewrite(spark, path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("doc_id", "shard").collect())) == held
