@@ -265,3 +265,20 @@ def test_a_rewrite_that_is_cut_off(spark, tmp_path, monkeypatch, step):
             resharding.rewrite_affected(out.drop("shard"), name, path)
     resharding.finish_rewrite(spark, path)
     assert sorted(map(tuple, spark.read.parquet(path).select("doc_id", "shard").collect())) == held
+
+
+#: Nouns of four languages, and how many of them may be taken for secrets where no corpus is known.
+NOUNS = {
+    "de": ("Gesellschaft Wohnung Versicherung Entwicklung Wirtschaft Krankenhaus Freundschaft Gemeinde Verwaltung Unternehmen Forschung Bahnhof Umwelt Rechnung Feuerwehr Wissenschaft Zeitung Prüfung Nachbar Werkstatt", 3),
+    "fr": ("développement gouvernement entreprise université anniversaire quartier environnement travail vacances voiture ordinateur escalier montagne rivière papillon chemin voyage cuisine lumière fromage", 2),
+    "es": ("desarrollo gobierno empresa universidad barrio ambiente trabajo vacaciones ordenador zapato ventana escalera camino cocina domingo invierno historia edificio carretera seguridad", 3),
+    "en": ("development government company university birthday neighbour environment workplace holidays computer window staircase mountain butterfly journey kitchen weekend newspaper umbrella teacher", 0),
+}
+
+
+@pytest.mark.parametrize("language", sorted(NOUNS))
+def test_words_of_languages(language):
+    words, most = NOUNS[language]
+    found = [w for w in words.split() if secret_scan.is_guarded(w)]
+    assert len(found) <= most, found
+    assert not [w for w in words.split() if secret_scan.is_guarded(w, {w.lower(): 1000.0})]
