@@ -60,6 +60,15 @@ def try_cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
+def narrowest(df: DataFrame, kinds: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Of the types named for each column, narrow ones first, the first that holds all its values; columns for which none
+    does are left out. One row comes back."""
+    named = [(c, k) for c, own in kinds.items() for k in own]
+    kept = [F.coalesce(F.bool_and(F.col(f"`{c}`").try_cast(k).eqNullSafe(F.col(f"`{c}`"))), F.lit(True)).alias(f"kept_{i}") for i, (c, k) in enumerate(named)]
+    row = df.agg(*kept).first() if named else ()
+    return {c: k for (c, k), fits in reversed([*zip(named, row, strict=True)]) if fits}
+
+
 def known_by(df: DataFrame, date: datetime.datetime | datetime.date, column: str = "known_from") -> DataFrame:
     """Rows that were known by the date: the filter reaches the parquet scan."""
     return df.where(F.col(column) <= F.lit(date).cast(df.schema[column].dataType))

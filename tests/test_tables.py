@@ -323,3 +323,20 @@ def test_a_step_removes_its_own_tables_alone(spark):
     assert out.count() == 6 and made["other"].count() == 4
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         made["own"].count()
+
+
+def test_narrowest_types_hold_all_values(spark):
+    rows = spark.createDataFrame([(1, 40000, 2**40, None), (-5, None, 1, None)], "a long, b long, c long, d long")
+    kinds = dict.fromkeys("abcd", ["smallint", "int"])
+    assert transform.narrowest(rows, kinds) == {"a": "smallint", "b": "int", "d": "smallint"}
+    assert transform.narrowest(rows.limit(0), {"a": ["smallint"]}) == {"a": "smallint"} and transform.narrowest(rows, {}) == {}
+
+
+def test_generations_of_large_keys(spark, tmp_path):
+    """Keys beyond smallint and int, and null ones, come through the generations of src_generations."""
+    from tablemill.queries import QUERIES
+
+    rows = [(1, 77192, "F", 1.0, "a"), (2**40, None, "F", 2.0, "b"), (3, 2**33, "O", 3.0, "c"), (4, 5, "P", 4.0, "d"), (5, 10**12, "P", 5.0, "e")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    made = sorted(tuple(r) for r in QUERIES["src_generations"](spark, str(tmp_path)).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").collect())
+    assert made == sorted((k, None if c is None else float(c), None if s == "F" else p, u if s == "P" else None) for k, c, s, p, u in rows)
