@@ -97,11 +97,13 @@ class KeyedTable:
         if not [n for n in files.names(self.spark, f"{self.root}/{folder}") if n.startswith(bucket)]:
             return self.spark.createDataFrame([], FILES)
         rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}/*")
-        path = F.col("_metadata.file_path")
-        place = F.concat(F.lit(folder + "/"), F.regexp_extract(path, r"([^/]*/[^/]*)$", 1))
-        number = F.regexp_extract(path, r"=(\d+)/[^/]*$", 1).cast("int")
+        place = "file_path"
         measures = [c.alias(n) for n, c in hash_measures([F.col(f"`{c}`") for c in df.columns]).items()]
-        found = rows.groupBy(number.alias("bucket"), place.alias("file")).agg(*measures)
+        # Paths are taken apart once they are one row per file.
+        per = rows.groupBy(F.col("_metadata.file_path").alias(place)).agg(*measures)
+        ends = F.split(F.col(place), "/")
+        number = F.regexp_extract(F.element_at(ends, -2), r"=(\d+)$", 1).cast("int")
+        found = per.select(number.alias("bucket"), F.concat_ws("/", F.lit(folder), F.element_at(ends, -2), F.element_at(ends, -1)).alias("file"), "row_count", *SUMS)
         return stored(found.select("bucket", "file", "row_count", *SUMS))
 
     def _commit(self, listed: DataFrame, schema: T.StructType, began: int) -> int:

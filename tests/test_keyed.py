@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablemill.jobs import keyed
 from tablemill.jobs.incremental import content_key
 from tablemill.jobs.keyed import KeyedTable
 from tablemill.jobs.publish import Conflict
@@ -139,3 +140,20 @@ def test_two_tables_of_one_layout(spark, tmp_path, many):
     assert rows(a.diff(1, 1, b)) == [(3, "added", "")]
     with pytest.raises(ValueError):
         a.changed_buckets(1, 1, KeyedTable(spark, f"{tmp_path}/b", ["k"], 9))
+
+
+def _below_aggregates(plans):
+    """What the optimised plans compute for each row before they aggregate."""
+    return "".join(p[p.index("Aggregate") :].partition("\n")[2] for p in plans if "file_path" in p and "Aggregate" in p)
+
+
+def test_paths_are_taken_apart_once_per_file(spark, tmp_path, many, monkeypatch):
+    """Not once per row: neither where files are listed nor where a merge looks for those it touches."""
+    seen, store = [], keyed.stored
+    monkeypatch.setattr(keyed, "stored", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    table = KeyedTable(spark, str(tmp_path), ["k"], 16)
+    table.write(many)
+    table.merge(deletes=many.select("k").limit(3))
+    rows_work = _below_aggregates(seen)
+    assert rows_work and "regexp_extract" not in rows_work and "split(" not in rows_work
+    assert all(r["file"].startswith("data/") and f"={r['bucket']}/" in r["file"] for r in table.file_list().collect())
