@@ -183,11 +183,13 @@ class KeyedTable:
         same = reduce(Column.__and__, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in self.keys])
         rows = self._read(began, concerned)
         # Which of these files hold a key that is brought: from key columns alone.
-        hit = rows.select(*keys, F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]*/[^/]*/[^/]*)$", 1).alias("hit_file")).alias("t") if concerned.count() else None
+        path = fresh(brought, "hit_path")
+        hit = rows.select(*keys, F.col("_metadata.file_path").alias(path)).alias("t") if concerned.count() else None
         if hit is None:
             touched = concerned.select("file")
         else:
-            touched = hit.join(brought.alias("b"), same, "left_semi").select(F.col("t.hit_file").alias("file")).distinct()
+            paths = hit.join(brought.alias("b"), same, "left_semi").select(path).distinct()
+            touched = paths.select(F.concat_ws("/", F.slice(F.split(path, "/"), -4, 4)).alias("file"))
         touched = stored(touched)
         kept_rows = self._read(began, listed.join(touched, "file", "left_semi")).alias("t").join(brought.alias("b"), same, "left_anti")
         new_rows = kept_rows if upserts is None else kept_rows.unionByName(upserts)
