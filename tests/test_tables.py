@@ -340,3 +340,24 @@ def test_generations_of_large_keys(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     made = sorted(tuple(r) for r in QUERIES["src_generations"](spark, str(tmp_path)).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").collect())
     assert made == sorted((k, None if c is None else float(c), None if s == "F" else p, u if s == "P" else None) for k, c, s, p, u in rows)
+
+
+def test_a_model_errs_no_more_than_a_constant(spark):
+    """On noise: the threshold is that with the fewest errors, as the model itself decides, and 0 and 1 are among those tried."""
+    rows = spark.createDataFrame([(float(x), float((x * 7919 + x * x * 31) % 11 < 5)) for x in range(300)], "x double, y double")
+    fitted = model.train_classifier(rows, ["x"], "y")
+    least = rows.groupBy("y").count().agg(F.min("count")).first()[0]
+    wrong = lambda t: model.evaluate(rows, fitted.copy({fitted.stages[-1].thresholds: [1 - t, t]}), "y").agg(F.sum("abs_error")).first()[0]
+    assert model.evaluate(rows, fitted, "y").agg(F.sum("abs_error")).first()[0] <= min(least, wrong(0.5))
+
+
+def test_best_threshold_by_hand(spark):
+    from pyspark.ml.linalg import Vectors
+
+    def scored(rows):
+        return spark.createDataFrame([(Vectors.dense(1 - p, p), y) for p, y in rows], ["probability", "y"])
+
+    assert model.best_threshold(scored([(0.6, 0.0), (0.6, 0.0), (0.7, 1.0), (0.2, 0.0)]), "y") == 0.6
+    assert model.best_threshold(scored([(0.6, 1.0), (0.4, 0.0)]), "y") == 0.5
+    # Every split but the constant 0 errs more often.
+    assert model.best_threshold(scored([(1.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), "y") == 1.0
