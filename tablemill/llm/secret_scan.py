@@ -25,11 +25,13 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator, Mapping
+from itertools import islice
 from pathlib import Path
 from types import MappingProxyType
 
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,21 +218,30 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 SCANNED = schema("n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string")
 
 
+def _scanned(text: str | None, learned: Mapping[str, float]) -> tuple:
+    spans = scan(text, learned)
+    base = [s for s in spans if s[1] < len(BASE_KINDS)]
+    counts = [sum(s[1] == k for s in spans) for k in range(len(KINDS))]
+    return (*counts, hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), redact(text, spans) if spans else None)
+
+
 def _scanner(learned: Mapping[str, float]):
     @F.pandas_udf(SCANNED)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            rows = []
-            for text in batch:
-                spans = scan(text, learned)
-                base = [s for s in spans if s[1] < len(BASE_KINDS)]
-                counts = [sum(s[1] == k for s in spans) for k in range(len(KINDS))]
-                rows.append((*counts, hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans), redact(text, spans) if spans else None))
-            yield pd.DataFrame(rows, columns=SCANNED.names)
+            yield pd.DataFrame([_scanned(text, learned) for text in batch], columns=SCANNED.names)
 
     return run
 
 
+@F.pandas_udf(SCANNED)
+def _scanner_of_own(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Each text with the learned words that it may hold, and their guesses."""
+    for texts, words, guesses in batches:
+        rows = [_scanned(t, {} if w is None else dict(zip(w, g, strict=True))) for t, w, g in zip(texts, words, guesses, strict=True)]
+        yield pd.DataFrame(rows, columns=SCANNED.names)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _doubtful(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Words of values that seem dear."""
@@ -257,22 +268,56 @@ def _met(words: frozenset[str] | None):
     return run
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Words of dear values that running text of the corpus has, with their guesses: documents for each that has them.
+def learned_words(docs: DataFrame, text: str = "text") -> DataFrame | None:
+    """(word, guesses): words of dear values that running text of the corpus has, with documents for each that has them.
 
-    Two passes over the texts. The words are few, as dear values are; where they aren't, they are counted by a join, and
-    of those found the ones in most documents come back, as many as a broadcast may hold.
+    Two passes over the texts. The words are few, as dear values are; where they aren't, they are counted by a join.
+    None: there are no dear values.
     """
     doubtful = stored(docs.select(F.explode(_doubtful(text)).alias("word")).distinct())
     few = [r["word"] for r in doubtful.limit(BROADCAST_ROWS + 1).collect()]
     if not few:
-        return {}
+        return None
     small = len(few) <= BROADCAST_ROWS
     met = docs.select(F.explode(_met(frozenset(few) if small else None)(text)).alias("word"))
     met = met if small else met.join(doubtful, "word", "left_semi")
-    found = met.groupBy("word").count().where(F.col("count") >= LEAST_DOCUMENTS).orderBy(F.desc("count"), "word").limit(BROADCAST_ROWS).collect()
-    total = docs.count()
-    return {r["word"]: total / r["count"] for r in found}
+    found = met.groupBy("word").count().where(F.col("count") >= LEAST_DOCUMENTS)
+    return stored(found.select("word", (F.lit(docs.count()).cast("double") / F.col("count")).alias("guesses")))
+
+
+SOUGHT = "text_key string, word string"
+LETTERS = re.compile(r"[^\W\d_]{4,}")
+SOUGHT_ROWS = 50_000
+
+
+def sought_words(text: str | None) -> Iterator[str]:
+    """All that could be a word of the corpus in values that seem dear: stretches of letters as guess_cost() looks them up."""
+    if not text or not CONTEXT_HINT.search(text):
+        return
+    for part in {p for _, v in context_values(text) if is_guarded(v) for p in parts_of(v) if len(p) >= MIN_VALUE}:
+        low = part.lower()
+        for run in {r for said in (low, low.translate(LEET)) for r in LETTERS.findall(said)}:
+            yield from (run[a : a + size] for a in range(len(run) - 3) for size in range(4, min(40, len(run) - a) + 1))
+
+
+def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text) to SOUGHT, some rows at a time however long a value is."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = sought_words(text)
+            while some := list(islice(words, SOUGHT_ROWS)):
+                yield pa.RecordBatch.from_pydict({"text_key": pa.array([key] * len(some), pa.string()), "word": pa.array(some, pa.string())})
+
+
+def _with_own_words(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """docs scanned with all words found, too many for a broadcast: each text is joined with those that its values hold.
+    Words that a value doesn't hold can't change its cost."""
+    key, own = fresh(docs, "text_key"), fresh(docs, "own_words")
+    said = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    sought = docs.select(said.alias("text_key"), "text").mapInArrow(_sought, SOUGHT).distinct()
+    per = sought.join(found, "word").groupBy(F.col("text_key").alias(key)).agg(F.collect_list(F.struct("word", "guesses")).alias(own))  # a text's own words
+    joined = docs.withColumn(key, said).join(stored(per), key, "left")
+    return joined.withColumn(name, _scanner_of_own("text", F.col(f"{own}.word"), F.col(f"{own}.guesses"))).drop(key, own)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
@@ -291,7 +336,13 @@ def with_secrets(docs: DataFrame, name: str = "secrets") -> tuple[DataFrame, str
     """docs with a struct column more (its name is returned): counts, spans, and the redacted text where there are spans.
     The corpus is read twice before, to learn its words."""
     name = fresh(docs, name)
-    return docs.withColumn(name, _scanner(learn(docs))("text")), name
+    found = learned_words(docs)
+    if found is None:
+        return docs.withColumn(name, _scanner({})("text")), name
+    few = found.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) > BROADCAST_ROWS:
+        return _with_own_words(docs, found, name), name
+    return docs.withColumn(name, _scanner({r["word"]: r["guesses"] for r in few})("text")), name
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -282,3 +282,22 @@ def test_words_of_languages(language):
     found = [w for w in words.split() if secret_scan.is_guarded(w)]
     assert len(found) <= most, found
     assert not [w for w in words.split() if secret_scan.is_guarded(w, {w.lower(): 1000.0})]
+
+
+def test_words_beyond_a_broadcast_are_learned_all_the_same(spark, monkeypatch):
+    """Values, plain and with 0 for o, of rare words that three texts have, or none; the same spans by broadcast and by join."""
+    words = ["xylophkratzbaum", "quorvexilodont", "zwiftkrumelgard", "blorpthandexium"]
+    running = [(k, f"{w} and more") for k, w in enumerate([*words[:3] * 3, *words[3:]])]
+    values = [*words, "qu0rvexil0d0nt", "Xylophkratzbaum-zwiftkrumelgard", "x8#Kq0vLw2x8#Kq0"]
+    asked = [(100 + k, f"password: {v} {w}") for k, v in enumerate(values) for w in ("a", "b")] + [(200, None), (201, "token: " + "zq" * 3000)]
+    texts = spark.createDataFrame([*running, *asked], "doc_id long, text string")
+
+    def spans():
+        out, s = secret_scan.with_secrets(texts)
+        return sorted(((r["doc_id"], r["text"] or "", r[s]["spans"]) for r in out.select("doc_id", "text", s).collect()))
+
+    whole = spans()
+    alone = [t for _, t, s in whole if "guess" in s]
+    assert not any(w in t for t in alone for w in words[:3] if "-" not in t) and any(words[3] in t for t in alone)
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 1)
+    assert spans() == whole
