@@ -285,6 +285,22 @@ def learned_words(docs: DataFrame, text: str = "text") -> DataFrame | None:
     return stored(found.select("word", (F.lit(docs.count()).cast("double") / F.col("count")).alias("guesses")))
 
 
+def _few(found: DataFrame) -> dict[str, float] | None:
+    """Words and guesses of learned_words(); None if they are more than a broadcast may hold."""
+    rows = found.limit(BROADCAST_ROWS + 1).collect()
+    return {r["word"]: r["guesses"] for r in rows} if len(rows) <= BROADCAST_ROWS else None
+
+
+def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    """All of learned_words(), as scan() takes them. Raises if they are more than a broadcast may hold; with_secrets()
+    takes any number."""
+    found = learned_words(docs, text)
+    words = {} if found is None else _few(found)
+    if words is None:
+        raise ValueError(f"more than {BROADCAST_ROWS} learned words: with_secrets() joins them")
+    return words
+
+
 SOUGHT = "text_key string, word string"
 LETTERS = re.compile(r"[^\W\d_]{4,}")
 SOUGHT_ROWS = 50_000
@@ -337,12 +353,10 @@ def with_secrets(docs: DataFrame, name: str = "secrets") -> tuple[DataFrame, str
     The corpus is read twice before, to learn its words."""
     name = fresh(docs, name)
     found = learned_words(docs)
-    if found is None:
-        return docs.withColumn(name, _scanner({})("text")), name
-    few = found.limit(BROADCAST_ROWS + 1).collect()
-    if len(few) > BROADCAST_ROWS:
+    few = {} if found is None else _few(found)
+    if few is None:
         return _with_own_words(docs, found, name), name
-    return docs.withColumn(name, _scanner({r["word"]: r["guesses"] for r in few})("text")), name
+    return docs.withColumn(name, _scanner(few)("text")), name
 
 
 def redacted(docs: DataFrame) -> DataFrame:

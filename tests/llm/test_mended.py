@@ -301,3 +301,14 @@ def test_words_beyond_a_broadcast_are_learned_all_the_same(spark, monkeypatch):
     assert not any(w in t for t in alone for w in words[:3] if "-" not in t) and any(words[3] in t for t in alone)
     monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 1)
     assert spans() == whole
+
+
+def test_learned_words_are_all_there_or_refused(spark, monkeypatch):
+    """As a mapping as many as a broadcast may hold; none is left out of more."""
+    words = ["xylophkratzbaum", "quorvexilodont", "zwiftkrumelgard"]
+    rows = docs(spark, [(k, f"{' '.join(words)} and more") for k in range(4)] + [(10 + k, f"pwd = {w}") for k, w in enumerate(words)])
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 3)
+    assert secret_scan.learn(rows) == {w: pytest.approx(7 / 4) for w in words}
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 2)
+    with pytest.raises(ValueError):
+        secret_scan.learn(rows)
